@@ -43,6 +43,8 @@ def _radius(rows: DataFrame, window_s: int, tol_s: int, limit: int) -> int:
     are counted from cell sizes; no pair is built.
     """
     radii = [r for r in _FIRST_RADII if r < window_s]
+    if not radii or tol_s == 0:
+        return window_s
     cells = rows.filter(F.col("duration_seconds").isNotNull()).select(
         "video_id", F.floor(F.col("duration_seconds") / F.lit(max(1, tol_s))).alias("length_cell"),
         F.explode(F.array(*[

@@ -14,13 +14,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+# Default of spark.sql.optimizer.windowGroupLimitThreshold.
+_EARLY_CUT = 1000
+_PARTS = 512
+
+
 def instant(as_of) -> Column:
     """A UTC clock given by the caller; operators never read the wall clock."""
     return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
-    """The first ``n`` rows per key. Spark cuts to ``n`` before the shuffle (window group limit)."""
+    """The first ``n`` rows per key. Spark cuts to ``n`` before the shuffle (window group limit).
+
+    Spark skips that early cut for large ``n``; the same cut is then made on hashed parts of each
+    key first, so that one key still never meets in one task as a whole.
+    """
+    if n > _EARLY_CUT:
+        part = F.pmod(F.xxhash64(*df.columns), F.lit(_PARTS))
+        parts = Window.partitionBy(*keys, "_part").orderBy(*order)
+        df = (
+            df.withColumn("_part", part).withColumn("_rank", F.row_number().over(parts))
+            .filter(F.col("_rank") <= n).drop("_rank", "_part")
+        )
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
 
