@@ -8,8 +8,6 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
 
 from vidmetrics.functions.text import UNTITLED, is_blank, normal_title
 from vidmetrics.operators.spread import first_rows, numbered
@@ -29,7 +27,7 @@ def candidates(sv: DataFrame, v: DataFrame, *, start=None, end=None) -> DataFram
 
 
 def _walk(batches: Iterator[pa.RecordBatch], window_s: int) -> Iterator[pa.RecordBatch]:
-    out = to_arrow_schema(_parse_datatype_string(_STEPS_SCHEMA))
+    out = pa.schema([("norm_title", pa.string()), ("at", pa.int64()), ("opened_at", pa.int64())])
     current, reference, opened = None, None, None
     for batch in batches:
         titles, instants, counts = (batch.column(i).to_pylist() for i in range(3))

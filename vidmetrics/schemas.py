@@ -31,6 +31,9 @@ def _struct(**fields: T.DataType) -> T.StructType:
 S, L, I, D, TS = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.TimestampType()
 
 # Wire values arrive as numbers or as text, so every scalar is read as text and coerced afterwards.
+# Items stay raw until they are exploded: one bad item must not cost the batch.
+SNAPSHOT_BATCH = _struct(snapshots=T.ArrayType(S))
+SOURCE_BATCH = _struct(sources=T.ArrayType(S))
 SNAPSHOT_ITEM = _struct(
     platform=S, platform_format=S, source_video_id=S, platform_video_id=S, snapshot_at=S,
     **{c: S for c in COUNTERS}, legacy_views_3s=S, views_3s=S,
@@ -41,10 +44,13 @@ SOURCE_ITEM = _struct(
     url=S, permalink_url=S, etag=S, published_at=S, publishedAt=S, duration_seconds=S,
 )
 
-INSIGHTS = _struct(
-    id=S,
-    data=T.ArrayType(_struct(name=S, period=S, values=T.ArrayType(_struct(value=S)))),
-)
+def _insights(value: T.DataType) -> T.StructType:
+    metric = _struct(name=S, period=S, values=T.ArrayType(_struct(value=value)))
+    return _struct(id=S, data=T.ArrayType(metric))
+
+
+FACEBOOK_INSIGHTS = _insights(T.VariantType())
+INSTAGRAM_INSIGHTS = _insights(S)
 FACEBOOK_VIDEO = _struct(
     id=S, title=S, description=S, permalink_url=S, created_time=S, length=D,
 )

@@ -54,14 +54,16 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 # ---- wire batches ----------------------------------------------------------
 
-def explode_items(batches: DataFrame, column: str) -> DataFrame:
-    """One row per array item, with its position."""
-    return batches.select("*", F.posexplode(column).alias("item_pos", "item")).drop(column)
+def explode_items(batches: DataFrame, column: str, schema: T.StructType) -> DataFrame:
+    """One row per item of an array of raw JSON texts: its position, and the parsed object, if it is one."""
+    items = batches.select("*", F.posexplode(column).alias("item_pos", "_text")).drop(column)
+    is_object = F.col("_text").rlike(r"^\s*\{")
+    return items.withColumn("item", F.when(is_object, F.from_json("_text", schema))).drop("_text")
 
 
 def metric_items(batches: DataFrame, *, as_of) -> DataFrame:
     """Items of ``snapshots`` with a ``problem`` for those to skip or reject."""
-    items = explode_items(batches, "snapshots")
+    items = explode_items(batches, "snapshots", schemas.SNAPSHOT_ITEM)
     item = F.col("item")
     keep = [c for c in items.columns if c not in ("item", "item_pos")]
     pvid = item["platform_video_id"]
@@ -95,7 +97,7 @@ def metric_items(batches: DataFrame, *, as_of) -> DataFrame:
 
 def source_items(batches: DataFrame) -> DataFrame:
     """Items of ``sources``; the first present alias of each key wins."""
-    items = explode_items(batches, "sources")
+    items = explode_items(batches, "sources", schemas.SOURCE_ITEM)
     item = F.col("item")
     keep = [c for c in items.columns if c not in ("item", "item_pos")]
     pvid = F.coalesce(item["platform_video_id"], item["platformId"], item["platform_source_id"], item["id"])

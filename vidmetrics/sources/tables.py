@@ -1,7 +1,7 @@
 """The stored tables: reading, keyed upserts, replace-writes, CSV export.
 
 Plain Parquet has no MERGE. An upsert returns the new state of the table; ``replace_table`` writes
-it next to the old version and switches readers over by a pointer file written last.
+it next to the old version, which readers keep using until the new one is announced.
 """
 
 from __future__ import annotations
@@ -25,18 +25,19 @@ SOURCE_FIELDS = (
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The current version of a stored table."""
-    pointer = spark.read.text(f"{root}/{name}/_current").orderBy(F.desc("value")).first()
-    if pointer is None:
+    version = spark.read.text(f"{root}/{name}/_versions").agg(F.max("value")).first()[0]
+    if version is None:
         raise ValueError(f"{name} has no version yet")
-    return spark.read.parquet(f"{root}/{name}/{pointer[0]}")
+    return spark.read.parquet(f"{root}/{name}/{version}")
 
 
 def replace_table(
     df: DataFrame, root: str, name: str, version: str, partition_by: Sequence[str] = (),
     sort_by: Sequence[str] = (),
 ) -> str:
-    """Full overwrite. The version folder is complete before the pointer names it, so readers
-    see the old or the new table, and a repeated write of one version gives the same table."""
+    """Full overwrite. A version is announced only after its folder is complete, so readers see
+    the old or the new table, and a repeated write of one version gives the same table. The highest
+    version is the current one."""
     spark = df.sparkSession
     rows = df.sortWithinPartitions(*partition_by, *sort_by) if sort_by else df
     writer = rows.write.mode("overwrite")
@@ -44,8 +45,8 @@ def replace_table(
         writer = writer.partitionBy(*partition_by)
     path = f"{root}/{name}/{version}"
     writer.parquet(path)
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{root}/{name}/_current"
+    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("append").text(
+        f"{root}/{name}/_versions"
     )
     return path
 
