@@ -111,7 +111,7 @@ select p_partkey as arrival_seq,
 from part
 """,
     "health_event": """
-select event_id as seq, date_trunc('millisecond', ts) as at,
+select event_id as seq, date_trunc('millisecond', ts) as happened_at,
   case user_id%4 when 0 then 'YOUTUBE' when 1 then 'FACEBOOK' when 2 then 'INSTAGRAM' else 'TIKTOK' end as platform,
   case when event_type='error' then 'ERROR' else 'SUCCESS' end as outcome,
   case when event_id%5=0 then null else date_trunc('millisecond', ts) end as snapshot_at,

@@ -50,7 +50,7 @@ def fold_platform_events(events: DataFrame) -> DataFrame:
     success = F.upper("outcome") == "SUCCESS"
     expiry = F.col("token_expires_at")
     token_status = (
-        F.when(success & expiry.isNotNull() & (F.unix_seconds(expiry) <= F.unix_seconds("at")), "EXPIRED")
+        F.when(success & expiry.isNotNull() & (F.unix_seconds(expiry) <= F.unix_seconds("happened_at")), "EXPIRED")
         .when(success, "OK").when(token_likely_expired(F.col("message")), "EXPIRED").otherwise("ERROR")
     )
 
@@ -60,9 +60,9 @@ def fold_platform_events(events: DataFrame) -> DataFrame:
 
     always = F.lit(True)
     return rows.groupBy("platform").agg(
-        newest(F.col("at"), success).alias("last_success_at"),
+        newest(F.col("happened_at"), success).alias("last_success_at"),
         newest(F.col("snapshot_at"), success & F.col("snapshot_at").isNotNull()).alias("last_snapshot_at"),
-        newest(F.when(~success, F.col("at")), always).alias("last_error_at"),
+        newest(F.when(~success, F.col("happened_at")), always).alias("last_error_at"),
         newest(F.when(~success, F.substring("message", 1, MESSAGE_WIDTH)), always).alias("last_error"),
         newest(F.col("duration_ms"), always).alias("last_duration_ms"),
         newest(F.col("items"), success).alias("last_items"),
