@@ -11,7 +11,8 @@ from vidmetrics import schemas
 from vidmetrics.fixtures import AS_OF, Fixtures
 from vidmetrics.functions.text import is_teaser, normal_title
 from vidmetrics.operators import (
-    align, catalog, duplicates, enrich, health, ingest, percentiles, quality, reconcile, rollup, series, trend,
+    align, catalog, duplicates, enrich, health, ingest, percentiles, quality, reconcile, rollup, series,
+    similarity, trend,
 )
 from vidmetrics.operators.catalog import VideoListQuery
 from vidmetrics.sources import payloads, tables
@@ -434,6 +435,23 @@ def duplicate_pairs(f):
     return rounded(report, "delta_h")
 
 
+def _star_pairs(f: Fixtures) -> DataFrame:
+    clustered = _clustered(f)
+    return similarity.cluster_star_pairs(clustered, reconcile.describe_clusters(clustered))
+
+
+@query
+def similar_pairs(f):
+    found = similarity.similar_pairs(_star_pairs(f), f.catalog_source)
+    return rounded(found, "title_score", "description_score", "score")
+
+
+@query
+def similar_components(f):
+    edges = similarity.similar_pairs(_star_pairs(f), f.catalog_source)
+    return similarity.components(f.catalog_source.select("id"), edges)
+
+
 # ---- health and quality ----------------------------------------------------
 
 @query
