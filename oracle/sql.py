@@ -141,7 +141,7 @@ SELECT video_id, CASE WHEN vw > 0 AND ln > 0 THEN vw * ln END AS cap,
   coalesce(CASE WHEN total_watch_seconds > 0 THEN total_watch_seconds::double END,
     CASE WHEN vw = 0 THEN NULL WHEN nullif(avg_watch_seconds, 0) IS NULL THEN NULL
       ELSE least(avg_watch_seconds * vw, share * ln * vw) END) AS pick FROM w),
-s AS (SELECT video_id, sum(coalesce(CASE WHEN cap IS NULL THEN pick ELSE least(pick, cap) END, 0)) AS total, sum(coalesce(cap, 0)) AS cap FROM p GROUP BY video_id)
+s AS (SELECT video_id, sum(CASE WHEN pick IS NULL THEN 0 WHEN cap IS NULL OR pick < cap THEN pick ELSE cap END) AS total, sum(coalesce(cap, 0)) AS cap FROM p GROUP BY video_id)
 SELECT fb.video_id, cast(fb.fallback AS bigint) AS length_fallback,
   cast(coalesce(greatest(0, floor(CASE WHEN cap > 0 THEN least(total, cap) ELSE total END + 0.5)), 0) AS bigint) AS watch_seconds
 FROM fb LEFT JOIN s USING (video_id)""", *BASE)

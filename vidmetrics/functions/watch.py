@@ -68,4 +68,5 @@ def plausible_watch_seconds(
         nonzero(average.cast("double") * views), nonzero(share.cast("double") * length * views)
     ))
     chosen = F.coalesce(smallest_positive(reported), derived) if reported else derived
-    return F.coalesce(F.least(chosen, cap), F.lit(0.0))
+    # least() skips NULL, so a missing choice is settled first.
+    return F.when(chosen.isNull(), F.lit(0.0)).otherwise(F.least(chosen, cap))
