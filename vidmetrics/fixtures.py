@@ -174,4 +174,6 @@ class Fixtures:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEWS:
             raise AttributeError(name)
-        return self.sql(f"SELECT * FROM {name}", name)
+        view = self.sql(f"SELECT * FROM {name}", name)
+        setattr(self, name, view)
+        return view

@@ -124,17 +124,23 @@ def page_of(rows: DataFrame, query: VideoListQuery) -> DataFrame:
 def list_videos(
     rollup: DataFrame, sv: DataFrame, ms: DataFrame, query: VideoListQuery, *, with_trend: bool = False
 ) -> DataFrame:
-    """The page is cut first; last measure and trend are computed for its videos only."""
-    page = page_of(filter_videos(rollup, sv, query), query)
-    ids = page.select("video_id")
+    """The page is cut first; last measure and trend are computed for its videos only.
+
+    A page has at most 5000 rows (the clamp of its size), so it is fetched once and its ids filter
+    the sources; otherwise every use of the page would sort the whole list again.
+    """
+    spark = rollup.sparkSession
+    found = page_of(filter_videos(rollup, sv, query), query)
+    page = spark.createDataFrame(found.collect(), found.schema)
+    ids = F.broadcast(page.select("video_id"))
     page_sources = sv.join(ids, "video_id", "left_semi")
     page_snapshots = ms.join(
         page_sources.select(F.col("id").alias("source_video_id")), "source_video_id", "left_semi"
     )
     out = page.join(video_last_snapshot(page_snapshots, page_sources), "video_id", "left")
     if with_trend:
-        trend = video_trend(page_snapshots, page_sources, ids.withColumnRenamed("video_id", "id"))
-        out = out.join(trend, "video_id", "left")
+        videos = page.select(F.col("video_id").alias("id"))
+        out = out.join(video_trend(page_snapshots, page_sources, videos), "video_id", "left")
     return out
 
 

@@ -17,7 +17,7 @@ _SLOTS_PER_E = 32
 def discrete_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int] = BANDS,
 ) -> DataFrame:
-    """``p<k>`` = the value at rank ``ceil(n * k / 100)`` of each group, and ``n``.
+    """``p<k>`` = the value at rank ``ceil(n * k / 100)`` of each group with known keys, and ``n``.
 
     A group may hold every video of a platform, so it is never sorted in one task. Equal values are
     counted first; the value axis is cut into slots by an increasing function; slot totals (at most
@@ -28,9 +28,12 @@ def discrete_percentiles(
     slot = F.floor(
         F.signum(value) * F.log1p(F.abs(F.col(value).cast("double"))) * F.lit(_SLOTS_PER_E)
     )
+    # Both readers of the counts must ask for the same rows to share one shuffle, so what the join
+    # below would require of its keys is required here.
     counted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, slot.alias("_slot"), F.col(value).alias("_value"))
+        df.select(*keys, slot.alias("_slot"), F.col(value).alias("_value"))
+        .filter(" and ".join(f"{c} is not null" for c in [*keys, "_slot", "_value"]))
+        .groupBy(*keys, "_slot", "_value")
         .agg(F.count("*").alias("_n"))
     )
     by_slot = Window.partitionBy(*keys).orderBy("_slot")

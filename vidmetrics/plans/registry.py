@@ -524,7 +524,8 @@ def stale_sources(f):
 
 # ---- landed payloads, built from the events --------------------------------
 
-def _parsed(df: DataFrame, body: str, schema, *keep: str) -> DataFrame:
+def _parsed(events: DataFrame, body: str, schema, *keep: str) -> DataFrame:
+    df = events.repartition("event_id")  # landed answers come in many files, the events in one
     return df.select(*keep, F.from_json(F.expr(body), schema).alias("j")).select(*keep, "j.*")
 
 

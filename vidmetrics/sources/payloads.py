@@ -140,39 +140,47 @@ def facebook_insights(answers: DataFrame) -> DataFrame:
     The first value of each metric counts: a number keeps the name, an object adds its keys, an array
     its positions (and keys); everything else is ignored. A repeated name keeps its last value.
     """
-    metrics = answers.select("id", F.posexplode("data").alias("pos", "m")).select(
-        "id", "pos", F.col("m.name").alias("name"), F.try_element_at("m.values", F.lit(1))["value"].alias("value")
-    ).filter(F.col("value").isNotNull())
-    kind = F.schema_of_variant("value")
-    metrics = metrics.withColumn("kind", kind)
-    is_number = ~F.col("kind").rlike("^(OBJECT|ARRAY|STRING|BOOLEAN|VOID)")
-
-    def entries(value: Column) -> Column:
-        return F.map_entries(value.try_cast("map<string,variant>"))
-
-    numbers = metrics.filter(is_number).select(
-        "id", "pos", F.lit(0).alias("sub"), "name", "value"
+    def entry(sub: Column, name: Column, value: Column) -> Column:
+        return F.struct(sub.cast("int").alias("sub"), name.alias("name"), value.alias("value"))
+
+    def of_object(value: Column, base: Column, sub: Column) -> Column:
+        entries = F.map_entries(value.try_cast("map<string,variant>"))
+        return F.transform(entries, lambda e: entry(sub, F.concat(base, F.lit("_"), clean_key(e["key"])), e["value"]))
+
+    def kind(value: Column) -> Column:
+        return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+
+    name, value = F.col("name"), F.col("value")
+    nothing = F.array().cast("array<struct<sub:int,name:string,value:variant>>")
+    ignored = ("STRING", "BOOLEAN", "VOID", "ARRAY")
+
+    def of_element(e: Column) -> Column:
+        base = F.concat(name, F.lit("_"), e["i"].cast("string"))
+        return (
+            F.when(e["kind"] == "OBJECT", of_object(e["value"], base, e["i"]))
+            .when(e["kind"].isin(*ignored), nothing).otherwise(F.array(entry(e["i"], base, e["value"])))
+        )
+
+    # Kinds are bound to a field before they are tested: inside a lambda every use would compute them.
+    elements = F.transform(
+        value.try_cast("array<variant>"),
+        lambda v, i: F.struct(v.alias("value"), i.alias("i"), kind(v).alias("kind")),
     )
-    objects = metrics.filter(F.col("kind").startswith("OBJECT")).select(
-        "id", "pos", "name", F.posexplode(entries(F.col("value"))).alias("sub", "e")
-    ).select("id", "pos", "sub", F.concat_ws("_", "name", clean_key(F.col("e.key"))).alias("name"), F.col("e.value").alias("value"))
-    elements = metrics.filter(F.col("kind").startswith("ARRAY")).select(
-        "id", "pos", "name", F.posexplode(F.col("value").try_cast("array<variant>")).alias("i", "value")
-    ).withColumn("kind", F.schema_of_variant("value"))
-    plain = elements.filter(is_number).select(
-        "id", "pos", F.col("i").alias("sub"), F.concat_ws("_", "name", F.col("i").cast("string")).alias("name"), "value"
+    values = (
+        F.when(F.col("kind") == "OBJECT", of_object(value, name, F.lit(0)))
+        .when(F.col("kind") == "ARRAY", F.flatten(F.transform(elements, of_element)))
+        .when(F.col("kind").isin(*ignored), nothing).otherwise(F.array(entry(F.lit(0), name, value)))
     )
-    nested = elements.filter(F.col("kind").startswith("OBJECT")).select(
-        "id", "pos", F.col("i").alias("sub"), F.col("name").alias("base"), "i", F.explode(entries(F.col("value"))).alias("e")
-    ).select(
-        "id", "pos", "sub",
-        F.concat_ws("_", "base", F.col("i").cast("string"), clean_key(F.col("e.key"))).alias("name"), F.col("e.value").alias("value"),
-    )
-    rows = numbers.unionByName(objects).unionByName(plain).unionByName(nested)
-    value = insight_long(F.col("value"), F.schema_of_variant("value"))
     return (
-        rows.withColumn("value", value).filter(F.col("value").isNotNull())
-        .groupBy("id", "name").agg(F.max_by("value", F.struct("pos", "sub")).alias("value"))
+        answers.select("id", F.posexplode("data").alias("pos", "m"))
+        .select("id", "pos", F.col("m.name").alias("name"), F.try_element_at("m.values", F.lit(1))["value"].alias("value"))
+        .filter(value.isNotNull()).withColumn("kind", kind(value))
+        .select("id", "pos", F.explode(values).alias("f"))
+        .select("id", "pos", "f.*")
+        .withColumn("value", insight_long(value, F.schema_of_variant(value)))
+        .filter(F.col("value").isNotNull())
+        .groupBy("id", "name")
+        .agg(F.max_by("value", F.col("pos").cast("long") * (1 << 32) + F.col("sub")).alias("value"))
     )
 
 
