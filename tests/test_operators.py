@@ -190,6 +190,14 @@ def test_duplicates_equal_brute_force(spark, seed, spread_s, hot, limit, tol):
     assert found == brute_pairs(rows, 48 * 3600, tol)[:limit]
 
 
+@pytest.mark.parametrize("tol", [0, 60])
+def test_unknown_lengths_pair_with_all(spark, tol):
+    rows = [r[:6] + (None if r[0] % 5 else r[6], 1) for r in random_sources(8, 200, 30_000, hot=0.4)]
+    got = duplicates.duplicate_report(spark.createDataFrame(rows, SOURCES), tol_s=tol, limit=60)
+    found = sorted((round(r.delta_h * 3600), r.s1_id, r.s2_id) for r in got.collect())
+    assert found == brute_pairs(rows, 48 * 3600, tol)[:60]
+
+
 def test_hot_copies_shrink_before_the_join(spark):
     rows = [(i, None, "YOUTUBE", "t", "d", T0, 60, 1) for i in range(3000)]
     narrow = duplicates._narrow(spark.createDataFrame(rows, SOURCES))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vidmetrics.operators.enrich import ratio
 from vidmetrics.operators.spread import first_rows
@@ -35,6 +36,13 @@ def _interchangeable_cut(rows: DataFrame, limit: int) -> DataFrame:
     return first_rows(kept.unionByName(free), ["at", "duration_seconds"], by_id, 2 * (limit + 1))
 
 
+def _length_cells(rows: DataFrame, tol_s: int) -> DataFrame:
+    """Rows with a ``length_cell`` inside which any two lengths match; unknown lengths are one cell."""
+    if tol_s == 0:  # no two known lengths differ by less than nothing
+        rows = rows.filter(F.col("duration_seconds").isNull())
+    return rows.withColumn("length_cell", F.floor(F.col("duration_seconds") / F.lit(max(1, tol_s))))
+
+
 def _radius(rows: DataFrame, window_s: int, tol_s: int, limit: int) -> int:
     """The smallest radius proven to hold ``limit`` pairs.
 
@@ -43,10 +51,8 @@ def _radius(rows: DataFrame, window_s: int, tol_s: int, limit: int) -> int:
     are counted from cell sizes; no pair is built.
     """
     radii = [r for r in _FIRST_RADII if r < window_s]
-    if not radii or tol_s == 0:
-        return window_s
-    cells = rows.filter(F.col("duration_seconds").isNotNull()).select(
-        "video_id", F.floor(F.col("duration_seconds") / F.lit(max(1, tol_s))).alias("length_cell"),
+    cells = _length_cells(rows, tol_s).select(
+        "video_id", "length_cell",
         F.explode(F.array(*[
             F.struct(F.lit(r).alias("radius"), F.floor(F.col("at") / (r + 1)).alias("time_cell")) for r in radii
         ])).alias("c"),
@@ -63,40 +69,57 @@ def _radius(rows: DataFrame, window_s: int, tol_s: int, limit: int) -> int:
     return window_s if enough is None else int(enough)
 
 
-def candidate_pairs(rows: DataFrame, radius_s: int, tol_s: int) -> DataFrame:
+def _first_id_bound(rows: DataFrame, tol_s: int, limit: int) -> int | None:
+    """For pairs of equal instants: a first id that the ``limit``-th pair cannot exceed.
+
+    Neighbours by id inside one (second, length cell) are pairs of their own; the ``limit``-th of
+    them, in id order, bounds the true one. It keeps a hot instant from meeting itself as a whole.
+    """
+    cell = Window.partitionBy("at", "length_cell").orderBy("id")
+    last = (
+        _length_cells(rows, tol_s)
+        .withColumns({"next_id": F.lead("id").over(cell), "next_video": F.lead("video_id").over(cell)})
+        .filter(
+            F.col("next_id").isNotNull()
+            & F.coalesce(F.col("video_id") != F.col("next_video"), F.lit(True))
+        )
+        .select("id", "next_id").orderBy("id", "next_id").offset(limit - 1).limit(1).first()
+    )
+    return None if last is None else int(last[0])
+
+
+def candidate_pairs(
+    rows: DataFrame, radius_s: int, tol_s: int, *, first_id_up_to: int | None = None
+) -> DataFrame:
     """|time difference| <= radius and |length difference| < tolerance (unknown length passes),
     different or missing video, ``s1_id < s2_id``.
 
     An equi-join on (time cell, length cell): one side visits its neighbour cells, so only rows
     close in both directions meet. Rows of unknown length meet all others on the time cell alone.
     """
-    width = max(1, radius_s)
-    step = max(1, tol_s)
-    base = rows.withColumn("tc", F.floor(F.col("at") / width))
+    base = rows.withColumn("tc", F.floor(F.col("at") / max(1, radius_s)))
     known = base.filter(F.col("duration_seconds").isNotNull()).withColumn(
-        "lc", F.floor(F.col("duration_seconds") / step).cast("long")
+        "lc", F.floor(F.col("duration_seconds") / max(1, tol_s)).cast("long")
     )
     unknown = base.filter(F.col("duration_seconds").isNull())
-
-    def neighbours(cell: str) -> Column:
-        return F.explode(F.sequence(F.col(cell) - 1, F.col(cell) + 1))
-
-    def left(df: DataFrame, *cells: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "video_id", "at", "duration_seconds")], *cells)
-
-    def right(df: DataFrame, *cells: str) -> DataFrame:
-        out = df.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "video_id", "at", "duration_seconds")], *cells)
-        for cell in cells:
-            out = out.withColumn(cell, neighbours(cell))
-        return out
-
-    both_known = left(known, "tc", "lc").join(right(known, "tc", "lc"), ["tc", "lc"]).filter(
-        F.col("a_id") < F.col("b_id")
-    ).drop("lc")
-    one_unknown = left(unknown, "tc").join(right(known, "tc"), "tc")
-    two_unknown = left(unknown, "tc").join(right(unknown, "tc"), "tc").filter(F.col("a_id") < F.col("b_id"))
-    pairs = both_known.unionByName(one_unknown).unionByName(two_unknown)
-    close = F.abs(F.col("a_at") - F.col("b_at")) <= radius_s
+    columns = ("id", "video_id", "at", "duration_seconds")
+    around_time = (-1, 0, 1) if radius_s else (0,)
+
+    def meet(first: DataFrame, second: DataFrame, **cells: tuple[int, ...]) -> DataFrame:
+        if first_id_up_to is not None:
+            first = first.filter(F.col("id") <= first_id_up_to)
+        left = first.select(*[F.col(c).alias(f"a_{c}") for c in columns], *cells)
+        right = second.select(*[F.col(c).alias(f"b_{c}") for c in columns], *cells)
+        for cell, steps in cells.items():
+            right = right.withColumn(cell, F.explode(F.array(*[F.col(cell) + s for s in steps])))
+        return left.join(right, list(cells)).filter(F.col("a_id") < F.col("b_id")).drop(*cells)
+
+    pairs = meet(unknown, unknown, tc=around_time)
+    for first, second in ((known, unknown), (unknown, known)):
+        pairs = pairs.unionByName(meet(first, second, tc=around_time))
+    if tol_s:
+        pairs = pairs.unionByName(meet(known, known, tc=around_time, lc=(-1, 0, 1)))
+    distance = F.abs(F.col("a_at") - F.col("b_at"))
     alike = (
         F.col("a_duration_seconds").isNull() | F.col("b_duration_seconds").isNull()
         | (F.abs(F.col("a_duration_seconds") - F.col("b_duration_seconds")) < tol_s)
@@ -105,9 +128,8 @@ def candidate_pairs(rows: DataFrame, radius_s: int, tol_s: int) -> DataFrame:
         F.col("a_video_id").isNull() | F.col("b_video_id").isNull()
         | (F.col("a_video_id") != F.col("b_video_id"))
     )
-    return pairs.filter(close & alike & other).select(
-        F.least("a_id", "b_id").alias("s1_id"), F.greatest("a_id", "b_id").alias("s2_id"),
-        F.abs(F.col("a_at") - F.col("b_at")).alias("delta_s"),
+    return pairs.filter((distance <= radius_s) & alike & other).select(
+        F.col("a_id").alias("s1_id"), F.col("b_id").alias("s2_id"), distance.alias("delta_s")
     )
 
 
@@ -120,9 +142,11 @@ def duplicate_report(
     wanted = limit + offset
     window_s = max(1, window_h) * 3600
     rows = _interchangeable_cut(_narrow(sv), wanted)
-    radius = _radius(rows, window_s, max(0, tol_s), wanted)
+    tol_s = max(0, tol_s)
+    radius = _radius(rows, window_s, tol_s, wanted)
+    bound = _first_id_bound(rows, tol_s, wanted) if radius == 0 else None
     page = (
-        candidate_pairs(rows, radius, max(0, tol_s))
+        candidate_pairs(rows, radius, tol_s, first_id_up_to=bound)
         .orderBy("delta_s", "s1_id", "s2_id").offset(offset).limit(limit)
     )
     for side in ("s1", "s2"):
