@@ -583,3 +583,33 @@ SELECT event_id, 0 AS item_pos, CASE WHEN event_id % 11 = 0 THEN 'skipped_no_vid
   CASE WHEN event_id % 3 = 0 AND event_id % 4 <> 0 THEN event_id END AS views_native, greatest(0, event_id % 100 - 3) AS likes, event_id % 10 AS avg_watch_seconds
 FROM events)
 SELECT * FROM i UNION ALL SELECT event_id, 1, 'skipped_not_an_object', 'YOUTUBE', NULL, NULL, {NOW}, NULL, NULL, NULL FROM events"""
+
+ORACLES["source_items"] = """SELECT event_id, 0 AS item_pos, cast(NULL AS varchar) AS problem, 'YOUTUBE' AS platform,
+  CASE WHEN event_id % 3 = 0 THEN 'REEL' ELSE 'VIDEO' END AS platform_format, 'pv' || user_id AS platform_video_id, '/p/' || event_id AS url,
+  CASE WHEN event_id % 7 <> 0 THEN timestamp '2024-01-05 08:00:00' END AS published_at, cast(event_id % 500 AS int) AS duration_seconds FROM events
+UNION ALL SELECT event_id, 1, 'skipped_not_an_object', 'YOUTUBE', 'VIDEO', NULL, NULL, NULL, NULL FROM events"""
+ORACLES["facebook_rows"] = """SELECT cast(event_id AS varchar) AS platform_video_id, event_id AS views_native, CASE WHEN event_id % 2 = 1 THEN event_id END AS legacy_views_3s,
+  cast(0 AS bigint) AS avg_watch_seconds, event_id // 1000 AS total_watch_seconds, event_id % 90 + 1 AS video_length_seconds, cast(NULL AS bigint) AS likes,
+  user_id AS reactions_like, user_id AS comments, cast(NULL AS bigint) AS reach,
+  CASE WHEN event_id % 5 = 0 OR event_id % 90 + 1 <= 60 THEN 'REEL' ELSE 'VIDEO' END AS platform_format,
+  CASE WHEN event_id % 4 <> 0 THEN event_type WHEN length(event_type) * 40 > 160 THEN left(repeat(event_type, 40), 157) || '...' ELSE repeat(event_type, 40) END AS title,
+  timestamp '2024-01-05 10:00:00' AS published_at, cast(event_id % 90 + 1 AS int) AS duration_seconds FROM events"""
+ORACLES["facebook_rows_older"] = f"""SELECT cast(event_id AS varchar) AS platform_video_id, {NOW} AS snapshot_at,
+  CASE WHEN event_id % 2 = 0 THEN event_id ELSE 0 END AS views_native, cast(0 AS bigint) AS comments, cast(0 AS bigint) AS shares,
+  'VIDEO' AS platform_format, CASE WHEN event_id % 4 = 0 THEN '(sans titre)' ELSE event_type END AS title FROM events"""
+ORACLES["instagram_rows"] = f"""SELECT 'INSTAGRAM' AS platform, CASE WHEN event_id % 4 = 0 THEN 'REEL' ELSE 'VIDEO' END AS platform_format,
+  cast(event_id AS varchar) AS platform_video_id, left(repeat(event_type, 30), 140) AS title, repeat(event_type, 30) AS description, cast(NULL AS varchar) AS url,
+  timestamp '2024-01-01 10:00:00' + to_days(cast(event_id % 28 AS int)) AS published_at, {NOW} AS snapshot_at,
+  CASE WHEN event_id % 2 = 0 THEN event_id + 7 ELSE event_id END AS views_native, CASE WHEN event_id % 2 = 1 THEN user_id END AS likes,
+  cast(NULL AS bigint) AS comments, cast(NULL AS bigint) AS shares, cast(NULL AS bigint) AS reach FROM events
+WHERE (event_id % 4 = 0 OR event_id % 3 <> 0) AND event_id % 28 + 1 >= 10
+QUALIFY row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) <= 500"""
+ORACLES["discovered_ids"] = """WITH a AS (
+SELECT 0 AS feed, CASE WHEN event_id % 2 = 0 OR event_id % 3 = 0 THEN 't' || user_id ELSE 'm' || event_id % 300 END AS id FROM events
+UNION ALL SELECT 1, 't' || (user_id + 3) FROM events UNION ALL SELECT 1, 'u' || event_id % 40 FROM events)
+SELECT id, min(feed) AS feed FROM a GROUP BY id"""
+ORACLES["playlist_ids"] = "SELECT 'y' || event_id AS id FROM events WHERE event_id % 6 <> 0"
+ORACLES["foreign_series"] = """SELECT event_id, CASE event_id % 3 WHEN 0 THEN (1704067200 + event_id) * 1000 WHEN 1 THEN 1704067200000 + event_id ELSE 1704067200000 END AS ts_ms,
+  cast(CASE event_id % 3 WHEN 0 THEN event_id WHEN 1 THEN user_id ELSE event_id + 0.5 END AS double) AS value FROM events"""
+# Zurich is one hour ahead of UTC all through the month of the events.
+oracle("zurich_times", "SELECT id, published_at + interval 1 hour AS local_published_at FROM video", "video")

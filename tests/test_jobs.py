@@ -87,3 +87,21 @@ def test_health_overview_and_reconcile_documents(fixtures):
     assert seen.platforms.count() == 4 and seen.latest_video.count() == 1 and seen.alerts.count() > 0
     run, report = views.reconcile_with_overrides(f.catalog_source, f.video, f.reconcile_override)
     assert report.first().clusters == run.clusters.count() and report.first().applied_overrides > 0
+
+
+def test_merge_rewrites_only_the_days_of_the_batch(spark, tmp_path):
+    from pathlib import Path
+
+    path = str(tmp_path / "points")
+    schema = "arrival_seq long, source_video_id long, snapshot_at timestamp, views_native long"
+
+    def batch(*rows):
+        return spark.createDataFrame([(s, 1, dt.datetime(2024, 1, d, h), v) for s, d, h, v in rows], schema)
+
+    tables.merge_points(spark, path, batch((1, 1, 5, 10), (2, 2, 5, 20), (3, 2, 6, 25)))
+    before = {p.name for p in Path(path).glob("day=2024-01-01/*.parquet")}
+    tables.merge_points(spark, path, batch((4, 2, 5, 21), (5, 3, 1, 30)))
+    got = spark.read.parquet(path).orderBy("snapshot_at").collect()
+    assert [r.views_native for r in got] == [10, 21, 25, 30]
+    assert {p.name for p in Path(path).glob("day=2024-01-01/*.parquet")} == before
+    assert len({r.id for r in got}) == 4

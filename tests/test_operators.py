@@ -137,6 +137,17 @@ def test_chart_edge_form(spark):
     assert [p.value for p in points] == [0, 1, 2] and points[0].ts == 1704067200000
 
 
+@pytest.mark.parametrize("body, want", [
+    ('[[1704067200, 5], ["1704067201000", "6"], ["2024-01-01T00:00:02Z", 7], [1704067200, 8]]', {1704067200000: 8, 1704067201000: 6, 1704067202000: 7}),
+    ('{"data": [{"ts": 1704067200, "views": 3}, {"time": "2024-01-01T00:00:01Z", "v": "4"}, {"value": 9}]}', {1704067200000: 3, 1704067201000: 4}),
+    ('{"1704067200": 1, "1704067201": {"value": 2}, "soon": 3, "1704067202": null}', {1704067200000: 1, 1704067201000: 2}),
+    ("not json", {}), ("[]", {}), ("7", {}),
+])
+def test_parse_series(spark, body, want):
+    df = spark.createDataFrame([("k", body)], "k string, body string")
+    assert {r.ts_ms: r.value for r in series.parse_series(df, "k", "body").collect()} == want
+
+
 # ---- trend -----------------------------------------------------------------
 
 def test_slope_edges(spark):

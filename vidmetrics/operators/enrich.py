@@ -23,10 +23,10 @@ def column_or_null(df: DataFrame, name: str, kind: str, prefix: str = "") -> Col
 def enrich_snapshots(ms: DataFrame, sv: DataFrame, v: DataFrame) -> DataFrame:
     """Snapshots with their source, their video and the derived ratios.
 
-    Snapshots outnumber sources by far: they are shuffled once on the source id, and adaptive
-    execution splits the partition of a hot source.
+    Snapshots outnumber sources by far, so sources meet their videos first and snapshots are shuffled
+    once, on the source id; adaptive execution splits the partition of a hot source.
     """
-    ms_, sv_, v_ = ms.alias("ms"), sv.alias("sv"), v.alias("v")
+    described = sv.alias("sv").join(v.alias("v"), F.col("v.id") == F.col("sv.video_id"), "left")
     length = F.coalesce(
         column_or_null(ms, "video_length_seconds", "int", "ms."),
         F.col("sv.duration_seconds"), F.col("v.duration_seconds"),
@@ -36,8 +36,7 @@ def enrich_snapshots(ms: DataFrame, sv: DataFrame, v: DataFrame) -> DataFrame:
         column_or_null(ms, c, "long", "ms.").alias(c) for c in COUNTERS if c != "video_length_seconds"
     ]
     return (
-        ms_.join(sv_, F.col("sv.id") == F.col("ms.source_video_id"))
-        .join(v_, F.col("v.id") == F.col("sv.video_id"), "left")
+        ms.alias("ms").join(described, F.col("sv.id") == F.col("ms.source_video_id"))
         .select(
             F.col("ms.id").alias("id"),
             F.col("ms.source_video_id").alias("source_video_id"),

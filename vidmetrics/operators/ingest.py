@@ -146,7 +146,7 @@ def sparse_fold(
     rows = feed.select(*keys, *[F.col(c).cast("long").alias(c) for c in fields])
     work = _segments(rows, fields, seed, rules, block, rows_per_segment)
     if seed is not None:
-        work = work.unionByName(_seed_rows(seed, fields, work))
+        work = work.unionByName(_seed_rows(seed, fields, rows))
     sorted_rows = (
         work.withColumn("at_ms", F.unix_millis("snapshot_at"))
         .select("_segment", "_role", "arrival_seq", "source_video_id", "at_ms", *fields)
@@ -167,13 +167,13 @@ def sparse_fold(
 _FIRST_SEGMENT = -(1 << 62)
 
 
-def _seed_rows(seed: DataFrame, fields: Sequence[str], work: DataFrame) -> DataFrame:
+def _seed_rows(seed: DataFrame, fields: Sequence[str], rows: DataFrame) -> DataFrame:
     present = [F.col(c).cast("long").alias(c) if c in seed.columns else F.lit(None).cast("long").alias(c) for c in fields]
     last = latest_per_source(seed).select(
         F.lit(-1).cast("long").alias("arrival_seq"), "source_video_id", "snapshot_at", *present,
         F.lit(_FIRST_SEGMENT).cast("long").alias("_segment"), F.lit(_STATE_ONLY).alias("_role"),
     )
-    return last.join(work.select("source_video_id").distinct(), "source_video_id", "left_semi")
+    return last.join(rows.select("source_video_id").distinct(), "source_video_id", "left_semi")
 
 
 def _segments(

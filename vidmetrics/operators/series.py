@@ -183,3 +183,67 @@ def as_chart(series: DataFrame, keys: Sequence[str] = ("video_id", "platform"))
     """The edge form of a series: one array of (epoch ms, value) per key."""
     point = F.struct(F.unix_millis("ts").alias("ts"), F.col("value"))
     return series.groupBy(*keys).agg(F.array_sort(F.collect_list(point)).alias("points"))
+
+
+# ---- series sent by other tools --------------------------------------------
+
+# fixed values: where such series keep their points, times and values, in order of preference
+_WRAPPERS = ("series", "data", "points", "values", "views")
+_TIME_KEYS = ("time", "timestamp", "date", "t", "x", "ts")
+_VALUE_KEYS = ("views_native", "views", "value", "v", "val", "y", "sum", "count")
+_SECONDS_BELOW = 1e12
+
+
+def _epoch_ms(text: Column) -> Column:
+    number = F.trim(text).try_cast("double")
+    from_number = F.when(number < _SECONDS_BELOW, number * 1000).otherwise(number)
+    return F.coalesce(F.floor(from_number + 0.5).cast("long"), F.unix_millis(F.try_to_timestamp(text)))
+
+
+def _finite(text: Column) -> Column:
+    number = F.trim(text).try_cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+
+
+def parse_series(df: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, ts_ms, value) from JSON series of unlike shapes: arrays of pairs or of objects, the
+    same inside a wrapper object, or an object from time to value. Times below 1e12 are seconds; of
+    several values at one time the last one counts."""
+    whole = F.try_parse_json(body)
+
+    def text_at(value: Column, path: str) -> Column:
+        return F.try_variant_get(value, path, "string")
+
+    def first_of(value: Column, names: Sequence[str], read) -> Column:
+        return F.coalesce(*[read(text_at(value, f"$.{n}")) for n in names])
+
+    def any_number(value: Column) -> Column:
+        numbers = F.transform(F.map_values(value.try_cast("map<string,variant>")), lambda x: _finite(x.try_cast("string")))
+        return F.try_element_at(F.array_compact(numbers), F.lit(1))
+
+    parsed = df.select(key, whole.alias("whole")).filter(F.col("whole").isNotNull())
+    value, item = F.col("whole"), F.col("item")
+    points = F.coalesce(
+        value.try_cast("array<variant>"),
+        *[F.try_variant_get(value, f"$.{w}", "array<variant>") for w in _WRAPPERS],
+    )
+    parsed = parsed.withColumn("points", points)
+    listed = parsed.filter(F.col("points").isNotNull()).select(key, F.posexplode("points").alias("pos", "item")).select(
+        key, "pos",
+        F.coalesce(_epoch_ms(text_at(item, "$[0]")), first_of(item, _TIME_KEYS, _epoch_ms)).alias("ts_ms"),
+        F.coalesce(
+            _finite(text_at(item, "$[1]")), first_of(item, _VALUE_KEYS, _finite), any_number(item)
+        ).alias("value"),
+    )
+    entries = F.map_entries(value.try_cast("map<string,variant>"))
+    keyed = parsed.filter(F.col("points").isNull()).select(key, F.posexplode(entries).alias("pos", "e")).select(
+        key, "pos", _epoch_ms(F.col("e.key")).alias("ts_ms"),
+        F.coalesce(
+            _finite(F.col("e.value").try_cast("string")), first_of(F.col("e.value"), _VALUE_KEYS, _finite),
+            any_number(F.col("e.value")),
+        ).alias("value"),
+    )
+    return (
+        listed.unionByName(keyed).filter(F.col("ts_ms").isNotNull() & F.col("value").isNotNull())
+        .groupBy(key, "ts_ms").agg(F.max_by("value", "pos").alias("value"))
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vidmetrics import schemas
 from vidmetrics.fixtures import AS_OF, Fixtures
-from vidmetrics.functions.text import is_teaser, normal_title
+from vidmetrics.functions.text import is_teaser, normal_title, zurich_time
 from vidmetrics.operators import (
     align, catalog, duplicates, enrich, health, ingest, percentiles, quality, reconcile, rollup, series,
     similarity, trend,
@@ -573,3 +573,89 @@ def wire_items(f):
         "event_id", "item_pos", "problem", "platform", "platform_format", "platform_video_id", "snapshot_at",
         "views_native", "likes", "avg_watch_seconds",
     )
+
+
+@query
+def source_items(f):
+    item = """concat('{"', case event_id % 4 when 0 then 'platformId' when 1 then 'platform_source_id' when 2 then 'id' else 'platform_video_id' end,
+      '":"pv', user_id, '","media_type":"', case when event_id % 3 = 0 then 'reel' else 'film' end, '","permalink_url":"/p/', event_id,
+      '","publishedAt":"', case when event_id % 7 = 0 then 'never' else '2024-01-05T10:00:00.750+02:00' end, '","duration_seconds":', event_id % 500, '}')"""
+    body = f"""concat('{{"sources":[', {item}, ',"text"]}}')"""
+    batches = _parsed(f.table("events"), body, schemas.SOURCE_BATCH, "event_id")
+    return payloads.source_items(batches).select(
+        "event_id", "item_pos", "problem", "platform", "platform_format", "platform_video_id", "url", "published_at", "duration_seconds"
+    )
+
+
+def _facebook(f: Fixtures) -> tuple[DataFrame, DataFrame]:
+    video = """concat('{"id":"', event_id, '","title":"', case when event_id % 4 = 0 then ' ' else event_type end, '","description":"',
+      repeat(event_type, 40), '","permalink_url":"/', case when event_id % 5 = 0 then 'REEL' else 'watch' end, '/', event_id,
+      '","created_time":"2024-01-05T10:00:00+0000","length":', event_id % 90, '.5}')"""
+    answer = """concat('{"id":"', event_id, '","data":[{"name":"', case when event_id % 2 = 0 then 'total_video_views' else 'post_video_views_3s' end,
+      '","values":[{"value":', event_id, '}]},{"name":"total_video_view_total_time","values":[{"value":', event_id, '}]},',
+      '{"name":"post_video_likes_by_reaction_type","values":[{"value":{"REACTION_LIKE":', user_id, '}}]},{"name":"post_comments","values":[{"value":', user_id, '}]}]}')"""
+    events = f.table("events")
+    videos = _parsed(events, video, schemas.FACEBOOK_VIDEO)
+    return videos, payloads.facebook_insights(_parsed(events, answer, schemas.FACEBOOK_INSIGHTS))
+
+
+@query
+def facebook_rows(f):
+    videos, insights = _facebook(f)
+    metrics = payloads.facebook_metrics(videos, insights, as_of=AS_OF).select(
+        "platform_video_id", "views_native", "legacy_views_3s", "avg_watch_seconds", "total_watch_seconds",
+        "video_length_seconds", "likes", "reactions_like", "comments", "reach",
+    )
+    sources = payloads.facebook_sources(videos).select("platform_video_id", "platform_format", "title", "published_at", "duration_seconds")
+    return metrics.join(sources, "platform_video_id")
+
+
+@query
+def facebook_rows_older(f):
+    videos, insights = _facebook(f)
+    metrics = payloads.facebook_metrics_older(videos, insights, as_of=AS_OF).drop("platform")
+    return metrics.join(payloads.facebook_sources_older(videos).select("platform_video_id", "platform_format", "title"), "platform_video_id")
+
+
+@query
+def instagram_rows(f):
+    media = """concat('{"account_id":"a', user_id % 5, '","id":"', event_id, '","caption":"', repeat(event_type, 30), '","media_type":"',
+      case when event_id % 3 = 0 then 'IMAGE' else 'VIDEO' end, '","media_product_type":"', case when event_id % 4 = 0 then 'REELS' else 'FEED' end,
+      '","timestamp":"2024-01-', lpad(event_id % 28 + 1, 2, '0'), 'T10:00:00+0000","like_count":', user_id, ',"video_view_count":', event_id, '}')"""
+    answer = """concat('{"id":"', event_id, '","data":[{"name":"views","values":[{"value":', case when event_id % 2 = 0 then string(event_id + 7) else '"?"' end, '}]}]}')"""
+    events = f.table("events")
+    rows = _parsed(events, media, schemas.INSTAGRAM_MEDIA).withColumn("pos", F.col("id").cast("long"))
+    insights = payloads.instagram_insights(_parsed(events, answer, schemas.INSTAGRAM_INSIGHTS))
+    return payloads.instagram_rows(rows, insights, since="2024-01-10 00:00:00", as_of=AS_OF, cap=500)
+
+
+@query
+def discovered_ids(f):
+    post = """concat('{"data":[{"attachments":{"data":[{"media_type":"', case when event_id % 2 = 0 then 'video_inline' else 'photo' end,
+      '","target":{"id":"t', user_id, '","type":"', case when event_id % 3 = 0 then 'Video' else 'photo' end, '"},"media":{"id":"m', event_id % 300, '"}}]}}]}')"""
+    listing = """concat('{"data":[{"id":"t', user_id + 3, '"},{"id":"u', event_id % 40, '"}]}')"""
+    events = f.table("events")
+    posts = _parsed(events, post, schemas.FACEBOOK_POSTS, "event_id")
+    uploads = _parsed(events, listing, schemas.FACEBOOK_LISTING, "event_id")
+    return payloads.discovered_ids(
+        payloads.post_video_ids(posts, "event_id"), payloads.listing_video_ids(uploads, "event_id")
+    )
+
+
+@query
+def playlist_ids(f):
+    body = """concat('{"items":[{"contentDetails":{"videoId":"', case when event_id % 6 = 0 then ' ' else concat('y', event_id) end, '"}}]}')"""
+    pages = _parsed(f.table("events"), body, schemas.YOUTUBE_PLAYLIST, "event_id")
+    return payloads.playlist_video_ids(pages, "event_id").select("id")
+
+
+@query
+def foreign_series(f):
+    body = """case event_id % 3 when 0 then concat('[[', 1704067200 + event_id, ',', event_id, ']]')
+      when 1 then concat('{"points":[{"t":', 1704067200000 + event_id, ',"y":"', user_id, '"}]}') else concat('{"2024-01-01T00:00:00Z":', event_id, '.5}') end"""
+    return series.parse_series(f.table("events").select("event_id", F.expr(body).alias("body")), "event_id", "body")
+
+
+@query
+def zurich_times(f):
+    return f.video.select("id", zurich_time(F.col("published_at")).alias("local_published_at"))

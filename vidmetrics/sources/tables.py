@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +109,33 @@ def upsert_snapshots(ms: DataFrame, stored: DataFrame) -> DataFrame:
     return known.select("id", *fields).unionByName(fresh.select("id", *fields))
 
 
+def merge_points(spark: SparkSession, path: str, stored: DataFrame) -> None:
+    """S14 on a point table kept in one folder per day: only the days of the batch are read and
+    rewritten, whatever the size of the table. Points are named by their key, so no id is looked up.
+
+    The days of a batch are few (late rows are dropped per source), so they are listed for pruning.
+    """
+    keys = ["source_video_id", "snapshot_at"]
+    incoming = stored.withColumn("day", F.to_date("snapshot_at"))
+    fields = [c for c in incoming.columns if c not in ("id", "arrival_seq")]
+    rows = incoming.select(*fields, "arrival_seq")
+    try:
+        current = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        days = [r[0] for r in incoming.select("day").distinct().collect()]
+        old = current.filter(F.col("day").isin(days)).select(*fields, F.lit(-1).cast("long").alias("arrival_seq"))
+        rows = old.unionByName(rows)
+    merged = first_rows(rows, keys, [F.col("arrival_seq").desc()]).drop("arrival_seq")
+    (
+        merged.withColumn("id", F.xxhash64(*keys)).repartition("day")
+        .sortWithinPartitions("day", *keys).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    )
+
+
 def dedup_latest(items: DataFrame) -> DataFrame:
     """Of items with the same platform, source (or platform id) and instant, the last arrival."""
     platform_id = F.concat_ws(":", F.coalesce("platform", F.lit("null")), F.coalesce("platform_video_id", F.lit("null")))
