@@ -57,9 +57,9 @@ SELECT v.id AS video_id, v.slug, v.title AS video_title, v.published_at AS video
   cast(sum(CASE WHEN e.platform = 'FACEBOOK' THEN e.views ELSE 0 END) AS bigint) AS views_fb,
   cast(sum(CASE WHEN e.platform = 'INSTAGRAM' THEN e.views ELSE 0 END) AS bigint) AS views_ig,
   cast(sum(CASE WHEN e.platform = 'TIKTOK' THEN e.views ELSE 0 END) AS bigint) AS views_tt,
-  round(sum(e.total_watch_seconds) / nullif(sum(e.views), 0) / nullif(v.duration_seconds, 0), 6) AS avg_watch_ratio_est,
-  round(sum(e.total_watch_seconds) / nullif(v.duration_seconds, 0), 6) AS watch_equivalent_sum,
-  round((sum(e.likes) + sum(e.comments) + sum(e.shares)) / nullif(sum(e.views), 0), 6) AS engagement_rate_sum
+  sum(e.total_watch_seconds) / nullif(sum(e.views), 0) / nullif(v.duration_seconds, 0) AS avg_watch_ratio_est,
+  sum(e.total_watch_seconds) / nullif(v.duration_seconds, 0) AS watch_equivalent_sum,
+  (sum(e.likes) + sum(e.comments) + sum(e.shares)) / nullif(sum(e.views), 0) AS engagement_rate_sum
 FROM video v LEFT JOIN source_video sv ON sv.video_id = v.id AND sv.is_active = 1
 LEFT JOIN e ON e.source_video_id = sv.id
 GROUP BY v.id, v.slug, v.title, v.published_at, v.duration_seconds)
@@ -71,15 +71,18 @@ TABLE = ROLL + ", stored AS (SELECT * REPLACE (" + ", ".join(
 last_measure AS (SELECT sv.video_id, max(ms.created_at) AS last_snapshot_at
 FROM source_video sv JOIN metric_snapshot ms ON ms.source_video_id = sv.id GROUP BY sv.video_id)
 """
-oracle("video_rollup", ROLL + "SELECT * FROM rollup", *BASE)
+ROUNDED = """REPLACE (round(avg_watch_ratio_est, 6) AS avg_watch_ratio_est, round(watch_equivalent_sum, 6) AS watch_equivalent_sum,
+  round(engagement_rate_sum, 6) AS engagement_rate_sum)"""
+oracle("video_rollup", ROLL + f"SELECT * {ROUNDED} FROM rollup", *BASE)
 oracle("video_last_snapshot", """SELECT sv.video_id, max(ms.created_at) AS last_snapshot_at
 FROM source_video sv JOIN metric_snapshot ms ON ms.source_video_id = sv.id GROUP BY sv.video_id""",
        "source_video", "metric_snapshot")
 
 
 def page(name: str, where: str, order: str, limit: int = 20, offset: int = 0) -> None:
-    oracle(name, TABLE + f"""SELECT s.*, l.last_snapshot_at FROM stored s LEFT JOIN last_measure l ON l.video_id = s.video_id
-{where} ORDER BY {order} LIMIT {limit} OFFSET {offset}""", *BASE)
+    oracle(name, TABLE + f"""SELECT * {ROUNDED} FROM (
+SELECT s.*, l.last_snapshot_at FROM stored s LEFT JOIN last_measure l ON l.video_id = s.video_id
+{where} ORDER BY {order} LIMIT {limit} OFFSET {offset})""", *BASE)
 
 
 page("list_views_desc", "", "s.views_native_sum DESC, s.video_published_at DESC, s.video_id DESC")
@@ -435,10 +438,15 @@ SELECT *, CASE WHEN source_platform_id = '' OR act NOT IN ('LINK', 'UNLINK') OR
   WHEN sid IS NULL THEN 'unknown' ELSE 'applied' END AS outcome FROM o)
 SELECT seq, source_platform, source_platform_id, CASE WHEN outcome <> 'invalid' THEN sid END AS source_video_id, act AS action, target_video_id, outcome FROM k""",
        "source_video", "override_request")
-oracle("resolve_duplicate", """, named AS (
-SELECT video_id AS gone, min(id) AS source_id FROM catalog_source WHERE video_id % 2 = 1 GROUP BY 1)
-SELECT c.id, CASE WHEN n.source_id = c.id THEN c.video_id - 1 WHEN n.gone IS NOT NULL THEN NULL ELSE c.video_id END AS video_id
-FROM catalog_source c LEFT JOIN named n ON n.gone = c.video_id""", "catalog_source")
+CHECKED = """, proposed AS (SELECT * FROM resolution WHERE keep_id <> delete_id),
+checked AS (
+SELECT keep_id, delete_id, source_id, CASE WHEN EXISTS (SELECT 1 FROM proposed x WHERE x.delete_id = p.keep_id) THEN 'kept video is deleted' END AS problem
+FROM proposed p)
+"""
+oracle("resolution_checks", CHECKED + "SELECT * FROM checked", "catalog_source", "resolution")
+oracle("resolve_duplicate", CHECKED + """SELECT c.id, CASE WHEN k.keep_id IS NOT NULL THEN k.keep_id
+  WHEN c.video_id IN (SELECT delete_id FROM checked WHERE problem IS NULL) THEN NULL ELSE c.video_id END AS video_id
+FROM catalog_source c LEFT JOIN (SELECT * FROM checked WHERE problem IS NULL) k ON k.source_id = c.id""", "catalog_source", "resolution")
 oracle("duplicate_pairs", """, pairs AS (
 SELECT a.id AS s1_id, b.id AS s2_id, cast(abs(epoch(a.published_at) - epoch(b.published_at)) AS bigint) AS d,
   a.video_id AS s1_video_id, a.title AS s1_title, a.published_at AS s1_published_at, a.duration_seconds AS s1_duration_seconds,

@@ -82,7 +82,7 @@ def test_video_detail_and_series(spark, fixtures, root):
 def test_health_overview_and_reconcile_documents(fixtures):
     f = fixtures
     doc = views.health_document(f.source_video, f.metric_snapshot, f.health_event, f.batch_event, as_of=AS_OF)
-    assert doc.platforms.count() == 4 and doc.last_batch.count() == 1 and not doc.alerts.isEmpty()
+    assert doc.platforms.count() == 5 and doc.last_batch.count() == 1 and not doc.alerts.isEmpty()
     seen = views.overview(f.metric_snapshot, f.source_video, f.video, as_of="2024-01-28")
     assert seen.platforms.count() == 4 and seen.latest_video.count() == 1 and seen.alerts.count() > 0
     run, report = views.reconcile_with_overrides(f.catalog_source, f.video, f.reconcile_override)

@@ -112,7 +112,8 @@ from part
 """,
     "health_event": """
 select event_id as seq, date_trunc('millisecond', ts) as happened_at,
-  case user_id%4 when 0 then 'YOUTUBE' when 1 then 'FACEBOOK' when 2 then 'INSTAGRAM' else 'TIKTOK' end as platform,
+  case user_id%4 when 0 then 'YOUTUBE' when 1 then 'FACEBOOK' when 2 then 'INSTAGRAM'
+    else case when event_type<>'error' and ts >= timestamp '2024-01-27 00:00:00' then 'WORDPRESS' else 'TIKTOK' end end as platform,
   case when event_type='error' then 'ERROR' else 'SUCCESS' end as outcome,
   case when event_id%5=0 then null else date_trunc('millisecond', ts) end as snapshot_at,
   event_id%9000 as duration_ms, event_id%400 as items,
@@ -121,7 +122,10 @@ select event_id as seq, date_trunc('millisecond', ts) as happened_at,
        when user_id%4=2 and event_id%3<>0 then timestamp '2024-01-15 00:00:00' end as token_expires_at,
   case when event_type='error' then concat(case when event_id%7=0 then 'HTTP 401 OAuth call ' else 'HTTP 500 call ' end, cast(event_id as string)) end as message
 from events
-where not (user_id%4=3 and event_type<>'error' and ts >= timestamp '2024-01-27 00:00:00')
+""",
+    "resolution": """
+select id as source_id, video_id as delete_id, min(video_id) over (partition by title) as keep_id
+from catalog_source where video_id is not null
 """,
     "batch_event": """
 select event_id as seq, concat('run-', cast(cast(floor(event_id/20) as bigint) as string)) as run_id,
@@ -135,7 +139,7 @@ from events
 }
 
 _NEEDS = {
-    "source_video": (), "video": (), "metric_snapshot": (), "snapshot_feed": ("metric_snapshot",),
+    "snapshot_feed": ("metric_snapshot",), "resolution": ("catalog_source",),
 }
 
 

@@ -417,15 +417,22 @@ def override_requests(f):
     return reconcile.register_overrides(f.override_request, f.source_video)
 
 
+def _resolutions(f: Fixtures) -> tuple[DataFrame, DataFrame]:
+    """Every source proposes to merge its video into the first one with its title."""
+    videos = f.catalog_source.select(F.floor(F.col("id") / 4).alias("id")).distinct()
+    return f.resolution.filter(F.col("keep_id") != F.col("delete_id")), videos
+
+
+@query
+def resolution_checks(f):
+    proposed, videos = _resolutions(f)
+    return reconcile.check_resolutions(proposed, f.catalog_source, videos)
+
+
 @query
 def resolve_duplicate(f):
-    """Every second video of the catalogue is merged into the one before it, through its first source."""
-    linked = f.catalog_source.filter(F.col("video_id").isNotNull())
-    videos = f.catalog_source.select(F.floor(F.col("id") / 4).alias("id")).distinct()
-    resolutions = linked.groupBy("video_id").agg(F.min("id").alias("source_id")).filter(
-        F.col("video_id") % 2 == 1
-    ).select((F.col("video_id") - 1).alias("keep_id"), F.col("video_id").alias("delete_id"), "source_id")
-    sources, _ = reconcile.resolve_duplicates(f.catalog_source, videos, resolutions)
+    proposed, videos = _resolutions(f)
+    sources, _ = reconcile.resolve_duplicates(f.catalog_source, videos, proposed)
     return sources.select("id", "video_id")
 
 
