@@ -269,6 +269,11 @@ oracle("baseline_median", CURVES + f"""SELECT d.source, d.granularity, d.age_buc
 FROM dense d WHERE EXISTS (SELECT 1 FROM source_video sv WHERE sv.video_id = d.video_id AND sv.platform = d.source
   AND sv.published_at >= {NOW} - interval 25 day) GROUP BY 1, 2, 3""", "source_video", "metric_snapshot")
 
+oracle("compared_curves", CURVES + """, medians AS (
+SELECT source, age_bucket, quantile_disc(views_cum, 0.5) AS m FROM dense GROUP BY 1, 2)
+SELECT d.video_id, d.source, d.granularity, d.age_bucket, round(d.views_cum, 6) AS views_cum, round(m.m, 6) AS median_views
+FROM dense d JOIN medians m USING (source, age_bucket)""", "source_video", "metric_snapshot")
+
 # ---- deltas ----------------------------------------------------------------
 DELTAS = """, known AS (
 SELECT *, epoch_ms(snapshot_at) AS t FROM metric_snapshot

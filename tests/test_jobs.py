@@ -105,3 +105,16 @@ def test_merge_rewrites_only_the_days_of_the_batch(spark, tmp_path):
     assert [r.views_native for r in got] == [10, 21, 25, 30]
     assert {p.name for p in Path(path).glob("day=2024-01-01/*.parquet")} == before
     assert len({r.id for r in got}) == 4
+    second = tables.read_points(spark, path, start="2024-01-02 05:00:00", end="2024-01-02 05:30:00")
+    assert [r.views_native for r in second.collect()] == [21]
+    assert "PartitionFilters: [isnotnull(day" in second._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bucketed_points_are_not_shuffled(spark, fixtures):
+    from vidmetrics.operators.enrich import latest_per_source
+
+    tables.save_bucketed(fixtures.metric_snapshot, "bucketed_points", "source_video_id", 4, ["snapshot_at"])
+    newest = latest_per_source(spark.table("bucketed_points"))
+    assert "Exchange hashpartitioning" not in newest._jdf.queryExecution().executedPlan().toString()
+    assert newest.exceptAll(latest_per_source(fixtures.metric_snapshot)).isEmpty()
+    spark.sql("DROP TABLE bucketed_points")

@@ -137,7 +137,8 @@ def sparse_fold(
     ``feed`` has a unique ``arrival_seq``, ``source_video_id``, ``snapshot_at`` and counters; rows are
     folded in arrival order. ``seed`` holds already stored points, of which the newest per source is
     the initial state. Very long histories are cut at points whose result does not depend on the
-    past (see ``_segments``), so one source can be folded by many tasks.
+    past (see ``_segments``), so one source can be folded by many tasks. ``block`` is a width in
+    arrival numbers; a feed should span at most some hundred thousand blocks.
     """
     fields = feed_fields(feed)
     if "views_native" not in fields:

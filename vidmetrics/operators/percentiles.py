@@ -95,3 +95,17 @@ def baseline_median(
         "source", "granularity", "age_bucket", F.col("p50").alias("median_views"),
         F.col("n").alias("count_videos"),
     )
+
+
+def curves_with_baseline(
+    dense: DataFrame, baseline: DataFrame, *, video_ids: Sequence[int] | None = None
+) -> DataFrame:
+    """Q8, comparator: curves aligned on publication beside the median of their platform.
+
+    The baseline has one row per (platform, age): a few thousand rows whatever the data.
+    """
+    curves = dense if video_ids is None else dense.filter(F.col("video_id").isin(list(video_ids)))
+    medians = baseline.select("source", "granularity", "age_bucket", "median_views")
+    return curves.join(F.broadcast(medians), ["source", "granularity", "age_bucket"], "left").select(
+        "video_id", "source", "granularity", "age_bucket", "views_cum", "median_views"
+    )

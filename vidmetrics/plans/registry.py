@@ -291,6 +291,15 @@ def baseline_median(f):
     return rounded(found, "median_views")
 
 
+@query
+def compared_curves(f):
+    dense = _dense(f)
+    found = percentiles.curves_with_baseline(
+        dense, percentiles.baseline_median(dense, f.source_video, as_of=AS_OF)
+    )
+    return rounded(found, "views_cum", "median_views")
+
+
 # ---- deltas and alerts -----------------------------------------------------
 
 @query

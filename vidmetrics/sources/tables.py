@@ -136,6 +136,24 @@ def merge_points(spark: SparkSession, path: str, stored: DataFrame) -> None:
     )
 
 
+def read_points(spark: SparkSession, path: str, *, start=None, end=None) -> DataFrame:
+    """Points of a day-wise table in a closed range; the range also picks the day folders."""
+    points = spark.read.parquet(path)
+    if start is not None:
+        since = F.lit(start).cast("timestamp")
+        points = points.filter((F.col("day") >= F.to_date(since)) & (F.col("snapshot_at") >= since))
+    if end is not None:
+        until = F.lit(end).cast("timestamp")
+        points = points.filter((F.col("day") <= F.to_date(until)) & (F.col("snapshot_at") <= until))
+    return points
+
+
+def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, sort_by: Sequence[str] = ()) -> None:
+    """Saves a table bucketed on ``key``: later groupings and joins on the key need no shuffle."""
+    rows = df.repartition(buckets, key)
+    rows.write.mode("overwrite").bucketBy(buckets, key).sortBy(key, *sort_by).saveAsTable(table)
+
+
 def dedup_latest(items: DataFrame) -> DataFrame:
     """Of items with the same platform, source (or platform id) and instant, the last arrival."""
     platform_id = F.concat_ws(":", F.coalesce("platform", F.lit("null")), F.coalesce("platform_video_id", F.lit("null")))
