@@ -181,6 +181,9 @@ FROM latest l JOIN source_video sv ON sv.id = l.source_video_id WHERE sv.video_i
 SELECT *, cast(sum(engagement) OVER (PARTITION BY video_id) AS bigint) AS engagement_video FROM g""",
        "source_video", "metric_snapshot")
 
+oracle("ordered_sources", "SELECT video_id, id, platform, platform_format, is_active FROM source_video WHERE video_id IS NOT NULL", "source_video")
+oracle("latest_video", "SELECT * FROM video ORDER BY published_at DESC NULLS LAST, id DESC LIMIT 1", "video")
+
 # ---- series ----------------------------------------------------------------
 SERIES = f""", series AS (
 SELECT sv.video_id, sv.platform, date_trunc('hour', ms.snapshot_at) AS ts, cast(max(coalesce(ms.views_native, 0)) AS bigint) AS value
@@ -337,6 +340,23 @@ oracle("sparse_stored", WALK + f"""SELECT arrival_seq, source_video_id, snapshot
 QUALIFY row_number() OVER (PARTITION BY source_video_id, snapshot_at ORDER BY arrival_seq DESC) = 1""", "snapshot_feed", recursive=True)
 oracle("ingest_report", WALK + """SELECT reason, stored, count(*) AS items, cast(sum(corrections) AS bigint) AS monotonic_corrections
 FROM walk GROUP BY 1, 2""", "snapshot_feed", recursive=True)
+oracle("ingest_totals", WALK + """SELECT count(*) AS ok, cast(0 AS bigint) AS ko, count(*) FILTER (stored) AS stored,
+  count(*) FILTER (NOT stored) AS skipped, cast(sum(corrections) AS bigint) AS monotonic_corrections FROM walk""", "snapshot_feed", recursive=True)
+# The newest stored point of a source is at or after everything in the feed: a row at the same
+# instant updates it, every other row is late.
+oracle("seeded_decisions", """, newest AS (SELECT source_video_id, max(snapshot_at) AS n FROM metric_snapshot GROUP BY 1)
+SELECT f.arrival_seq, f.source_video_id, f.snapshot_at, f.snapshot_at = n.n AS stored,
+  CASE WHEN f.snapshot_at = n.n THEN 'same_timestamp_update' ELSE 'out_of_order' END AS reason
+FROM snapshot_feed f JOIN newest n ON n.source_video_id = f.source_video_id""", "snapshot_feed")
+UPSERTED = """, k AS (
+SELECT *, row_number() OVER (PARTITION BY platform, platform_video_id ORDER BY arrival_seq DESC) AS rn FROM source_update)
+"""
+oracle("source_changes", UPSERTED + """SELECT CASE WHEN s.id IS NULL THEN 'inserted'
+  WHEN s.is_active = 1 AND s.platform_format IS NOT DISTINCT FROM k.platform_format AND s.title IS NOT DISTINCT FROM k.title
+    AND s.published_at IS NOT DISTINCT FROM k.published_at AND s.duration_seconds IS NOT DISTINCT FROM k.duration_seconds THEN 'unchanged'
+  ELSE 'updated' END AS change, count(*) AS sources
+FROM k LEFT JOIN source_video s ON s.platform = k.platform AND s.platform_video_id = k.platform_video_id WHERE rn = 1 GROUP BY 1""",
+       "source_video", "source_update")
 oracle("upsert_sources", """, last AS (
 SELECT * FROM source_update QUALIFY row_number() OVER (PARTITION BY platform, platform_video_id ORDER BY arrival_seq DESC) = 1),
 firsts AS (SELECT platform, platform_video_id, min(arrival_seq) AS seq FROM source_update GROUP BY 1, 2),
@@ -443,6 +463,11 @@ SELECT *, CASE WHEN source_platform_id = '' OR act NOT IN ('LINK', 'UNLINK') OR
   WHEN sid IS NULL THEN 'unknown' ELSE 'applied' END AS outcome FROM o)
 SELECT seq, source_platform, source_platform_id, CASE WHEN outcome <> 'invalid' THEN sid END AS source_video_id, act AS action, target_video_id, outcome FROM k""",
        "source_video", "override_request")
+oracle("appended_overrides", """, o AS (
+SELECT r.seq, s.id AS source_video_id, upper(r.action) AS action, r.target_video_id FROM override_request r
+JOIN source_video s ON s.platform = r.source_platform AND s.platform_video_id = r.source_platform_id
+WHERE r.source_platform_id <> '' AND (upper(r.action) = 'UNLINK' OR (upper(r.action) = 'LINK' AND r.target_video_id IS NOT NULL)))
+SELECT 1000 + row_number() OVER (ORDER BY seq) AS id, source_video_id, action, target_video_id FROM o""", "source_video", "override_request")
 CHECKED = """, proposed AS (SELECT * FROM resolution WHERE keep_id <> delete_id),
 checked AS (
 SELECT keep_id, delete_id, source_id, CASE WHEN EXISTS (SELECT 1 FROM proposed x WHERE x.delete_id = p.keep_id) THEN 'kept video is deleted' END AS problem

@@ -17,9 +17,9 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = build_session(
-        "vidmetrics-tests", "local[4]",
+        "vidmetrics-tests", "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
+            "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoint")),
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
         },

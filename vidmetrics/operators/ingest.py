@@ -130,7 +130,7 @@ _EMIT, _STATE_ONLY = 1, 0
 
 def sparse_fold(
     feed: DataFrame, seed: DataFrame | None = None, *, rules: SparseRules = SparseRules(),
-    block: int = 1 << 20, rows_per_segment: int = 2_000_000,
+    block: int = 1 << 20, rows_per_segment: int = 500_000,
 ) -> DataFrame:
     """One decision per received snapshot, with the merged counters.
 

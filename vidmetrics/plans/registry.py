@@ -15,6 +15,7 @@ from vidmetrics.operators import (
     similarity, trend,
 )
 from vidmetrics.operators.catalog import VideoListQuery
+from vidmetrics.plans.views import overview
 from vidmetrics.sources import payloads, tables
 
 QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {}
@@ -195,6 +196,16 @@ def snapshot_explorer(f):
     )
 
 
+@query
+def ordered_sources(f):
+    return catalog.ordered_sources(f.source_video).select("video_id", "id", "platform", "platform_format", "is_active")
+
+
+@query
+def latest_video(f):
+    return overview(f.metric_snapshot, f.source_video, f.video, as_of=AS_OF).latest_video
+
+
 # ---- series ----------------------------------------------------------------
 
 def _series(f: Fixtures, **args) -> DataFrame:
@@ -336,6 +347,24 @@ def ingest_report(f):
     return ingest.ingest_report(ingest.sparse_fold(f.snapshot_feed))
 
 
+@query
+def ingest_totals(f):
+    return ingest.ingest_totals(ingest.ingest_report(ingest.sparse_fold(f.snapshot_feed)))
+
+
+@query
+def seeded_decisions(f):
+    """The feed folded onto points that are already stored."""
+    return ingest.sparse_fold(f.snapshot_feed, f.metric_snapshot).select(
+        "arrival_seq", "source_video_id", "snapshot_at", "stored", "reason"
+    )
+
+
+@query
+def source_changes(f):
+    return tables.change_report(tables.upsert_sources(f.source_video, f.source_update))
+
+
 @query
 def upsert_sources(f):
     return tables.upsert_sources(f.source_video, f.source_update)
@@ -432,6 +461,11 @@ def _resolutions(f: Fixtures) -> tuple[DataFrame, DataFrame]:
     return f.resolution.filter(F.col("keep_id") != F.col("delete_id")), videos
 
 
+@query
+def appended_overrides(f):
+    return reconcile.overrides_to_append(reconcile.register_overrides(f.override_request, f.source_video), 1000)
+
+
 @query
 def resolution_checks(f):
     proposed, videos = _resolutions(f)
