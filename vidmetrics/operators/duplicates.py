@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from vidmetrics.operators.enrich import ratio
 from vidmetrics.operators.spread import first_rows
+from vidmetrics.session import ensure_checkpoint_dir
 
 _FIRST_RADII = (0, 60, 900, 3600, 6 * 3600)
 
@@ -141,7 +142,9 @@ def duplicate_report(
     limit, offset = max(1, min(1000, limit)), max(0, offset)
     wanted = limit + offset
     window_s = max(1, window_h) * 3600
-    rows = _interchangeable_cut(_narrow(sv), wanted)
+    # Read by the two proofs and by both sides of every join: written once to the shared folder.
+    ensure_checkpoint_dir(sv.sparkSession)
+    rows = _interchangeable_cut(_narrow(sv), wanted).checkpoint()
     tol_s = max(0, tol_s)
     radius = _radius(rows, window_s, tol_s, wanted)
     bound = _first_id_bound(rows, tol_s, wanted) if radius == 0 else None
