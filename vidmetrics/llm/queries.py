@@ -7,10 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vidmetrics.llm import packing, simhash
+from vidmetrics.llm import compression, packing, secrets, simhash
 from vidmetrics.llm.common import table
 
 
+def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.compression_rules(table(spark, sf_dir, "documents"))
+
+
+def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op7_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, errors=3)
 
@@ -20,6 +28,8 @@ def op8_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_simhash_trie, op8_complement_packing)
+    f.__name__: f for f in (
+        op2_compression_bands, op4_trigram_secrets, op7_simhash_trie, op8_complement_packing,
+    )
 }
 ORACLES: dict[str, str] = {}
