@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vidmetrics.llm import compression, packing, secrets, simhash
+from vidmetrics.llm import compression, discriminant, language, packing, secrets, simhash
 from vidmetrics.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op6_quadratic_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discriminant.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), folds=3, held_out=1)
+
+
 def op7_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, errors=3)
 
@@ -27,9 +31,14 @@ def op8_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
 
 
+def op9_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_of(table(spark, sf_dir, "documents"), folds=5, held_out=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_compression_bands, op4_trigram_secrets, op7_simhash_trie, op8_complement_packing,
+        op2_compression_bands, op4_trigram_secrets, op6_quadratic_quality, op7_simhash_trie, op8_complement_packing,
+        op9_viterbi_language,
     )
 }
 ORACLES: dict[str, str] = {}
