@@ -51,6 +51,15 @@ def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, kind)
 
 
+def map_rows(docs: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
+    """``map_arrow`` over whole rows of documents, with the same columns out; further columns may share
+    names with one another."""
+    names = docs.columns
+    apart = docs.toDF(*[n if names.index(n) == i else f"{n}__{i}" for i, n in enumerate(names)])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in apart.schema)
+    return map_arrow(apart, work, schema).toDF(*names)
+
+
 def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a text column, without a copy through str; null is empty."""
     column = batch.column(batch.schema.get_field_index(name))

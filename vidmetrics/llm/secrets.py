@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vidmetrics.llm.common import column, id_and_text, map_arrow, strings
+from vidmetrics.llm.common import column, id_and_text, map_arrow, map_rows, strings
 
 
 @dataclass(frozen=True)
@@ -288,7 +288,4 @@ def mask_secrets(docs: DataFrame, *, rules: Sequence[Rule] = BASE_RULES + MORE_R
             made = {n: batch.column(k) for k, n in enumerate(batch.schema.names)} | {"text": texts}
             yield made if sizes is None else made | {"n_chars": sizes}
 
-    names = docs.columns
-    apart = docs.toDF(*[n if names.count(n) == 1 else f"{n}__{i}" for i, n in enumerate(names)])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in apart.schema)
-    return map_arrow(apart, work, schema).toDF(*names)
+    return map_rows(docs, work)
