@@ -11,11 +11,15 @@ sequences); Spark numbers the pieces of each length and reads place and sequence
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,27 +34,61 @@ REMEMBERED_WORDS = 400_000
 ROWS_PER_GROUP = 4096
 
 
+# --- fixed value: how the vocabulary splits a lower-case word -----------------
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# ------------------------------------------------------------------------------
+#: Characters that are composed already and whose lower case stands alone.
+PLAIN = re.compile(r"[!-~\xa1-\u012f]+")
+
+
 class WordIds:
-    """Little-endian ids of a text. The vocabulary drops white space before its merges, so words
-    between ASCII white space have ids of their own and are looked up once."""
+    """Little-endian ids of a text, looked up by word.
+
+    The vocabulary drops white space before its merges, so what stands between ASCII white space has ids
+    of its own. A new word of plain characters is lowered and split here and only its parts go through the
+    merges; every other word goes through the whole tokenizer.
+    """
 
     def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are written as native unsigned 32-bit integers, little end first")
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.known: dict[bytes, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.written = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.split = regex.compile(SPLIT).findall
+        self.known = _Made(self._word)
+        self.parts = _Made(self._part)
+
+    def _part(self, part: str) -> bytes:
+        letters = part if part.isascii() else self.written(part)[0][0]
+        return array("I", [t.id for t in self.merge(letters)]).tobytes()
+
+    def _word(self, raw: bytes) -> bytes:
+        word = raw.decode()
+        if not PLAIN.fullmatch(word) or "<|" in word:
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        word = word.lower()
+        return self.parts[word] if word.isalpha() else b"".join([self.parts[p] for p in self.split(word)])
 
     def of(self, text: bytes) -> bytes:
-        words = text.split()
+        for memory in (self.known, self.parts):
+            if len(memory) > REMEMBERED_WORDS:
+                memory.clear()
         known = self.known
-        missing = [w for w in set(words) if w not in known]
-        if missing:
-            if len(known) > REMEMBERED_WORDS:
-                known.clear()
-                missing = list(set(words))
-            coded = self.tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False)
-            known.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(missing, coded))
-        return b"".join([known[w] for w in words])
+        return b"".join([known[w] for w in text.split()])
+
+
+class _Made(dict):
+    """Values that are made when they are first asked for."""
+
+    def __init__(self, make: Callable):
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, *, capacity: int = CAPACITY) -> DataFrame:
