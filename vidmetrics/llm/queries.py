@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vidmetrics.llm import compression, discriminant, language, packing, secrets, simhash, templates, toxicity
+from vidmetrics.llm import compression, discriminant, language, packing, secrets, simhash, suffixes, templates, toxicity
 from vidmetrics.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.repeats(table(spark, sf_dir, "documents"), least=400))
+
+
 def op4_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -47,7 +51,7 @@ def op9_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_template_leaks, op2_compression_bands, op4_trigram_secrets, op5_subsequence_toxicity, op6_quadratic_quality, op7_simhash_trie, op8_complement_packing,
+        op1_template_leaks, op2_compression_bands, op3_suffix_repeats, op4_trigram_secrets, op5_subsequence_toxicity, op6_quadratic_quality, op7_simhash_trie, op8_complement_packing,
         op9_viterbi_language,
     )
 }
