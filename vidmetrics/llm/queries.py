@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vidmetrics.llm import compression, discriminant, language, packing, secrets, simhash, suffixes, templates, toxicity
+from vidmetrics.llm import attention, compression, discriminant, language, packing, secrets, simhash, suffixes, templates, toxicity
 from vidmetrics.llm.common import table
 
 
@@ -49,10 +49,16 @@ def op9_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_of(table(spark, sf_dir, "documents"), folds=5, held_out=0)
 
 
+def op10_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.text_scores(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, folds=10, held_out=0
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_template_leaks, op2_compression_bands, op3_suffix_repeats, op4_trigram_secrets, op5_subsequence_toxicity, op6_quadratic_quality, op7_simhash_trie, op8_complement_packing,
-        op9_viterbi_language,
+        op9_viterbi_language, op10_attention_scores,
     )
 }
 _SPACE = r"[ \t\n\x0B\f\r]"
