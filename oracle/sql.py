@@ -387,10 +387,10 @@ SELECT CASE WHEN kept IS NULL THEN (SELECT max(id) FROM metric_snapshot) + row_n
 oracle("dedup_latest", """SELECT arrival_seq, source_video_id, snapshot_at, views_native FROM snapshot_feed
 QUALIFY row_number() OVER (PARTITION BY source_video_id, snapshot_at ORDER BY arrival_seq DESC) = 1""", "snapshot_feed")
 oracle("minimal_sources", """, u AS (
-SELECT r.platform, r.platform_video_id, min(r.pos) AS seq FROM requested_id r
+SELECT r.platform, r.platform_video_id, min(r.pos) AS seq, arg_min(CASE r.pos % 3 WHEN 1 THEN 'SHORT' ELSE 'VIDEO' END, r.pos) FILTER (r.pos % 3 <> 0) AS platform_format FROM requested_id r
 WHERE NOT EXISTS (SELECT 1 FROM source_video s WHERE s.platform = r.platform AND s.platform_video_id = r.platform_video_id) GROUP BY 1, 2)
 SELECT (SELECT max(id) FROM source_video) + row_number() OVER (ORDER BY seq) AS id, cast(NULL AS bigint) AS video_id, platform, platform_video_id,
-  'VIDEO' AS platform_format, 1 AS is_active FROM u""", "source_video", "requested_id")
+  platform_format, 1 AS is_active FROM u""", "source_video", "requested_id")
 oracle("filled_formats", """SELECT s.id, coalesce(s.platform_format,
   (SELECT arg_min(u.platform_format, u.arrival_seq) FROM source_update u WHERE u.platform = s.platform AND u.platform_video_id = s.platform_video_id)) AS platform_format
 FROM source_video s""", "source_video", "source_update")
@@ -468,10 +468,17 @@ SELECT r.seq, s.id AS source_video_id, upper(r.action) AS action, r.target_video
 JOIN source_video s ON s.platform = r.source_platform AND s.platform_video_id = r.source_platform_id
 WHERE r.source_platform_id <> '' AND (upper(r.action) = 'UNLINK' OR (upper(r.action) = 'LINK' AND r.target_video_id IS NOT NULL)))
 SELECT 1000 + row_number() OVER (ORDER BY seq) AS id, source_video_id, action, target_video_id FROM o""", "source_video", "override_request")
-CHECKED = """, proposed AS (SELECT * FROM resolution WHERE keep_id <> delete_id),
+CHECKED = """, given AS (SELECT * FROM resolution WHERE keep_id <> delete_id),
+odd AS (SELECT CASE source_id % 3 WHEN 0 THEN keep_id + 1000000 ELSE keep_id END AS keep_id, delete_id,
+  CASE source_id % 3 WHEN 1 THEN source_id + 1000000 ELSE source_id END AS source_id FROM given WHERE source_id % 5 = 0),
+proposed AS (SELECT keep_id, delete_id, source_id FROM given WHERE source_id % 5 <> 0 UNION ALL SELECT * FROM odd UNION ALL SELECT * FROM odd WHERE source_id % 3 = 2),
+vids AS (SELECT DISTINCT id // 4 AS id FROM catalog_source),
+own AS (SELECT *, CASE WHEN keep_id NOT IN (SELECT id FROM vids) OR delete_id NOT IN (SELECT id FROM vids) THEN 'unknown video'
+  WHEN source_id NOT IN (SELECT id FROM catalog_source) THEN 'unknown source'
+  WHEN count(*) OVER (PARTITION BY source_id) > 1 THEN 'source named twice' END AS mine FROM proposed),
 checked AS (
-SELECT keep_id, delete_id, source_id, CASE WHEN EXISTS (SELECT 1 FROM proposed x WHERE x.delete_id = p.keep_id) THEN 'kept video is deleted' END AS problem
-FROM proposed p)
+SELECT keep_id, delete_id, source_id, coalesce(mine, CASE WHEN EXISTS (SELECT 1 FROM own x WHERE x.mine IS NULL AND x.delete_id = p.keep_id) THEN 'kept video is deleted' END) AS problem
+FROM own p)
 """
 oracle("resolution_checks", CHECKED + "SELECT * FROM checked", "catalog_source", "resolution")
 oracle("resolve_duplicate", CHECKED + """SELECT c.id, CASE WHEN k.keep_id IS NOT NULL THEN k.keep_id
@@ -500,7 +507,7 @@ state AS (
 SELECT platform, max_by(happened_at, seq) FILTER (outcome = 'SUCCESS') AS last_success_at,
   max_by(snapshot_at, seq) FILTER (outcome = 'SUCCESS' AND snapshot_at IS NOT NULL) AS last_snapshot_at,
   CASE WHEN max_by(outcome, seq) = 'ERROR' THEN max_by(happened_at, seq) END AS last_error_at,
-  CASE WHEN max_by(outcome, seq) = 'ERROR' THEN max_by(left(message, 1000), seq) END AS last_error,
+  CASE WHEN max_by(outcome, seq) = 'ERROR' THEN max_by(message, seq) END AS last_error,
   max_by(duration_ms, seq) AS last_duration_ms, max_by(items, seq) FILTER (outcome = 'SUCCESS') AS last_items,
   max_by(status_now, seq) AS token_status,
   max_by({'x': token_expires_at}, seq) FILTER (outcome = 'SUCCESS' OR token_expires_at IS NOT NULL).x AS token_expires_at
@@ -640,8 +647,7 @@ ORACLES["instagram_rows"] = f"""SELECT 'INSTAGRAM' AS platform, CASE WHEN event_
   timestamp '2024-01-01 10:00:00' + to_days(cast(event_id % 28 AS int)) AS published_at, {NOW} AS snapshot_at,
   CASE WHEN event_id % 2 = 0 THEN event_id + 7 ELSE event_id END AS views_native, CASE WHEN event_id % 2 = 1 THEN user_id END AS likes,
   cast(NULL AS bigint) AS comments, cast(NULL AS bigint) AS shares, cast(NULL AS bigint) AS reach FROM events
-WHERE (event_id % 4 = 0 OR event_id % 3 <> 0) AND event_id % 28 + 1 >= 10
-QUALIFY row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) <= 500"""
+WHERE (event_id % 4 = 0 OR event_id % 3 <> 0) AND event_id % 28 + 1 >= 10"""
 ORACLES["discovered_ids"] = """WITH a AS (
 SELECT 0 AS feed, CASE WHEN event_id % 2 = 0 OR event_id % 3 = 0 THEN 't' || user_id ELSE 'm' || event_id % 300 END AS id FROM events
 UNION ALL SELECT 1, 't' || (user_id + 3) FROM events UNION ALL SELECT 1, 'u' || event_id % 40 FROM events)

@@ -50,6 +50,7 @@ def test_not_numeric(spark):
 
 
 @pytest.mark.parametrize("value, want", [
+    ("1704103200.5", dt.datetime(2024, 1, 1, 10, 0, 0, 500000)), ("-5", dt.datetime(1969, 12, 31, 23, 59, 55)),
     ("1704103200", dt.datetime(2024, 1, 1, 10)), ("1704103200250", dt.datetime(2024, 1, 1, 10, 0, 0, 250000)),
     ("2025-10-01T11:46:23+0000", dt.datetime(2025, 10, 1, 11, 46, 23)),
     ("2025-10-01T11:46:23+02:00", dt.datetime(2025, 10, 1, 9, 46, 23)), ("soon", None),

@@ -43,6 +43,35 @@ def test_new_version_replaces_the_old_one(spark, tmp_path):
     assert tables.read_table(spark, root, "t").count() == 4
 
 
+def test_the_last_announced_version_is_read(spark, tmp_path):
+    root = str(tmp_path)
+    for version in ("9", "10"):
+        tables.replace_table(spark.range(int(version)), root, "t", version)
+    assert tables.read_table(spark, root, "t").count() == 10
+    tables.replace_table(spark.range(2), root, "t", "9")
+    assert tables.read_table(spark, root, "t").count() == 2
+
+
+def test_a_day_is_written_by_several_tasks(spark, tmp_path):
+    from pathlib import Path
+
+    rows = [(i, i, dt.datetime(2024, 1, 1, 5), i) for i in range(200)]
+    points = spark.createDataFrame(rows, "arrival_seq long, source_video_id long, snapshot_at timestamp, views_native long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables.merge_points(spark, str(tmp_path / "p"), points)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list(Path(tmp_path / "p").glob("day=2024-01-01/*.parquet"))) > 1
+
+
+def test_formats_of_later_items_count(spark):
+    sv = spark.createDataFrame([], "id long, video_id long, platform string, platform_video_id string, platform_format string, is_active int")
+    items = spark.createDataFrame([(1, "X", "a", None), (2, "X", "a", "SHORT"), (3, "X", "a", "VIDEO"), (4, "X", "b", None)], "arrival_seq long, platform string, platform_video_id string, platform_format string")
+    got = {r.platform_video_id: r.platform_format for r in tables.create_minimal_sources(sv, items).collect()}
+    assert got == {"a": "SHORT", "b": None}
+
+
 def test_minimum_interval(spark):
     log = job.log_entry(spark, "v1", AS_OF)
     assert not job.may_refresh(log, AS_OF + dt.timedelta(seconds=60))

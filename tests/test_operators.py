@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vidmetrics.operators import align, catalog, duplicates, health, percentiles, quality, reconcile, rollup, series, spread, trend
+from vidmetrics.operators import align, catalog, duplicates, enrich, health, percentiles, quality, reconcile, rollup, series, spread, trend
 from vidmetrics.operators.catalog import SORTS, VideoListQuery, sort_columns
 
 T0 = dt.datetime(2024, 1, 1)
@@ -22,10 +22,31 @@ SOURCES = "id long, video_id long, platform string, title string, description st
 def test_numbering_is_dense_and_in_order(spark):
     ids = random.Random(1).sample(range(5000), 700)
     df = spark.createDataFrame([(i,) for i in ids], "id long")
-    got = {r.id: r.n for r in spread.numbered(df, "id", 100, "n", width=64).collect()}
+    got = {r.id: r.n for r in spread.numbered(df, "id", 100, "n").collect()}
     assert got == {i: 101 + k for k, i in enumerate(sorted(ids))}
 
 
+def test_numbering_of_hash_ids(spark):
+    ids = [random.Random(2).getrandbits(64) - (1 << 63) for _ in range(1)] + [random.Random(k).getrandbits(64) - (1 << 63) for k in range(3, 600)]
+    df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(3)
+    got = spread.numbered(df, "id", 0, "n")
+    assert {r.id: r.n for r in got.collect()} == {i: 1 + k for k, i in enumerate(sorted(ids))}
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    assert spread.numbered(df.limit(0), "id", 0, "n").count() == 0
+
+
+def test_large_requests_are_honoured(spark):
+    rows = [(i, i // 2, "YOUTUBE", f"t{i}", None, T0 + dt.timedelta(seconds=i // 7), 60, 1) for i in range(2400)]
+    sv = spark.createDataFrame(rows, SOURCES)
+    assert duplicates.duplicate_report(sv, limit=6000).count() == 6000
+    points = spark.range(12_000).select(
+        "id", F.lit(1).cast("long").alias("source_video_id"), F.timestamp_seconds("id").alias("snapshot_at"), F.col("id").alias("likes"),
+    )
+    one = spark.createDataFrame([(1, 1, "YOUTUBE")], "id long, video_id long, platform string")
+    assert enrich.explore_snapshots(points, one, "likes", size=6000).count() == 6000
+    assert enrich.explore_snapshots(points, one, "likes", size=0).count() == 200
+
+
 @pytest.fixture(scope="module")
 def walk(spark):
     rng = random.Random(2)
@@ -305,7 +326,7 @@ def test_sort_names_and_fallback():
 
 
 def test_page_clamp():
-    assert (VideoListQuery(size=0).limit, VideoListQuery(size=9999).limit, VideoListQuery(page=-1).offset) == (1, 5000, 0)
+    assert (VideoListQuery(size=0).limit, VideoListQuery(size=9999).limit, VideoListQuery(page=-1).offset) == (20, 9999, 0)
 
 
 def test_search_ignores_case_and_accents(spark):
@@ -369,7 +390,7 @@ def test_batch_runs(spark):
     df = spark.createDataFrame(rows, "seq long, run_id string, status string, started_at timestamp, finished_at timestamp, duration_ms long, items long, message string")
     got = health.fold_batch_runs(df).collect()
     assert len(got) == 1 and got[0].started_at == T0 and got[0].status == "SUCCESS"
-    assert (got[0].duration_ms, got[0].items, len(got[0].error)) == (0, 0, 1000)
+    assert (got[0].duration_ms, got[0].items, len(got[0].error)) == (0, 0, 2000)
 
 
 # ---- quality ---------------------------------------------------------------

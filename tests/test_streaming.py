@@ -60,7 +60,7 @@ def test_live_buckets_equal_the_batch_series(spark, fixtures, tmp_path):
     points.coalesce(1).write.parquet(landing)
     stream = spark.readStream.schema(points.schema).parquet(landing)
     q = (
-        live_buckets(stream, fixtures.source_video).writeStream.outputMode("complete").format("memory")
+        live_buckets(stream, fixtures.source_video, lateness="400 days").writeStream.outputMode("complete").format("memory")
         .queryName("live_buckets").trigger(availableNow=True).start()
     )
     q.awaitTermination(240)

@@ -83,12 +83,17 @@ def iso_instant(text: Column) -> Column:
 
 
 def wire_instant(text: Column, arrived_at: Column) -> Column:
-    """epoch seconds or milliseconds, ISO text, or the arrival time when absent; to the ms.
+    """epoch seconds or milliseconds (any number, fractions and negative ones too), ISO text, or the arrival time when absent; to the ms.
 
     NULL means the text is there but cannot be read.
     """
-    number = F.when(text.rlike(r"^\d+$"), text.try_cast("long"))
-    epoch = F.when(number >= EPOCH_MS_FROM, F.timestamp_millis(number)).otherwise(F.timestamp_seconds(number))
+    whole = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("long"))
+    fraction = F.when(text.rlike(_NUMERIC), F.trim(text).try_cast("double"))
+    number = F.coalesce(
+        F.when(whole >= EPOCH_MS_FROM, whole).otherwise(whole * 1000),
+        F.floor(F.when(fraction >= EPOCH_MS_FROM, fraction).otherwise(fraction * 1000)),
+    )
+    epoch = F.timestamp_millis(number)
     return F.date_trunc(
         "millisecond",
         F.when(is_empty(text), arrived_at).when(number.isNotNull(), epoch).otherwise(iso_instant(text)),

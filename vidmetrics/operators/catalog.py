@@ -65,12 +65,17 @@ def sort_columns(sort: str | None) -> list[Column]:
     return _ORDERS[key](way == "desc")
 
 
+DEFAULT_SIZE = 20
+#: Pages of up to so many ids are broadcast.
+BROADCAST_PAGE = 100_000
+
+
 @dataclass(frozen=True)
 class VideoListQuery:
-    """Arguments of the list; unknown platforms, formats and sorts are ignored."""
+    """Arguments of the list; unknown platforms, formats and sorts are ignored, a size below 1 is the default."""
 
     page: int = 1
-    size: int = 20
+    size: int = DEFAULT_SIZE
     q: str | None = None
     platform: str | None = None
     format: str | None = None
@@ -80,16 +85,27 @@ class VideoListQuery:
 
     @property
     def limit(self) -> int:
-        return max(1, min(5000, self.size))
+        return self.size if self.size > 0 else DEFAULT_SIZE
 
     @property
     def offset(self) -> int:
         return (max(1, self.page) - 1) * self.limit
 
 
+# --- fixed values: letters with accents and their plain forms, in the same order -------
+_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
+_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+# ----------------------------------------------------------------------------------------
+
+
+def _folded(text: Column) -> Column:
+    return F.translate(F.lower(text), _ACCENTED, _PLAIN)
+
+
 def _title_match(text: str) -> Column:
     if "%" in text or "_" in text:  # the caller's own wildcards; pattern matching knows no collation
-        return F.ilike(F.col("video_title"), F.lit(f"%{text}%")) | F.ilike(F.col("slug"), F.lit(f"%{text}%"))
+        pattern = _folded(F.lit(f"%{text}%"))
+        return F.like(_folded(F.col("video_title")), pattern) | F.like(_folded(F.col("slug")), pattern)
     needle = F.collate(F.lit(text), CASELESS)
     return F.contains(F.collate(F.col("video_title"), CASELESS), needle) | F.contains(
         F.collate(F.col("slug"), CASELESS), needle
@@ -126,13 +142,13 @@ def list_videos(
 ) -> DataFrame:
     """The page is cut first; last measure and trend are computed for its videos only.
 
-    A page has at most 5000 rows (the clamp of its size), so it is fetched once and its ids filter
-    the sources; otherwise every use of the page would sort the whole list again.
+    Nothing runs before the result is asked for. The page is kept once it is sorted, for its ids also
+    filter the sources; they are broadcast if the request is small.
     """
-    spark = rollup.sparkSession
-    found = page_of(filter_videos(rollup, sv, query), query)
-    page = spark.createDataFrame(found.collect(), found.schema)
-    ids = F.broadcast(page.select("video_id"))
+    page = page_of(filter_videos(rollup, sv, query), query).persist()
+    ids = page.select("video_id")
+    if query.limit <= BROADCAST_PAGE:
+        ids = F.broadcast(ids)
     page_sources = sv.join(ids, "video_id", "left_semi")
     page_snapshots = ms.join(
         page_sources.select(F.col("id").alias("source_video_id")), "source_video_id", "left_semi"

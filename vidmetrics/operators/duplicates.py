@@ -139,7 +139,7 @@ def duplicate_report(
     show: Sequence[str] = ("video_id", "title", "published_at", "duration_seconds"),
 ) -> DataFrame:
     """The closest pairs, by distance and ids. Descriptive columns join the page only."""
-    limit, offset = max(1, min(1000, limit)), max(0, offset)
+    limit, offset = max(1, limit), max(0, offset)
     wanted = limit + offset
     window_s = max(1, window_h) * 3600
     # Read by the two proofs and by both sides of every join: written once to the shared folder.

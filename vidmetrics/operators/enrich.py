@@ -77,7 +77,7 @@ def series_top_n(ms: DataFrame, sv: DataFrame, v: DataFrame, n: int = 50) -> Dat
     """The ``n`` newest points of every source, enriched."""
     newest = first_rows(
         ms, ["source_video_id"], [F.col("snapshot_at").desc(), F.col("id").desc()],
-        max(1, min(1000, n)),
+        max(1, n),
     )
     return enrich_snapshots(newest, sv, v)
 
@@ -98,7 +98,7 @@ def explore_snapshots(
     ms: DataFrame, sv: DataFrame, metric: str, *, video_id: int | None = None,
     platform: str | None = None, start=None, end=None, page: int = 1, size: int = 200,
 ) -> DataFrame:
-    """Raw values of one metric, filtered and paged."""
+    """Raw values of one metric, filtered and paged; a size below 1 is the default."""
     if metric not in COUNTERS:
         raise ValueError(f"unknown metric {metric}")
     sources = sv
@@ -112,7 +112,7 @@ def explore_snapshots(
     if end is not None:
         rows = rows.filter(F.col("snapshot_at") <= F.lit(end).cast("timestamp"))
     sources = sources.select(F.col("id").alias("source_video_id"), "video_id", "platform")
-    size = max(1, min(5000, size))
+    size = size if size > 0 else 200
     return (
         rows.join(sources, "source_video_id")
         .select(

@@ -10,7 +10,6 @@ from vidmetrics.operators.spread import first_rows, instant
 # --- fixed values -----------------------------------------------------------
 # Parts of an error text that point to an expired or refused token.
 TOKEN_SIGNS = ("401", "403", "oauth", "access token", "invalid credential", "keyinvalid", "expired")
-MESSAGE_WIDTH = 1000
 STALE_WARNING_HOURS, STALE_CRITICAL_HOURS, TOKEN_WARNING_DAYS = 26, 72, 14
 # Alert texts: platform, then the instant, count or error they name.
 TEXT = {
@@ -63,7 +62,7 @@ def fold_platform_events(events: DataFrame) -> DataFrame:
         newest(F.col("happened_at"), success).alias("last_success_at"),
         newest(F.col("snapshot_at"), success & F.col("snapshot_at").isNotNull()).alias("last_snapshot_at"),
         newest(F.when(~success, F.col("happened_at")), always).alias("last_error_at"),
-        newest(F.when(~success, F.substring("message", 1, MESSAGE_WIDTH)), always).alias("last_error"),
+        newest(F.when(~success, F.col("message")), always).alias("last_error"),
         newest(F.col("duration_ms"), always).alias("last_duration_ms"),
         newest(F.col("items"), success).alias("last_items"),
         newest(token_status, always).alias("token_status"),
@@ -79,7 +78,7 @@ def fold_batch_runs(events: DataFrame) -> DataFrame:
         F.greatest(F.lit(0), F.col("duration_ms")).alias("duration_ms"),
         F.upper(F.trim(F.coalesce("status", F.lit("RUNNING")))).alias("status"),
         F.greatest(F.lit(0), F.col("items")).alias("items"),
-        F.substring("message", 1, MESSAGE_WIDTH).alias("error"),
+        F.col("message").alias("error"),
     )
     # greatest() skips NULL, so unknown durations and counts are put back.
     known = F.struct(

@@ -215,25 +215,26 @@ def overrides_to_append(registered: DataFrame, start_id: int) -> DataFrame:
 
 
 def check_resolutions(resolutions: DataFrame, sv: DataFrame, v: DataFrame) -> DataFrame:
-    """Resolutions with a ``problem``: unknown ids, keeping what is deleted, a source named twice."""
+    """Resolutions with a ``problem``: unknown ids, keeping what is deleted, a source named twice. Only a
+    resolution without a problem of its own deletes a video for the others."""
     videos = v.select(F.col("id").alias("_vid"))
-    deleted = resolutions.select(F.col("delete_id").alias("_gone")).distinct()
     named = resolutions.groupBy("source_id").agg(F.count("*").alias("_named"))
-    return (
+    own = (
+        F.when(F.col("_keep").isNull() | F.col("_delete").isNull(), "unknown video")
+        .when(F.col("_source").isNull(), "unknown source").when(F.col("_named") > 1, "source named twice")
+    )
+    known = (
         resolutions
         .join(videos.withColumnRenamed("_vid", "_keep"), F.col("keep_id") == F.col("_keep"), "left")
         .join(videos.withColumnRenamed("_vid", "_delete"), F.col("delete_id") == F.col("_delete"), "left")
         .join(sv.select(F.col("id").alias("_source")), F.col("source_id") == F.col("_source"), "left")
-        .join(deleted, F.col("keep_id") == F.col("_gone"), "left")
         .join(named, "source_id", "left")
-        .withColumn(
-            "problem",
-            F.when(F.col("_keep").isNull() | F.col("_delete").isNull(), "unknown video")
-            .when(F.col("_source").isNull(), "unknown source")
-            .when(F.col("_gone").isNotNull(), "kept video is deleted")
-            .when(F.col("_named") > 1, "source named twice"),
-        )
-        .select("keep_id", "delete_id", "source_id", "problem")
+        .select("keep_id", "delete_id", "source_id", own.alias("_own"))
+    )
+    deleted = known.filter(F.col("_own").isNull()).select(F.col("delete_id").alias("_gone")).distinct()
+    problem = F.coalesce("_own", F.when(F.col("_gone").isNotNull(), "kept video is deleted"))
+    return known.join(deleted, F.col("keep_id") == F.col("_gone"), "left").select(
+        "keep_id", "delete_id", "source_id", problem.alias("problem")
     )
 
 

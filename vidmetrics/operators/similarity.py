@@ -107,7 +107,7 @@ def cluster_star_pairs(clustered: DataFrame, clusters: DataFrame) -> DataFrame:
     ).select(F.col("cluster_id").alias("a_id"), F.col("id").alias("b_id"))
 
 
-def components(vertices: DataFrame, edges: DataFrame, *, max_rounds: int = 100) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component), the component being its lowest id; vertices without edges stand alone.
 
     Every round takes the lowest label among the neighbours and then the label of that label, so long
@@ -118,7 +118,7 @@ def components(vertices: DataFrame, edges: DataFrame, *, max_rounds: int = 100)
     both = edges.select(F.col("a_id").alias("from"), F.col("b_id").alias("to"))
     both = both.unionByName(both.select(F.col("to").alias("from"), F.col("from").alias("to"))).distinct().checkpoint()
     labels = vertices.select("id", F.col("id").alias("component")).checkpoint()
-    for _ in range(max_rounds):
+    while True:
         near = (
             both.join(labels, both["to"] == labels["id"]).groupBy(F.col("from").alias("id"))
             .agg(F.min("component").alias("near"))
@@ -133,4 +133,3 @@ def components(vertices: DataFrame, edges: DataFrame, *, max_rounds: int = 100)
         labels = moved.select("id", "component")
         if moved.filter(F.col("component") != F.col("old")).isEmpty():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

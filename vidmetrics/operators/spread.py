@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vidmetrics.session import ensure_checkpoint_dir
+
 
-# Default of spark.sql.optimizer.windowGroupLimitThreshold.
-_EARLY_CUT = 1000
 _PARTS = 512
+_EARLY_CUT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def instant(as_of) -> Column:
@@ -27,10 +28,10 @@ def instant(as_of) -> Column:
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows per key. Spark cuts to ``n`` before the shuffle (window group limit).
 
-    Spark skips that early cut for large ``n``; the same cut is then made on hashed parts of each
-    key first, so that one key still never meets in one task as a whole.
+    Spark makes no such cut above a threshold of the session; the same cut is then made on hashed parts
+    of each key first, so that one key still never meets in one task as a whole.
     """
-    if n > _EARLY_CUT:
+    if n > int(df.sparkSession.conf.get(_EARLY_CUT, "1000")):
         part = F.pmod(F.xxhash64(*df.columns), F.lit(_PARTS))
         parts = Window.partitionBy(*keys, "_part").orderBy(*order)
         df = (
@@ -87,22 +88,24 @@ def with_running_max(
     )
 
 
-def numbered(df: DataFrame, id_col: str, start: Column | int, name: str, width: int = 1 << 20) -> DataFrame:
+def numbered(df: DataFrame, id_col: str, start: Column | int, name: str) -> DataFrame:
     """Adds ``start`` + the rank of the unique long ``id_col``: dense surrogate numbers in id order.
 
-    Ranks are taken inside id ranges of ``width`` values (so at most ``width`` rows per window) and
-    shifted by the row count of the lower ranges, one row per range.
+    Rows are dealt into ranges of ids, by samples, so hash ids spread like dense ones, and kept in the
+    shared folder; ranks are taken inside ranges and shifted by the row counts of the lower ranges, one
+    number per range.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(id_col) / F.lit(width)))
-    lower = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (
-        ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-        .select("_range", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_shift"))
-    )
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(id_col).withColumn("_range", F.spark_partition_id()).checkpoint()
+    shift, rows = 0, []
+    for number, count in sorted(map(tuple, ranged.groupBy("_range").count().collect())):  # one row per partition
+        rows.append((number, shift))
+        shift += count
+    shifts = F.broadcast(df.sparkSession.createDataFrame(rows, "_range int, _shift long"))
     inside = Window.partitionBy("_range").orderBy(id_col)
     begin = start if isinstance(start, Column) else F.lit(start)
     return (
         ranged.withColumn("_rank", F.row_number().over(inside))
-        .join(shift, "_range")
+        .join(shifts, "_range")
         .select(*df.columns, (begin + F.col("_shift") + F.col("_rank")).cast("long").alias(name))
     )

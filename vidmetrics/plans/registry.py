@@ -386,7 +386,8 @@ def dedup_latest(f):
 @query
 def minimal_sources(f):
     items = f.requested_id.select(
-        F.col("pos").alias("arrival_seq"), "platform", "platform_video_id", F.lit("VIDEO").alias("platform_format")
+        F.col("pos").alias("arrival_seq"), "platform", "platform_video_id",
+        F.expr("case pos % 3 when 0 then null when 1 then 'SHORT' else 'VIDEO' end").alias("platform_format"),
     )
     return tables.create_minimal_sources(f.source_video, items)
 
@@ -458,7 +459,13 @@ def override_requests(f):
 def _resolutions(f: Fixtures) -> tuple[DataFrame, DataFrame]:
     """Every source proposes to merge its video into the first one with its title."""
     videos = f.catalog_source.select(F.floor(F.col("id") / 4).alias("id")).distinct()
-    return f.resolution.filter(F.col("keep_id") != F.col("delete_id")), videos
+    proposed = f.resolution.filter(F.col("keep_id") != F.col("delete_id"))
+    # Unknown videos and sources, and sources named twice.
+    odd = proposed.filter("source_id % 5 = 0").select(
+        F.expr("case source_id % 3 when 0 then keep_id + 1000000 else keep_id end").alias("keep_id"), "delete_id",
+        F.expr("case source_id % 3 when 1 then source_id + 1000000 else source_id end").alias("source_id"),
+    )
+    return proposed.filter("source_id % 5 <> 0").unionByName(odd).unionByName(odd.filter("source_id % 3 = 2")), videos
 
 
 @query
@@ -676,7 +683,7 @@ def instagram_rows(f):
     events = f.table("events")
     rows = _parsed(events, media, schemas.INSTAGRAM_MEDIA).withColumn("pos", F.col("id").cast("long"))
     insights = payloads.instagram_insights(_parsed(events, answer, schemas.INSTAGRAM_INSIGHTS))
-    return payloads.instagram_rows(rows, insights, since="2024-01-10 00:00:00", as_of=AS_OF, cap=500)
+    return payloads.instagram_rows(rows, insights, since="2024-01-10 00:00:00", as_of=AS_OF)
 
 
 @query

@@ -120,9 +120,10 @@ def source_items(batches: DataFrame) -> DataFrame:
 def insight_long(value: Column, kind: Column) -> Column:
     """whole numbers as they are, fractions times 10 000, numeric text by its shape."""
     text = F.trim(value.try_cast("string"))
-    scaled = F.floor(F.abs(text.try_cast("double")) * DECIMAL_SCALE + 0.5) * F.signum(text.try_cast("double"))
+    scaled = F.floor(text.try_cast("double") * DECIMAL_SCALE + 0.5)  # halves go up, below zero too
     return (
         F.when(kind.isin("BIGINT", "TINYINT", "SMALLINT", "INT"), value.try_cast("long"))
+        .when(kind.startswith("DECIMAL") & text.rlike(r"^-?\d+$"), text.try_cast("long"))  # NULL beyond a long
         .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), scaled.cast("long"))
         .when((kind == "STRING") & text.rlike(r"^-?\d+$"), text.try_cast("long"))
         .when((kind == "STRING") & text.rlike(r"^-?\d*\.\d+$"), scaled.cast("long"))
@@ -175,12 +176,12 @@ def facebook_insights(answers: DataFrame) -> DataFrame:
         answers.select("id", F.posexplode("data").alias("pos", "m"))
         .select("id", "pos", F.col("m.name").alias("name"), F.try_element_at("m.values", F.lit(1))["value"].alias("value"))
         .filter(value.isNotNull()).withColumn("kind", kind(value))
-        .select("id", "pos", F.explode(values).alias("f"))
-        .select("id", "pos", "f.*")
+        .select("id", "pos", F.posexplode(values).alias("at", "f"))
+        .select("id", "pos", "at", "f.*")
         .withColumn("value", insight_long(value, F.schema_of_variant(value)))
         .filter(F.col("value").isNotNull())
         .groupBy("id", "name")
-        .agg(F.max_by("value", F.col("pos").cast("long") * (1 << 32) + F.col("sub")).alias("value"))
+        .agg(F.max_by("value", F.col("pos").cast("long") * (1 << 32) + F.col("at")).alias("value"))
     )
 
 

@@ -25,11 +25,19 @@ SOURCE_FIELDS = (
 # ---- reading and writing ---------------------------------------------------
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The current version of a stored table."""
-    version = spark.read.text(f"{root}/{name}/_versions").agg(F.max("value")).first()[0]
-    if version is None:
+    """The current version of a stored table, the one that was announced last."""
+    found = _announced(spark, root, name)
+    if found is None:
         raise ValueError(f"{name} has no version yet")
-    return spark.read.parquet(f"{root}/{name}/{version}")
+    return spark.read.parquet(f"{root}/{name}/{found[1]}")
+
+
+def _announced(spark: SparkSession, root: str, name: str) -> tuple[int, str] | None:
+    """(number of the announcement, version) of the last one: lines are ``number<TAB>version``."""
+    parts = F.split("value", "\t", 2)
+    lines = spark.read.text(f"{root}/{name}/_versions").select(parts[0].cast("long").alias("number"), parts[1].alias("version"))
+    last = lines.orderBy(F.col("number").desc(), F.col("version").desc()).first()
+    return None if last is None else (last["number"], last["version"])
 
 
 def replace_table(
@@ -37,8 +45,8 @@ def replace_table(
     sort_by: Sequence[str] = (),
 ) -> str:
     """Full overwrite. A version is announced only after its folder is complete, so readers see
-    the old or the new table, and a repeated write of one version gives the same table. The highest
-    version is the current one."""
+    the old or the new table, and a repeated write of one version gives the same table. The version
+    announced last is the current one, whatever its name; tables have one writer at a time."""
     spark = df.sparkSession
     rows = df.sortWithinPartitions(*partition_by, *sort_by) if sort_by else df
     writer = rows.write.mode("overwrite")
@@ -46,7 +54,14 @@ def replace_table(
         writer = writer.partitionBy(*partition_by)
     path = f"{root}/{name}/{version}"
     writer.parquet(path)
-    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("append").text(
+    try:
+        last = _announced(spark, root, name)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None
+    line = f"{last[0] + 1 if last else 1}\t{version}"
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("append").text(
         f"{root}/{name}/_versions"
     )
     return path
@@ -109,9 +124,10 @@ def upsert_snapshots(ms: DataFrame, stored: DataFrame) -> DataFrame:
     return known.select("id", *fields).unionByName(fresh.select("id", *fields))
 
 
-def merge_points(spark: SparkSession, path: str, stored: DataFrame) -> None:
+def merge_points(spark: SparkSession, path: str, stored: DataFrame, *, files_per_day: int = 32) -> None:
     """S14 on a point table kept in one folder per day: only the days of the batch are read and
-    rewritten, whatever the size of the table. Points are named by their key, so no id is looked up.
+    rewritten, whatever the size of the table. Points are named by their key, so no id is looked up. A
+    day is written by up to ``files_per_day`` tasks, each with its share of the sources.
 
     The days of a batch are few (late rows are dropped per source), so they are listed for pruning.
     """
@@ -130,7 +146,8 @@ def merge_points(spark: SparkSession, path: str, stored: DataFrame) -> None:
         rows = old.unionByName(rows)
     merged = first_rows(rows, keys, [F.col("arrival_seq").desc()]).drop("arrival_seq")
     (
-        merged.withColumn("id", F.xxhash64(*keys)).repartition("day")
+        merged.withColumn("id", F.xxhash64(*keys))
+        .repartition("day", F.pmod(F.xxhash64("source_video_id"), F.lit(files_per_day)))
         .sortWithinPartitions("day", *keys).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
     )
@@ -168,10 +185,10 @@ def dedup_latest(items: DataFrame) -> DataFrame:
 
 
 def create_minimal_sources(sv: DataFrame, items: DataFrame) -> DataFrame:
-    """Rows for platform ids no source has, numbered in arrival order; format of the first item."""
+    """Rows for platform ids no source has, numbered in arrival order; the first format an item reports."""
     unknown = items.join(sv.select(*SOURCE_KEY), list(SOURCE_KEY), "left_anti")
     firsts = unknown.groupBy(*SOURCE_KEY).agg(
-        F.min("arrival_seq").alias("_seq"), F.min_by("platform_format", "arrival_seq").alias("platform_format")
+        F.min("arrival_seq").alias("_seq"), F.min_by("platform_format", F.when(F.col("platform_format").isNotNull(), F.col("arrival_seq"))).alias("platform_format"),
     )
     top = sv.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     return numbered(firsts, "_seq", int(top), "id").select(

@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 
 def live_buckets(
     points: DataFrame, sv: DataFrame, *, metric: str = "views_native", interval: str = "hour",
-    lateness: str = "2 days",
+    lateness: str,
 ) -> DataFrame:
-    """The streaming twin of the bucket series, for ``update`` or ``append`` mode."""
+    """The streaming twin of the bucket series, for ``update`` or ``append`` mode.
+
+    Rows that are later than ``lateness`` behind the newest one are dropped; the caller states how late
+    rows may be. ``complete`` mode keeps every bucket and drops none.
+    """
     sources = sv.filter(F.col("video_id").isNotNull()).select(
         F.col("id").alias("source_video_id"), "video_id", "platform"
     )
