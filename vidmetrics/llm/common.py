@@ -68,6 +68,18 @@ def map_rows(docs: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterato
     return map_arrow(apart, work, schema).toDF(*names)
 
 
+#: Keys that may be sent to all executors (8 bytes each, some tens in a hash table).
+BROADCAST_KEYS = 1_000_000
+
+
+def of_keys(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join of ``rows`` with the distinct ``keys`` (key). Up to ``BROADCAST_KEYS`` keys, by
+    count, are broadcast, so that texts stay where they are; more are joined through a shuffle."""
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    keys = keys.select(F.col(key).alias("_key"))
+    return rows.join(F.broadcast(keys) if few else keys, rows[key] == F.col("_key"), how)
+
+
 def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a text column, without a copy through str; null is empty."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -25,13 +25,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vidmetrics.llm.common import column, dropped, id_and_text, map_arrow, saved, utf8
+from vidmetrics.llm.common import column, dropped, id_and_text, map_arrow, of_keys, saved, utf8
 from vidmetrics.llm.names import GRAM, Names, sliding_minimum
 
 #: Suffixes of a block; bytes whose runs are found together.
 BLOCK, BYTES_AT_ONCE = 16, 4 << 20
-#: Keys (8 bytes each) that may be sent to all executors; more are joined through a shuffle.
-BROADCAST_KEYS = 1_000_000
 RUN = ("key", "s", "n", "o")
 NAME = ("h1", "h2")
 
@@ -97,12 +95,6 @@ class SuffixFamily:
         return out.distinct()
 
 
-def _of_keys(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on key; the keys are broadcast if they are few."""
-    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return rows.join(F.broadcast(keys) if few else keys, "key", how)
-
-
 def _repeating(rows: DataFrame, *name: str) -> DataFrame:
     """The rows whose name at least two rows have."""
     often = rows.select(*name).groupBy(*name).count().filter("count > 1").select(*name)
@@ -164,7 +156,7 @@ def _run_bytes(packed: DataFrame, runs: DataFrame, least: int) -> DataFrame:
                         out[c].append(v)
             yield out
 
-    texts = _of_keys(packed.select("key", "z"), lists.select("key"), "left_semi")
+    texts = of_keys(packed.select("key", "z"), lists.select("key"), "key", "left_semi")
     return map_arrow(texts.join(lists, "key"), work, "key long, s int, n int, o int, z binary")
 
 
@@ -264,8 +256,8 @@ def repeats(docs: DataFrame, *, least: int = 400, batches: int = 3) -> DataFrame
     every = spans[0].unionByName(spans[1]).unionByName(spans[2])
     lists = saved(every.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("found")), "spans")
     keys = lists.select("key")
-    hit = _of_keys(packed, keys, "left_semi").join(lists, "key")
-    clean = _of_keys(packed, keys, "left_anti").withColumn("found", F.array().cast("array<struct<a: int, b: int>>"))
+    hit = of_keys(packed, keys, "key", "left_semi").join(lists, "key")
+    clean = of_keys(packed, keys, "key", "left_anti").withColumn("found", F.array().cast("array<struct<a: int, b: int>>"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         unpack = zstandard.ZstdDecompressor()
