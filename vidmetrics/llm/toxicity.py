@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from vidmetrics.llm.common import column, fold_of, id_and_text, map_arrow, map_rows, saved, strings
 
@@ -292,9 +291,9 @@ def fit(
     share = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
     if set(share) != {0, 1}:
         return None
-    drawn = known.dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id"))
-    drawn = drawn.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id")))
-    drawn = drawn.filter(F.col("k") <= documents_per_label).select("doc_id", "label", (F.col("k") % 5 == 0).alias("curve"))
+    known = known.dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id"))
+    drawn = [known.filter(F.col("label") == y).orderBy("h", "doc_id").limit(documents_per_label) for y in (0, 1)]
+    drawn = drawn[0].unionByName(drawn[1]).select("doc_id", "label", (F.pmod("h", F.lit(5)) == 0).alias("curve"))
     # At most 2 * documents_per_label ids.
     rows = saved(id_and_text(docs).join(F.broadcast(drawn), "doc_id").filter("text is not null"), "labelled")
     learn = rows.filter(~F.col("curve"))
