@@ -657,3 +657,32 @@ ORACLES["foreign_series"] = """SELECT event_id, CASE event_id % 3 WHEN 0 THEN (1
   cast(CASE event_id % 3 WHEN 0 THEN event_id WHEN 1 THEN user_id ELSE event_id + 0.5 END AS double) AS value FROM events"""
 # Zurich is one hour ahead of UTC all through the month of the events.
 oracle("zurich_times", "SELECT id, published_at + interval 1 hour AS local_published_at FROM video", "video")
+
+# ---- written and read back, composed views ---------------------------------
+oracle("stored_versions", "SELECT id, slug, duration_seconds FROM video", "video")
+oracle("exported_points", "SELECT id, source_video_id, snapshot_at, views_native, likes FROM metric_snapshot", "metric_snapshot")
+oracle("refreshed_rollup", TABLE + f"SELECT * {ROUNDED} FROM stored", *BASE)
+oracle("found_videos", """SELECT 'id' AS found_by, id, slug FROM video WHERE id = 1 UNION ALL SELECT 'slug', id, slug FROM video WHERE slug = 'v-2'
+UNION ALL SELECT 'publication', v.id, v.slug FROM video v WHERE v.id IN (SELECT video_id FROM source_video WHERE platform = 'TIKTOK' AND platform_video_id = 'pv3')""",
+       "video", "source_video")
+oracle("dry_run", C48 + "SELECT count(*) AS clusters FROM clusters", "video", "catalog_source", recursive=True)
+oracle("video_detail_parts", LATEST + """, own AS (SELECT id FROM source_video WHERE video_id = 1)
+SELECT 'video' AS part, cast(id AS bigint) AS id FROM video WHERE id = 1 UNION ALL SELECT 'source', id FROM own
+UNION ALL SELECT 'latest', id FROM latest WHERE source_video_id IN (FROM own)
+UNION ALL SELECT 'point', id FROM (SELECT id FROM metric_snapshot WHERE source_video_id IN (FROM own)
+  QUALIFY row_number() OVER (PARTITION BY source_video_id ORDER BY snapshot_at DESC, id DESC) <= 5)""", *BASE)
+oracle("video_series_view", SERIES + """, both_series AS (
+SELECT video_id, platform, ts, value FROM series UNION ALL SELECT video_id, 'ALL', ts, sum(value) FROM series GROUP BY ALL),
+run AS (SELECT video_id, platform, ts, cast(sum(value) OVER (PARTITION BY video_id, platform ORDER BY ts) AS bigint) AS value FROM both_series)
+SELECT video_id, platform, ts, value FROM (
+SELECT *, row_number() OVER (PARTITION BY video_id, platform ORDER BY ts) AS i, count(*) OVER (PARTITION BY video_id, platform) AS n FROM run)
+WHERE (i - 1) % greatest(1, cast(ceil(n / 20.0) AS bigint)) = 0 OR i = n""", *BASE)
+oracle("fuzzy_titles", r"""SELECT id, trim(regexp_replace(lower(concat_ws(' ', title, 'Été_-2')), '[^a-z0-9]+', ' ', 'g')) AS fuzzy_title FROM catalog_source""",
+       "catalog_source")
+ORACLES["unsigned_counts"] = """SELECT event_id, CASE event_id % 5 WHEN 1 THEN 0 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE event_id END AS count,
+  event_id % 5 = 2 AS rejected FROM events"""
+ORACLES["hms_values"] = """SELECT event_id, cast(CASE event_id % 4 WHEN 0 THEN event_id % 7 * 3600 + user_id % 60 * 60 + event_id % 60
+  WHEN 1 THEN user_id % 90 * 60 + event_id % 60 ELSE 0 END AS double) AS seconds FROM events"""
+ORACLES["first_discovered"] = """WITH a AS (SELECT event_id, 0 AS k, 't' || (user_id + 3) AS id FROM events UNION ALL SELECT event_id, 1, 'u' || event_id % 400 FROM events),
+f AS (SELECT id, min(event_id * 2 + k) AS first FROM a GROUP BY id)
+SELECT id, 0 AS feed FROM f ORDER BY first LIMIT 100"""

@@ -131,13 +131,7 @@ def clip_bands(
     hence the broadcast. Ages are generated per series instead of a range join on the bands.
     """
     unit = "DAY" if granularity == "day" else "HOUR"
-    quantiles = [c for c in bands.columns if re.fullmatch(r"p\d+_views", c)]
-    small = bands.filter(
-        (F.col("granularity") == granularity) & F.col("age_bucket").between(0, horizon)
-    ).select(
-        "source", "age_bucket", "count_videos",
-        *[F.col(c).cast("long").alias(c.removesuffix("_views")) for c in quantiles],
-    )
+    small = _small_bands(bands, granularity, horizon)
     ages = F.sequence(F.lit(0), F.least(F.col("max_bucket"), F.lit(horizon)))
     grid = last_buckets(series, v, granularity).select(
         "video_id", F.col("platform").alias("source"), "t0", F.explode(ages).alias("age_bucket")
@@ -145,7 +139,15 @@ def clip_bands(
     return grid.join(F.broadcast(small), ["source", "age_bucket"]).select(
         "video_id", "source", "age_bucket",
         F.timestamp_add(unit, F.col("age_bucket"), F.col("t0")).alias("ts"),
-        *[c.removesuffix("_views") for c in quantiles], "count_videos",
+        *_band_columns(small), "count_videos",
+    )
+
+
+def _small_bands(bands: DataFrame, granularity: str, horizon: int) -> DataFrame:
+    quantiles = [c for c in bands.columns if re.fullmatch(r"p\d+_views", c)]
+    return bands.filter((F.col("granularity") == granularity) & F.col("age_bucket").between(0, horizon)).select(
+        "source", "age_bucket", "count_videos",
+        *[F.col(c).cast("long").alias(c.removesuffix("_views")) for c in quantiles],
     )
 
 
@@ -153,21 +155,29 @@ def _band_columns(clipped: DataFrame) -> list[str]:
     return [c for c in clipped.columns if re.fullmatch(r"p\d+", c)]
 
 
-def carry_bands(series: DataFrame, clipped: DataFrame) -> DataFrame:
-    """One band value per point of the series, the last known one, 0 before the first."""
-    names = _band_columns(clipped)
-    bands = clipped.select("video_id", F.col("source").alias("platform"), "ts", *names)
-    w = Window.partitionBy("video_id", "platform").orderBy("ts").rowsBetween(
-        Window.unboundedPreceding, 0
+def carry_bands(
+    series: DataFrame, bands: DataFrame, v: DataFrame, *, granularity: str = "hour", horizon: int = 720
+) -> DataFrame:
+    """One band value per point of the series, the last known one, 0 before the first; only series
+    that have a band at all. A point meets the band of its own age, so no calendar grid is built."""
+    unit = "DAY" if granularity == "day" else "HOUR"
+    small = _small_bands(bands, granularity, horizon)
+    names = _band_columns(small)
+    starts = v.filter(F.col("published_at").isNotNull()).select(
+        F.col("id").alias("video_id"), F.date_trunc(unit, "published_at").alias("t0")
     )
-    have = bands.select("video_id", "platform").distinct()
+    age = F.timestamp_diff(unit, F.col("t0"), F.col("ts"))
+    own = F.when(F.timestamp_add(unit, age, F.col("t0")) == F.col("ts"), age).cast("int")
+    whole = Window.partitionBy("video_id", "platform")
+    upto = whole.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    youngest = small.groupBy("source").agg(F.min("age_bucket").alias("_youngest")).withColumnRenamed("source", "platform")
+    points = series.join(starts, "video_id").select("video_id", "platform", "ts", "value", own.alias("age_bucket"), age.alias("_age"))
     return (
-        series.join(have, ["video_id", "platform"], "left_semi")
-        .join(bands, ["video_id", "platform", "ts"], "left")
-        .select(
-            "video_id", "platform", "ts", "value",
-            *[F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0)).alias(c) for c in names],
-        )
+        points.join(F.broadcast(youngest), "platform")
+        .join(F.broadcast(small.withColumnRenamed("source", "platform")), ["platform", "age_bucket"], "left")
+        .withColumn("_oldest", F.greatest(F.lit(0), F.max("_age").over(whole)))
+        .withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(upto), F.lit(0)) for c in names})
+        .filter("_youngest <= _oldest").select("video_id", "platform", "ts", "value", *names)
     )
 
 

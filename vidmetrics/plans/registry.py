@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vidmetrics import schemas
 from vidmetrics.fixtures import AS_OF, Fixtures
-from vidmetrics.functions.text import is_teaser, normal_title, zurich_time
+from vidmetrics.functions.coerce import not_numeric, unsigned
+from vidmetrics.functions.text import fuzzy_text, is_teaser, normal_title, zurich_time
+from vidmetrics.functions.watch import hms_seconds
 from vidmetrics.operators import (
     align, catalog, duplicates, enrich, health, ingest, percentiles, quality, reconcile, rollup, series,
     similarity, trend,
 )
 from vidmetrics.operators.catalog import VideoListQuery
-from vidmetrics.plans.views import overview
+from vidmetrics.plans.refresh import refresh
+from vidmetrics.plans.views import overview, video_detail, video_series
+from vidmetrics.session import ensure_checkpoint_dir
 from vidmetrics.sources import payloads, tables
 
 QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {}
@@ -286,8 +292,7 @@ def bands_clipped(f):
 
 @query
 def bands_carried(f):
-    s = _series(f)
-    return series.carry_bands(s, series.clip_bands(_bands(f), s, f.video))
+    return series.carry_bands(_series(f), _bands(f), f.video)
 
 
 @query
@@ -716,3 +721,102 @@ def foreign_series(f):
 @query
 def zurich_times(f):
     return f.video.select("id", zurich_time(F.col("published_at")).alias("local_published_at"))
+
+
+# ---- what is written and read back, and the composed views -----------------
+
+def _folder(f: Fixtures) -> str:
+    """A new folder that all executors can reach."""
+    return f"{ensure_checkpoint_dir(f.video.sparkSession)}/written-{uuid.uuid4().hex}"
+
+
+@query
+def stored_versions(f):
+    """Of two versions, the one announced last is read, though its name sorts first."""
+    root = _folder(f)
+    tables.replace_table(f.video.filter("id % 2 = 0"), root, "video", "9")
+    tables.replace_table(f.video, root, "video", "10", ["duration_seconds"], ["id"])
+    return tables.read_table(f.video.sparkSession, root, "video").select("id", "slug", "duration_seconds")
+
+
+@query
+def exported_points(f):
+    path = _folder(f)
+    rows = f.metric_snapshot.select("id", "source_video_id", "snapshot_at", "views_native", "likes")
+    tables.export_csv(rows, path)
+    return rows.sparkSession.read.option("header", True).option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSS").schema(rows.schema).csv(path)
+
+
+@query
+def refreshed_rollup(f):
+    root = _folder(f)
+    refresh(f.metric_snapshot, f.source_video, f.video, root, as_of=datetime.fromisoformat(AS_OF), version="1", with_percentiles=False)
+    found = tables.read_table(f.video.sparkSession, root, "video_rollup")
+    return rounded(found, *ROLLUP_RATIOS)
+
+
+@query
+def found_videos(f):
+    """P9 by id, by slug and by publication."""
+    sv = f.source_video.filter("video_id is not null")
+    found = [
+        catalog.find_video(f.video, sv, video_id=1), catalog.find_video(f.video, sv, slug=" v-2 "),
+        catalog.find_video(f.video, sv, platform="tiktok", platform_video_id="pv3"),
+    ]
+    out = None
+    for by, rows in zip(("id", "slug", "publication"), found):
+        rows = rows.select(F.lit(by).alias("found_by"), "id", "slug")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def dry_run(f):
+    return reconcile.dry_run_report(f.catalog_source, f.video)
+
+
+@query
+def video_detail_parts(f):
+    """Q2 of one video as one tagged set of rows."""
+    d = video_detail(f.metric_snapshot, f.source_video, f.video, points=5, video_id=1)
+    parts = {"video": d.video, "source": d.sources, "latest": d.latest, "point": d.points}
+    out = None
+    for part, rows in parts.items():
+        rows = rows.select(F.lit(part).alias("part"), F.col("id").cast("long").alias("id"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def video_series_view(f):
+    """Q3: running totals per platform, then at most 20 points of each."""
+    found = video_series(f.metric_snapshot, f.source_video, f.video, as_of=AS_OF, running=True, limit=20)
+    per = found.by_platform.select("video_id", "platform", "ts", "value")
+    return per.unionByName(found.overall.select("video_id", F.lit("ALL").alias("platform"), "ts", "value"))
+
+
+@query
+def fuzzy_titles(f):
+    return f.catalog_source.select("id", fuzzy_text(F.concat_ws(" ", "title", F.lit("Été_-2"))).alias("fuzzy_title"))
+
+
+@query
+def unsigned_counts(f):
+    text = F.expr("""case event_id % 5 when 0 then concat(event_id, '.7') when 1 then concat('-', event_id) when 2 then concat(user_id, ' views')
+      when 3 then '' else string(event_id) end""")
+    return f.table("events").select("event_id", unsigned(text).alias("count"), not_numeric(text).alias("rejected"))
+
+
+@query
+def hms_values(f):
+    text = F.expr("""case event_id % 4 when 0 then concat(event_id % 7, ':', user_id % 60, ':', event_id % 60)
+      when 1 then concat(user_id % 90, ':', event_id % 60) when 2 then concat('x:', event_id) else string(event_id) end""")
+    return f.table("events").select("event_id", hms_seconds(text).alias("seconds"))
+
+
+@query
+def first_discovered(f):
+    """The first 100 listed ids."""
+    listing = """concat('{"data":[{"id":"t', user_id + 3, '"},{"id":"u', event_id % 400, '"}]}')"""
+    pages = _parsed(f.table("events"), listing, schemas.FACEBOOK_LISTING, "event_id")
+    return payloads.discovered_ids(payloads.listing_video_ids(pages, "event_id"), cap=100)
