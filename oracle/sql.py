@@ -686,3 +686,46 @@ ORACLES["hms_values"] = """SELECT event_id, cast(CASE event_id % 4 WHEN 0 THEN e
 ORACLES["first_discovered"] = """WITH a AS (SELECT event_id, 0 AS k, 't' || (user_id + 3) AS id FROM events UNION ALL SELECT event_id, 1, 'u' || event_id % 400 FROM events),
 f AS (SELECT id, min(event_id * 2 + k) AS first FROM a GROUP BY id)
 SELECT id, 0 AS feed FROM f ORDER BY first LIMIT 100"""
+
+
+# ---- fuzzy similarity -------------------------------------------------------
+def jaro_winkler(name: str, a: str, b: str, source: str) -> str:
+    """CTEs that end in ``name`` (a, b, jw): Jaro-Winkler of the distinct text pairs of ``source``. ``took`` has,
+    for each letter of the shorter text, the place of the letter taken in the longer one, 0 for none."""
+    return f"""{name}_s AS (SELECT DISTINCT {a} AS a, {b} AS b FROM {source}),
+{name}_x AS (SELECT *, string_split(CASE WHEN length(a) > length(b) THEN b ELSE a END, '') AS x, string_split(CASE WHEN length(a) > length(b) THEN a ELSE b END, '') AS y FROM {name}_s),
+{name}_r AS (SELECT *, greatest(len(y) // 2 - 1, 0) AS reach FROM {name}_x),
+{name}_u AS (SELECT *, list_reduce(list_transform(range(1, len(x) + 1), lambda i: [i]), lambda st, i: list_append(st,
+  coalesce(list_filter(range(greatest(1, i[1] - reach), least(len(y), i[1] + reach) + 1), lambda j: y[j] = x[i[1]] AND NOT list_contains(st, j))[1], 0)),
+  []::BIGINT[]) AS took FROM {name}_r),
+{name}_h AS (SELECT *, list_filter(took, lambda j: j > 0) AS hit FROM {name}_u),
+{name}_m AS (SELECT *, len(hit) AS m, list_sum(list_transform(list_zip(
+  list_transform(list_filter(range(1, len(x) + 1), lambda i: took[i] > 0), lambda i: x[i]), list_transform(list_sort(hit), lambda j: y[j])),
+  lambda z: (z[1] <> z[2])::INT)) / 2.0 AS moved FROM {name}_h),
+{name}_j AS (SELECT *, CASE WHEN a = b THEN 1 WHEN m = 0 OR a = '' OR b = '' THEN 0 ELSE (m / len(x) + m / len(y) + (m - moved) / m) / 3 END AS jaro FROM {name}_m),
+{name} AS (SELECT a, b, CASE WHEN jaro < 0.7 THEN jaro ELSE jaro + 0.1 * (1 - jaro) * coalesce(list_filter(range(0, 5),
+  lambda k: left(a, k) = left(b, k) AND k <= least(length(a), length(b)))[-1], 0) END AS jw FROM {name}_j)"""
+
+
+FUZZY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+SIMILAR = f""", texts AS (
+SELECT id, {FUZZY.format('title')} AS t, {FUZZY.format('description')} AS d, nullif(string_split({NORM}, ' ')[1], '') AS word,
+  epoch_ms(published_at) AS at FROM catalog_source),
+candidates AS (
+SELECT a.id AS a_id, b.id AS b_id, a.t AS a_t, b.t AS b_t, a.d AS a_d, b.d AS b_d, abs(a.at - b.at) // 3600000 AS hours FROM texts a JOIN texts b ON a.id < b.id
+  AND (a.word = b.word OR a.at // 259200000 = b.at // 259200000)),
+{jaro_winkler('tj', 'a_t', 'b_t', 'candidates')},
+{jaro_winkler('dj', 'a_d', 'b_d', 'candidates')},
+scored AS (
+SELECT a_id, b_id, tj.jw AS title_score, CASE WHEN a_d = '' OR b_d = '' THEN 0 ELSE dj.jw END AS description_score,
+  CASE WHEN hours <= 72 THEN 0.1 * (1 - hours / 72) ELSE 0 END AS bonus
+FROM candidates JOIN tj ON tj.a = a_t AND tj.b = b_t JOIN dj ON dj.a = a_d AND dj.b = b_d),
+linked AS (
+SELECT a_id, b_id, title_score, description_score, greatest(0, least(1, 0.6 * title_score + 0.3 * description_score + bonus)) AS score
+FROM scored WHERE 0.6 * title_score + 0.3 * description_score + bonus >= 0.78)
+"""
+oracle("similar_pairs", SIMILAR + """SELECT a_id, b_id, round(title_score, 6) AS title_score, round(description_score, 6) AS description_score,
+  round(score, 6) AS score FROM linked""", "catalog_source")
+oracle("similar_components", SIMILAR + """, links AS MATERIALIZED (SELECT a_id AS x, b_id AS y FROM linked UNION SELECT b_id, a_id FROM linked),
+reach AS (SELECT id AS x, id AS label FROM catalog_source UNION SELECT l.y, r.label FROM reach r JOIN links l ON l.x = r.x)
+SELECT x AS id, min(label) AS component FROM reach GROUP BY x""", "catalog_source", recursive=True)

@@ -57,3 +57,28 @@ def test_components_equal_union_find(spark, shape):
     got = similarity.components(spark.range(n), spark.createDataFrame(edges, "a_id long, b_id long"))
     assert {r.id: r.component for r in got.collect()} == {i: root(i) for i in range(n)}
     assert got.select(F.countDistinct("component")).first()[0] == len({root(i) for i in range(n)})
+
+
+def test_recall_of_the_blocks(spark, fixtures):
+    """The blocks against all pairs: every pair they name is right, and this share of all is found."""
+    sv = fixtures.catalog_source
+    ids = [r.id for r in sv.select("id").collect()]
+    every = spark.createDataFrame(list(itertools.combinations(sorted(ids), 2)), "a_id long, b_id long")
+    want = {(r.a_id, r.b_id) for r in similarity.similar_pairs(every, sv).collect()}
+    got = {(r.a_id, r.b_id) for r in similarity.similar_pairs(similarity.block_pairs(sv), sv).collect()}
+    print(len(got), "of", len(want))
+    assert got <= want
+    assert len(got) >= 0.75 * len(want)  # 509 of 641
+
+
+def test_blocks_without_the_bound_link_the_same(spark, fixtures):
+    sv = fixtures.catalog_source
+    loose = similarity.similar_pairs(similarity.block_pairs(sv, threshold=0.0), sv)
+    tight = similarity.similar_pairs(similarity.block_pairs(sv), sv)
+    assert loose.exceptAll(tight).isEmpty() and tight.exceptAll(loose).isEmpty()
+
+
+def test_a_hot_block_is_whole(spark):
+    rows = [(i, None, "X", f"gleich titel {i % 3}", "text", None, 60, 1) for i in range(60)]
+    sv = spark.createDataFrame(rows, SOURCES)
+    assert similarity.block_pairs(sv).count() == 60 * 59 // 2

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from vidmetrics.functions.text import fuzzy_text
+from vidmetrics.functions.text import fuzzy_text, normal_title
 from vidmetrics.session import ensure_checkpoint_dir
 
 # --- fixed values: weights of the score and the link threshold --------------
@@ -100,11 +100,41 @@ def similar_pairs(pairs: DataFrame, sv: DataFrame, *, threshold: float = LINK_TH
     return score_pairs(pairs, sv).filter(F.col("score") >= threshold)
 
 
-def cluster_star_pairs(clustered: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Candidates that grow with the rows: every publication with the first one of its cluster."""
-    return clustered.join(clusters.select("norm_title", "opened_at", "cluster_id"), ["norm_title", "opened_at"]).filter(
-        F.col("id") != F.col("cluster_id")
-    ).select(F.col("cluster_id").alias("a_id"), F.col("id").alias("b_id"))
+def _text_bound(a: Column, b: Column) -> Column:
+    """No Jaro-Winkler similarity of the two texts is higher: as if all letters of the shorter one were
+    common and in order, with the prefix that they do share."""
+    shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    prefix = sum((F.when(F.left(a, F.lit(k)) == F.left(b, F.lit(k)), 1).otherwise(0) for k in range(1, BOOST_CHARS + 1)), F.lit(0))
+    jaro = (F.lit(2.0) + shorter / F.greatest(longer, F.lit(1))) / 3
+    return F.when(a == b, F.lit(1.0)).when(shorter == 0, F.lit(0.0)).otherwise(jaro + BOOST_STEP * prefix * (1 - jaro))
+
+
+def block_pairs(sv: DataFrame, *, threshold: float = LINK_THRESHOLD) -> DataFrame:
+    """Candidates (a_id < b_id): sources whose normalised titles begin with the same word, or that were
+    published in the same cell of 72 hours, unless lengths and first letters already rule the score out.
+
+    Scores of all pairs have no plan below quadratic cost; these blocks are the definition of the search,
+    without a cap on their size. The join is an equi-join, so adaptive execution splits a large block on
+    both sides; a pair of both blocks is taken from the block of its word.
+    """
+    word = F.split(normal_title(F.col("title")), " ")[0]
+    rows = sv.select(
+        "id", fuzzy_text(F.col("title")).alias("t"), fuzzy_text(F.col("description")).alias("d"), F.when(word != "", word).alias("word"),
+        F.unix_millis("published_at").alias("at"),
+    )
+    cell = F.floor(F.col("at") / (TIME_BONUS_HOURS * 3_600_000)).cast("string")
+    keyed = rows.select("*", F.explode(F.array(
+        F.struct(F.lit("word").alias("kind"), F.col("word").alias("key")), F.struct(F.lit("cell").alias("kind"), cell.alias("key")),
+    )).alias("block")).select(*rows.columns, "block.kind", "block.key").filter("key is not null")
+    a, b = (keyed.select("kind", "key", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns]) for side in "ab")
+    hours = F.floor(F.abs(F.col("a_at") - F.col("b_at")) / 3_600_000)
+    bonus = F.coalesce(F.when(hours <= TIME_BONUS_HOURS, TIME_WEIGHT * (1 - hours / TIME_BONUS_HOURS)), F.lit(0.0))
+    described = F.when((F.col("a_d") != "") & (F.col("b_d") != ""), _text_bound(F.col("a_d"), F.col("b_d"))).otherwise(0.0)
+    bound = TITLE_WEIGHT * _text_bound(F.col("a_t"), F.col("b_t")) + DESCRIPTION_WEIGHT * described + bonus
+    once = (F.col("kind") == "word") | ~F.coalesce(F.col("a_word") == F.col("b_word"), F.lit(False))
+    return a.join(b, ["kind", "key"]).filter(
+        (F.col("a_id") < F.col("b_id")) & once & (bound >= threshold - 1e-9)
+    ).select("a_id", "b_id")
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:

@@ -497,21 +497,18 @@ def duplicate_pairs(f):
     return rounded(report, "delta_h")
 
 
-def _star_pairs(f: Fixtures) -> DataFrame:
-    clustered = _clustered(f)
-    return similarity.cluster_star_pairs(clustered, reconcile.describe_clusters(clustered))
+def _similar(f: Fixtures) -> DataFrame:
+    return similarity.similar_pairs(similarity.block_pairs(f.catalog_source), f.catalog_source)
 
 
 @query
 def similar_pairs(f):
-    found = similarity.similar_pairs(_star_pairs(f), f.catalog_source)
-    return rounded(found, "title_score", "description_score", "score")
+    return rounded(_similar(f), "title_score", "description_score", "score")
 
 
 @query
 def similar_components(f):
-    edges = similarity.similar_pairs(_star_pairs(f), f.catalog_source)
-    return similarity.components(f.catalog_source.select("id"), edges)
+    return similarity.components(f.catalog_source.select("id"), _similar(f))
 
 
 # ---- health and quality ----------------------------------------------------
