@@ -256,7 +256,7 @@ def brute_clusters(rows, hours):
     return [b["items"] for g in groups.values() for b in g]
 
 
-@pytest.mark.parametrize("seed, spread_s, hot", [(1, 3_000_000, 0.0), (2, 600_000, 0.0), (3, 900_000, 0.6)])
+@pytest.mark.parametrize("seed, spread_s, hot", [(1, 3_000_000, 0.0), (2, 600_000, 0.0), (3, 900_000, 0.6), (4, 60_000_000, 0.9)])
 def test_clusters_equal_brute_force(spark, seed, spread_s, hot):
     rows = random_sources(seed, 400, spread_s, hot=hot)
     sv = spark.createDataFrame(rows, SOURCES)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vidmetrics.functions.text import UNTITLED, is_blank, normal_title
 from vidmetrics.operators.spread import first_rows, numbered
@@ -53,8 +54,9 @@ def cluster_sources(
 
     Rows come in time order and a reference only moves on a match, so only the newest cluster of a
     title can match. All rows of one second fall into the same cluster, and the reference settles on
-    that second after a few of them; so the walk sees one row per (title, second) with its count:
-    however many copies a title has, its part is bounded by the calendar, and it is streamed.
+    that second after a few of them; so the walk sees one row per (title, second) with its count. A gap
+    above the window always opens a cluster, so a title is cut at such gaps between its days and its
+    segments are walked by different tasks; a segment is streamed.
     """
     dated = rows.filter(F.col("published_at").isNotNull()).withColumns({
         "norm_title": normal_title(F.col("title")), "at": F.unix_seconds("published_at"),
@@ -67,9 +69,17 @@ def cluster_sources(
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _walk(batches, window_s)
 
+    day = F.floor(F.col("at") / 86_400)
+    in_time = Window.partitionBy("norm_title").orderBy("day")
+    apart = F.when(F.col("first") - F.lag("last").over(in_time) > window_s, 1).otherwise(0)
+    segments = (
+        seconds.groupBy("norm_title", day.alias("day")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
+        .withColumn("apart", apart).select("norm_title", "day", F.sum("apart").over(in_time).alias("segment"))
+    )
     steps = (
-        seconds.repartition("norm_title").sortWithinPartitions("norm_title", "at")
-        .mapInArrow(walk, _STEPS_SCHEMA)
+        seconds.withColumn("day", day).join(segments, ["norm_title", "day"])
+        .repartition("norm_title", "segment").sortWithinPartitions("norm_title", "at")
+        .select("norm_title", "at", "n").mapInArrow(walk, _STEPS_SCHEMA)
     )
     return dated.join(steps, ["norm_title", "at"])
 
