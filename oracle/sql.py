@@ -729,3 +729,37 @@ oracle("similar_pairs", SIMILAR + """SELECT a_id, b_id, round(title_score, 6) AS
 oracle("similar_components", SIMILAR + """, links AS MATERIALIZED (SELECT a_id AS x, b_id AS y FROM linked UNION SELECT b_id, a_id FROM linked),
 reach AS (SELECT id AS x, id AS label FROM catalog_source UNION SELECT l.y, r.label FROM reach r JOIN links l ON l.x = r.x)
 SELECT x AS id, min(label) AS component FROM reach GROUP BY x""", "catalog_source", recursive=True)
+
+oracle("overview_engagement", LATEST + """SELECT sv.video_id, sv.platform, (arg_min({'f': sv.platform_format}, sv.id)).f AS platform_format,
+  cast(coalesce(sum(coalesce(l.views_native, l.reach)), 0) AS bigint) AS views, cast(coalesce(sum(l.total_watch_seconds), 0) AS bigint) AS total_watch_seconds,
+  cast(coalesce(sum(l.likes), 0) AS bigint) AS likes, cast(coalesce(sum(l.reactions_love), 0) AS bigint) AS reactions_love,
+  cast(coalesce(sum(l.comments), 0) AS bigint) AS comments, cast(coalesce(sum(l.shares), 0) AS bigint) AS shares,
+  cast(sum(CASE WHEN sv.platform = 'FACEBOOK' THEN coalesce(l.reactions_total, 0) + coalesce(l.comments, 0) + coalesce(l.shares, 0)
+    ELSE coalesce(l.likes, 0) + coalesce(l.comments, 0) END) AS bigint) AS engagement, any_value(v.title) AS title
+FROM latest l JOIN source_video sv ON sv.id = l.source_video_id LEFT JOIN video v ON v.id = sv.video_id
+WHERE sv.video_id IS NOT NULL GROUP BY sv.video_id, sv.platform""", *BASE)
+
+
+def all_sorts() -> str:
+    views = {"views": "views_native_sum", "youtube": "views_yt", "facebook": "views_fb", "instagram": "views_ig", "tiktok": "views_tt"}
+    orders = {}
+    for key, c in views.items():
+        orders[f"{key}_desc"] = f"{c} DESC NULLS LAST, video_published_at DESC NULLS LAST, video_id DESC"
+        orders[f"{key}_asc"] = f"{c} NULLS FIRST, video_published_at NULLS FIRST, video_id"
+    for key, c in {"engagement": "engagement_rate_sum", "watch_eq": "watch_equivalent_sum"}.items():
+        orders[f"{key}_desc"] = f"{c} DESC NULLS LAST, views_native_sum DESC NULLS LAST, video_id DESC"
+        orders[f"{key}_asc"] = f"{c} NULLS LAST, views_native_sum NULLS FIRST, video_id"
+    for key, c in {"published": "video_published_at", "title": "lower(video_title)"}.items():
+        orders[f"{key}_desc"] = f"{c} DESC NULLS LAST, video_id DESC"
+        orders[f"{key}_asc"] = f"{c} NULLS FIRST, video_id"
+    parts = [
+        f"SELECT '{name}' AS sort, rank, video_id FROM (SELECT video_id, row_number() OVER (ORDER BY {order}) AS rank FROM stored) WHERE rank <= 5"
+        for name, order in orders.items()
+    ]
+    return " UNION ALL ".join(parts)
+
+
+oracle("all_sorts", TABLE + all_sorts(), *BASE)
+oracle("overview_alerts", DELTAS + """SELECT s.source_video_id, s.views_now, round(delta, 4) AS delta, round(growth, 4) AS growth, sv.video_id, sv.platform
+FROM deltas s JOIN source_video sv ON sv.id = s.source_video_id WHERE sv.video_id IS NOT NULL AND delta IS NOT NULL AND sv.platform = 'YOUTUBE'
+ORDER BY s.delta DESC, s.source_video_id LIMIT 20""", "source_video", "metric_snapshot")

@@ -161,6 +161,9 @@ def test_chart_edge_form(spark):
 @pytest.mark.parametrize("body, want", [
     ('[[1704067200, 5], ["1704067201000", "6"], ["2024-01-01T00:00:02Z", 7], [1704067200, 8]]', {1704067200000: 8, 1704067201000: 6, 1704067202000: 7}),
     ('{"data": [{"ts": 1704067200, "views": 3}, {"time": "2024-01-01T00:00:01Z", "v": "4"}, {"value": 9}]}', {1704067200000: 3, 1704067201000: 4}),
+    ('[{"t": "2024-01-01T00:00:00Z", "zz": 7, "aa": 5}]', {1704067200000: 7}), ('{"series": [{"zz": "x", "mm": 3, "t": 1704067200, "aa": 5}]}', {1704067200000: 3}),
+    ('[{"t": 1704067200, "zz": 7}]', {1704067200000: 1704067200}),  # the time is a numeric field too
+    ('{"1704067200": {"zz": 7, "aa": 5}}', {1704067200000: 7}),
     ('{"1704067200": 1, "1704067201": {"value": 2}, "soon": 3, "1704067202": null}', {1704067200000: 1, 1704067201000: 2}),
     ("not json", {}), ("[]", {}), ("7", {}),
 ])

@@ -138,3 +138,22 @@ def engagement_by_platform(ms: DataFrame, sv: DataFrame) -> DataFrame:
     return per_platform.withColumn(
         "engagement_video", F.sum("engagement").over(Window.partitionBy("video_id"))
     )
+
+
+def engagement_table(ms: DataFrame, sv: DataFrame, v: DataFrame) -> DataFrame:
+    """Q8: one row per (video, platform) over the latest points: title, format of the first publication,
+    views, watch time, likes, loves, comments, shares and engagement."""
+    known = lambda name: F.coalesce(F.sum(name), F.lit(0)).alias(name)
+    per_platform = (
+        latest_per_source(ms)
+        .join(sv.select(F.col("id").alias("source_video_id"), "platform", "platform_format", "video_id"), "source_video_id")
+        .filter(F.col("video_id").isNotNull())
+        .groupBy("video_id", "platform")
+        .agg(
+            F.min_by(F.struct("platform_format"), "source_video_id").getField("platform_format").alias("platform_format"),
+            F.coalesce(F.sum(F.coalesce("views_native", "reach")), F.lit(0)).alias("views"),
+            known("total_watch_seconds"), known("likes"), known("reactions_love"), known("comments"), known("shares"),
+            F.sum(engagement(F.col("platform"))).alias("engagement"),
+        )
+    )
+    return per_platform.join(v.select(F.col("id").alias("video_id"), "title"), "video_id", "left")

@@ -227,30 +227,32 @@ def parse_series(df: DataFrame, key: str, body: str) -> DataFrame:
     def first_of(value: Column, names: Sequence[str], read) -> Column:
         return F.coalesce(*[read(text_at(value, f"$.{n}")) for n in names])
 
-    def any_number(value: Column) -> Column:
-        numbers = F.transform(F.map_values(value.try_cast("map<string,variant>")), lambda x: _finite(x.try_cast("string")))
+    def any_number(text: Column) -> Column:
+        """The first numeric field as the text has them; a variant would sort its fields by name."""
+        numbers = F.transform(F.map_values(F.from_json(text, "map<string,string>")), _finite)
         return F.try_element_at(F.array_compact(numbers), F.lit(1))
 
-    parsed = df.select(key, whole.alias("whole")).filter(F.col("whole").isNotNull())
-    value, item = F.col("whole"), F.col("item")
-    points = F.coalesce(
-        value.try_cast("array<variant>"),
-        *[F.try_variant_get(value, f"$.{w}", "array<variant>") for w in _WRAPPERS],
+    parsed = df.select(key, F.col(body).alias("body"), whole.alias("whole")).filter(F.col("whole").isNotNull())
+    value, item, text = F.col("whole"), F.col("item"), F.try_element_at("texts", F.col("pos") + 1)
+    wrapped = [(F.try_variant_get(value, f"$.{w}", "array<variant>"), F.get_json_object("body", f"$.{w}")) for w in _WRAPPERS]
+    points = F.coalesce(value.try_cast("array<variant>"), *[points for points, _ in wrapped])
+    texts = F.coalesce(
+        F.when(value.try_cast("array<variant>").isNotNull(), F.col("body")),
+        *[F.when(points.isNotNull(), body_text) for points, body_text in wrapped],
     )
-    parsed = parsed.withColumn("points", points)
-    listed = parsed.filter(F.col("points").isNotNull()).select(key, F.posexplode("points").alias("pos", "item")).select(
+    parsed = parsed.withColumns({"points": points, "texts": F.from_json(texts, "array<string>")})
+    listed = parsed.filter(F.col("points").isNotNull()).select(key, "texts", F.posexplode("points").alias("pos", "item")).select(
         key, "pos",
         F.coalesce(_epoch_ms(text_at(item, "$[0]")), first_of(item, _TIME_KEYS, _epoch_ms)).alias("ts_ms"),
         F.coalesce(
-            _finite(text_at(item, "$[1]")), first_of(item, _VALUE_KEYS, _finite), any_number(item)
+            _finite(text_at(item, "$[1]")), first_of(item, _VALUE_KEYS, _finite), any_number(text)
         ).alias("value"),
     )
-    entries = F.map_entries(value.try_cast("map<string,variant>"))
+    entries = F.map_entries(F.from_json("body", "map<string,string>"))
     keyed = parsed.filter(F.col("points").isNull()).select(key, F.posexplode(entries).alias("pos", "e")).select(
         key, "pos", _epoch_ms(F.col("e.key")).alias("ts_ms"),
         F.coalesce(
-            _finite(F.col("e.value").try_cast("string")), first_of(F.col("e.value"), _VALUE_KEYS, _finite),
-            any_number(F.col("e.value")),
+            _finite(F.col("e.value")), first_of(F.try_parse_json(F.col("e.value")), _VALUE_KEYS, _finite), any_number(F.col("e.value")),
         ).alias("value"),
     )
     return (

@@ -113,10 +113,13 @@ def video_stars(ms: DataFrame, sv: DataFrame, *, as_of, hours: int = 24) -> Data
 
 
 def top_accelerating(
-    ms: DataFrame, sv: DataFrame, *, as_of, hours: int = 24, min_views: int = 0, limit: int = 20
+    ms: DataFrame, sv: DataFrame, *, as_of, hours: int = 24, min_views: int = 0, limit: int = 20, platform: str | None = None,
 ) -> DataFrame:
-    """The sources that gained most in the window."""
-    linked = sv.filter(F.col("video_id").isNotNull()).select(
+    """The sources that gained most in the window, of one platform or of all."""
+    wanted = F.col("video_id").isNotNull()
+    if platform is not None:
+        wanted = wanted & (F.col("platform") == platform.strip().upper())
+    linked = sv.filter(wanted).select(
         F.col("id").alias("source_video_id"), "video_id", "platform"
     )
     return (

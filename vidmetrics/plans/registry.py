@@ -8,6 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vidmetrics import schemas
 from vidmetrics.fixtures import AS_OF, Fixtures
@@ -817,3 +818,28 @@ def first_discovered(f):
     listing = """concat('{"data":[{"id":"t', user_id + 3, '"},{"id":"u', event_id % 400, '"}]}')"""
     pages = _parsed(f.table("events"), listing, schemas.FACEBOOK_LISTING, "event_id")
     return payloads.discovered_ids(payloads.listing_video_ids(pages, "event_id"), cap=100)
+
+
+@query
+def overview_engagement(f):
+    return overview(f.metric_snapshot, f.source_video, f.video, as_of=AS_OF).engagement
+
+
+@query
+def overview_alerts(f):
+    """The sources of one platform that gain most."""
+    found = overview(f.metric_snapshot, f.source_video, f.video, as_of="2024-01-28 00:00:00", platform="youtube")
+    return rounded(found.alerts, "delta", "growth", digits=4)
+
+
+@query
+def all_sorts(f):
+    """O1: the first five videos of every order, with their ranks."""
+    stored = _table_rollup(f)
+    out = None
+    for sort in catalog.SORTS:
+        found = catalog.page_of(stored, VideoListQuery(sort=sort, size=5))
+        rank = F.row_number().over(Window.partitionBy("sort").orderBy(*catalog.sort_columns(sort)))
+        rows = found.withColumn("sort", F.lit(sort)).select("sort", rank.alias("rank"), "video_id")
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vidmetrics.operators import catalog, health, ingest, reconcile, series, trend
 from vidmetrics.operators.enrich import latest_enriched, series_top_n
-from vidmetrics.operators.rollup import overview_kpis, video_rollup
+from vidmetrics.operators.rollup import engagement_table, overview_kpis, video_rollup
 from vidmetrics.sources import tables
 
 
@@ -95,11 +95,15 @@ class Overview:
     platforms: DataFrame
     alerts: DataFrame
     latest_video: DataFrame
+    engagement: DataFrame
 
 
-def overview(ms: DataFrame, sv: DataFrame, v: DataFrame, *, as_of, limit: int = 20) -> Overview:
+def overview(ms: DataFrame, sv: DataFrame, v: DataFrame, *, as_of, limit: int = 20, platform: str | None = None) -> Overview:
+    """Q8: totals per platform, the sources that gain most (of one platform, if given), the newest video and
+    the engagement of every (video, platform)."""
     newest = v.orderBy(F.col("published_at").desc_nulls_last(), F.col("id").desc()).limit(1)
-    return Overview(overview_kpis(ms, sv), trend.top_accelerating(ms, sv, as_of=as_of, limit=limit), newest)
+    alerts = trend.top_accelerating(ms, sv, as_of=as_of, limit=limit, platform=platform)
+    return Overview(overview_kpis(ms, sv), alerts, newest, engagement_table(ms, sv, v))
 
 
 @dataclass(frozen=True)
