@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vidmetrics.llm.common import saved
+from vidmetrics.llm.common import of_keys, saved
 
 # --- fixed values: units and white space ---------------------------------------
 UNITS = (
@@ -140,8 +140,8 @@ def leaks(
     places = found.select(
         "doc_id", "item_id", "line", F.explode(F.sequence("item_at", F.col("item_at") + F.col("size") - 1)).alias("place")
     ).distinct()
-    suspects = found.select(F.col("doc_id").alias("_doc")).distinct()
-    of_docs = _slots(docs.join(suspects, F.col("doc_id") == F.col("_doc"), "left_semi"), "doc_id", "doc_place", "doc_value").distinct()
+    suspects = of_keys(docs.select("doc_id", "text"), found.select("doc_id").distinct(), "doc_id", "left_semi")
+    of_docs = _slots(suspects, "doc_id", "doc_place", "doc_value").distinct()
     item_slots = _slots(benchmark, "item_id", "place", "item_value").distinct()
     met = (
         places.join(item_slots, ["item_id", "place"]).withColumn("doc_place", F.col("place") + F.col("line"))
@@ -169,5 +169,5 @@ def leaks(
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents in which an item is found; columns and all other rows as they are."""
-    ids = leaks(docs.select("doc_id", "text"), benchmark, **options).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(ids, docs["doc_id"] == ids["_doc"], "left_anti")
+    ids = leaks(docs.select("doc_id", "text"), benchmark, **options).select("doc_id").distinct()
+    return of_keys(docs, saved(ids, "leaked"), "doc_id", "left_anti")
