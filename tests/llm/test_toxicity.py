@@ -52,7 +52,7 @@ def test_kernel_against_all_subsequences():
     got = toxicity.Kernel(words[:7]).with_landmarks(words)
     want = [[brute_kernel(a, b) for b in words[:7]] for a in words]
     assert got == pytest.approx(np.array(want), abs=1e-5)
-    assert got[1, 0] > 0.4 > got[3, 0]
+    assert got[1, 0] > 0.3 > 0.1 > got[3, 0]  # an inserted letter leaves the word close, another word is far
 
 
 def test_folded_machine_equals_kernel_expansion():
