@@ -38,9 +38,14 @@ LATIN = len(SCRIPTS)  # and whatever else has letters
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def letters_of(token: str) -> str:
+    token = token.lower()
+    return token if token.isalpha() else "".join(LETTERS.findall(token))
+
+
 def script_of(letters: str) -> int:
     """The script of most letters; the first one in a tie."""
-    if letters.isascii():
+    if letters.isascii() or max(letters) < chr(SCRIPTS[0][1]):
         return LATIN
     found: Counter = Counter()
     for c in letters:
@@ -49,11 +54,24 @@ def script_of(letters: str) -> int:
     return found.most_common(1)[0][0]
 
 
-def ngrams(letters: str) -> list[int]:
-    """Bins of the character n-grams of a word, its ends marked, and of the word as a whole."""
-    marked = f"<{letters}>".encode()
-    grams = [zlib.crc32(marked[i:i + n]) % BINS for n in (2, 3, 4) for i in range(len(marked) - n + 1)]
-    return [*grams, zlib.crc32(marked + b"#") % BINS]
+def ngrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of the n-grams (2 to 4 bytes, the ends of a word marked) of all words and of each word as a
+    whole, and the number of the word that each belongs to."""
+    raw = [f"<{w}>".encode() for w in words]
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(raw)), size)
+    end = np.repeat(np.cumsum(size), size)
+    bins = [np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % BINS]
+    owners = [np.arange(len(raw))]
+    code = data.copy()
+    for n in (2, 3, 4):
+        code = (code[:-1] << np.uint64(8)) | data[n - 1:]
+        inside = np.flatnonzero(np.arange(len(code)) + n <= end[: len(code)])
+        mixed = (code[inside] + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15)
+        bins.append((mixed >> np.uint64(40)).astype(np.int64) % BINS)
+        owners.append(owner[inside])
+    return np.concatenate(bins), np.concatenate(owners)
 
 
 @dataclass(frozen=True)
@@ -62,61 +80,59 @@ class Model:
     log_share: np.ndarray  # (BINS, languages): log of the smoothed share of an n-gram
     scripts: np.ndarray  # (scripts, languages): whether the language is a candidate
 
-    def word(self, token: str, damp: float, floor: float) -> tuple[np.ndarray, int]:
-        """(log posterior per language, letters) of a token; zeros where there is nothing to tell."""
-        letters = "".join(LETTERS.findall(token.lower()))
-        if not letters:
-            return np.zeros(len(self.languages), np.float32), 0
-        candidates = self.scripts[script_of(letters)]
-        if not candidates.any():
-            return np.zeros(len(self.languages), np.float32), len(letters)
-        log = damp * self.log_share[ngrams(letters)].sum(0)
-        log = np.where(candidates, log, -np.inf)
-        log = log - log.max()
-        return np.maximum(log - np.log(np.exp(log).sum()), floor).astype(np.float32), len(letters)
+    def words(self, tokens: list[str], damp: float, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """(log posteriors (tokens, languages), letters) of tokens; zeros where there is nothing to tell."""
+        letters = [letters_of(t) for t in tokens]
+        bins, owner = ngrams(letters)
+        log = np.stack([np.bincount(owner, self.log_share[bins, k], len(tokens)) for k in range(len(self.languages))], axis=1)
+        size = np.fromiter(map(len, letters), np.int64, len(letters))
+        candidates = self.scripts[np.array([script_of(x) if x else LATIN for x in letters], np.int64)]
+        told = (size > 0) & candidates.any(1)
+        log = np.where(candidates & told[:, None], damp * log, -np.inf)
+        log[~told] = 0
+        log -= log.max(1, keepdims=True)
+        log = np.maximum(log - np.log(np.exp(log).sum(1, keepdims=True)), floor)
+        log[~told] = 0
+        return log.astype(np.float32), size
 
 
 def train(docs: DataFrame, *, folds: int, held_out: int, smooth: float = 0.5, least_share: float = 0.001) -> Model:
     """Counts over all rows with a language outside the held-out fold.
 
-    Spark counts the words of each language and then the n-grams of the distinct words; the driver gets
-    at most ``BINS`` counts per language. A language is a candidate for a script that at least
+    Each task counts the n-grams of its words, Spark adds them up, and the driver gets at most ``BINS``
+    counts per language. A language is a candidate for a script that at least
     ``least_share`` of its words have.
     """
     rows = docs.filter("lang is not null and text is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     ).filter(fold_of(F.col("doc_id"), folds) != held_out)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         seen: dict[str, Counter] = {}
-
-        def counted() -> dict:
-            out = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()]
+        total: dict[str, np.ndarray] = {}
+
+        def count() -> None:
+            for lang, words in seen.items():
+                letters = [letters_of(w) for w in words]
+                n = np.fromiter(words.values(), np.float64, len(words))
+                n[[not x for x in letters]] = 0
+                bins, owner = ngrams(letters)
+                scripts = np.array([script_of(x) if x else LATIN for x in letters], np.int64)
+                part = np.concatenate([np.bincount(bins, n[owner], BINS), np.bincount(scripts, n, LATIN + 1)])
+                total[lang] = total.get(lang, 0) + part
             seen.clear()
-            return dict(zip(("lang", "word", "n"), map(list, zip(*out)))) if out else {"lang": [], "word": [], "n": []}
 
         for batch in batches:
             for lang, text in zip(column(batch, "lang").to_pylist(), strings(batch)):
                 seen.setdefault(lang, Counter()).update(text.lower().split())
             if sum(map(len, seen.values())) > REMEMBERED_WORDS:
-                yield counted()
-        yield counted()
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        seen: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for lang, word, n in zip(*(column(batch, c).to_pylist() for c in ("lang", "word", "n"))):
-                letters = "".join(LETTERS.findall(word))
-                if letters:
-                    bins = seen.setdefault(lang, np.zeros(BINS + LATIN + 1))
-                    np.add.at(bins, ngrams(letters), n)
-                    bins[BINS + script_of(letters)] += n
-        for lang, bins in seen.items():
+                count()
+        count()
+        for lang, bins in total.items():
             at = np.flatnonzero(bins)
             yield {"lang": [lang] * len(at), "bin": at, "n": bins[at].astype(np.int64)}
 
-    counted = map_arrow(rows, words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    bins = map_arrow(counted, grams, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    bins = map_arrow(rows, grams, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     table = bins.toPandas()
     languages = tuple(sorted(table["lang"].unique()))
     counts = np.zeros((BINS + LATIN + 1, len(languages)))
@@ -168,23 +184,25 @@ def identify(
         scores = np.zeros((1 << 12, width), np.float32)
         sizes = np.zeros(1 << 12, np.int64)
 
-        def numbers(tokens: list[str]) -> np.ndarray:
+        def learn(tokens: set[str]) -> None:
             nonlocal scores, sizes
             if len(known) > REMEMBERED_WORDS:
                 known.clear()
-            for t in set(tokens):
-                if t not in known:
-                    k = known[t] = len(known)
-                    if k == len(sizes):
-                        scores, sizes = np.concatenate([scores, np.zeros_like(scores)]), np.concatenate([sizes, np.zeros_like(sizes)])
-                    scores[k], sizes[k] = model.word(t, damp, floor)
-            return np.array([known[t] for t in tokens], np.int64)
+            new = [t for t in tokens if t not in known]
+            if not new:
+                return
+            first = len(known)
+            known.update((t, first + i) for i, t in enumerate(new))
+            while len(known) > len(sizes):
+                scores, sizes = np.concatenate([scores, np.zeros_like(scores)]), np.concatenate([sizes, np.zeros_like(sizes)])
+            scores[first:len(known)], sizes[first:len(known)] = model.words(new, damp, floor)
 
         for batch in batches:
             langs, marks, spans = [], [], []
-            for text in strings(batch):
-                tokens = text.split()
-                at = numbers(tokens) if width else np.zeros(0, np.int64)
+            texts = [text.split() if width else [] for text in strings(batch)]
+            learn({t for tokens in texts for t in tokens})
+            for tokens in texts:
+                at = np.array([known[t] for t in tokens], np.int64)
                 letters = sizes[at]
                 where = np.flatnonzero(letters)
                 if not len(where):
