@@ -48,6 +48,14 @@ BASE_RULES = (
     # Runs are maximal either way; asking for 24 at once spares a match for every short run.
     Rule("hex", r"[0-9a-f]{24,}", (0, 24)),
 )
+# A private key goes to its END line. Where that is missing or another block begins first, it goes over the fields
+# and the base64 lines that follow, line ends in escaped form included; a short last line is alone on it or padded.
+_TO_END = r"[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+_GAP = r"(?:\s|\\[rn])*+"
+_UNENDED = (
+    r"(?:\s*\n[A-Z][A-Za-z0-9-]*:[^\r\n]*+)*" + rf"(?:{_GAP}[A-Za-z0-9+/]{{24,}}+={{0,2}})+"
+    + rf"(?:{_GAP}[A-Za-z0-9+/]++={{1,2}}|\s*\n[A-Za-z0-9+/]++(?=\s*(?:\n|\Z)))?"
+)
 MORE_RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("gitlab", r"glpat-[A-Za-z0-9_-]{20,}"),
@@ -55,7 +63,7 @@ MORE_RULES = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("pem", rf"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:{_TO_END}|{_UNENDED}|)"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,30}://[^\s:/@]{1,256}:[^\s:/@]{1,256}@"),
 )
 # ------------------------------------------------------------------------------
