@@ -1,3 +1,4 @@
+import corpus_pipeline
 import pytest
 from compare import compare, duck
 from pyspark.sql import functions as F
@@ -54,3 +55,16 @@ def test_reparameterised_questions_and_edges(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [11, 3, 4, 5, 6, 8, None]
     assert templates.leaks(docs.limit(0), items).count() == 0 and templates.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_passages_in_other_case_and_inside_sentences(spark, tmp_path):
+    prose = "In the morning, Anna Berg walked to the große market and bought some bread, cheese and apples for the whole week"
+    short = "Water boils at noon"
+    docs = [(1, f"so. {prose.upper()} and"), (2, prose.title()), (3, "they said water boils at noon, then left"), (4, f"he wrote {short} there"), (5, "nothing of the kind stands here at all")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, prose), (2, short)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in templates.leaks(docs, items, any_case=True).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2)}
+    assert got[1, 1].covered_words == got[1, 1].item_words == len(prose.split())
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.doc_id for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()] == [5]

@@ -32,14 +32,18 @@ _NEXT_NAMES = rf"(\x01[{SPACE}])\p{{Lu}}\p{{L}}*"
 _OTHER = rf"[^\p{{L}}\x01-\x03{SPACE}]+"
 
 
-def template_text(text: Column) -> Column:
+def template_text(text: Column, *, names: bool = True) -> Column:
     """``text`` with placeholders; white space stays, so words keep their places.
 
     A number is digits with inner separators; a unit follows a number, with a space or without; a name is
-    a capitalised word after a word, number, unit, comma, semicolon or colon, and up to two more after it.
+    a capitalised word after a word, number, unit, comma, semicolon or colon, and up to two more after it. Without ``names`` the template is
+    free of case: names stay as words, in lower case like the others, and have the same places.
     """
     out = F.regexp_replace(F.translate(text, NAME + NUMBER + UNIT, ""), _NUMBERS, NUMBER)
     out = F.regexp_replace(out, _UNITS, rf"$1{UNIT}$3")
+    if not names:
+        # Through upper case, for letters like the sharp s; Spark reads lower(upper(x)) as lower(x).
+        return F.lower(F.regexp_replace(F.upper(F.regexp_replace(out, _OTHER, "")), _OTHER, ""))
     out = F.regexp_replace(out, _FIRST_NAMES, rf"$1{NAME}")
     for _ in range(2):
         out = F.regexp_replace(out, _NEXT_NAMES, rf"$1{NAME}")
@@ -73,10 +77,23 @@ def window_hashes(words: Column, size: int) -> Column:
     return F.slice(out, 1, F.greatest(F.size(words) - (size - 1), F.lit(0)))
 
 
-def _template_rows(rows: DataFrame, key: str) -> DataFrame:
+#: Kinds of templates: with names, and free of case.
+WITH_NAMES, ANY_CASE = 0, 1
+
+
+def _of_kinds(kinds: list[int], make) -> DataFrame:
+    """The rows that ``make`` gives for templates with names or without, with their kind."""
+    out = None
+    for kind in kinds:
+        rows = make(kind == WITH_NAMES).withColumn("kind", F.lit(kind))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _template_rows(rows: DataFrame, key: str, names: bool = True) -> DataFrame:
     """(key, words): the template words of each text with a text and a key."""
     kept = rows.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text"))
-    words = F.filter(_cells(template_text(F.col("text"))), lambda w: w != "")
+    words = F.filter(_cells(template_text(F.col("text"), names=names)), lambda w: w != "")
     return kept.filter(F.col(key).isNotNull() & F.col("text").isNotNull()).select(key, words.alias("words"))
 
 
@@ -92,11 +109,11 @@ def _numbered(words: Column, size: int, name: str) -> Column:
     )
 
 
-def _slots(rows: DataFrame, key: str, place: str, value: str) -> DataFrame:
+def _slots(rows: DataFrame, key: str, place: str, value: str, names: bool = True) -> DataFrame:
     """(key, place, value) of the words that a placeholder stands for."""
     text = F.col("text").cast("string")
     pairs = F.filter(
-        F.arrays_zip(_cells(template_text(text)).alias("t"), _cells(F.translate(text, NAME + NUMBER + UNIT, "")).alias("raw")),
+        F.arrays_zip(_cells(template_text(text, names=names)).alias("t"), _cells(F.translate(text, NAME + NUMBER + UNIT, "")).alias("raw")),
         lambda p: p["t"] != "",
     )
     kept = rows.filter(F.col(key).isNotNull() & text.isNotNull()).select(F.col(key).cast("long").alias(key), F.posexplode(pairs).alias(place, "p"))
@@ -108,6 +125,7 @@ def _slots(rows: DataFrame, key: str, place: str, value: str) -> DataFrame:
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, least_literals: int = LEAST_LITERALS, coverage: float = COVERAGE,
+    any_case: bool = False,
 ) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, n_windows (distinct windows of the
     item that are evidence), item_words, covered_words, n_slots, n_changed.
@@ -118,41 +136,42 @@ def leaks(
     if evidence covers ``coverage`` of its words. Items of fewer words than a window count as one window;
     items of fewer than three words, and rows with a null id or text, take no part. Rows that share a
     doc_id or an item_id count as one.
+
+    ``any_case``: windows may also meet in templates free of case, so a passage in capitals, or behind
+    another word, is found; either kind is evidence.
     """
-    items = saved(_template_rows(benchmark, "item_id").withColumn("words_n", F.size("words").cast("long")), "items")
+    kinds = [WITH_NAMES, ANY_CASE] if any_case else [WITH_NAMES]
+    items = saved(
+        _of_kinds(kinds, lambda names: _template_rows(benchmark, "item_id", names)).withColumn("words_n", F.size("words").cast("long")), "items"
+    )
     short = sorted(r[0] for r in items.select("words_n").distinct().filter(f"words_n >= {SHORTEST} and words_n < {window}").collect())
     sizes = [window, *short]  # fewer than ``window`` numbers
     literal = F.size(F.filter(F.slice("words", F.col("item_at") + 1, F.col("size")), lambda w: ~w.rlike("[\x01-\x03]")))
-    of_items = _windows(items, "item_id", sizes, "item_at").join(items.withColumnRenamed("item_id", "_item"), F.col("item_id") == F.col("_item"))
-    of_items = of_items.filter(
-        ((F.col("size") == window) | (F.col("size") == F.col("words_n"))) & (literal >= F.least(F.lit(least_literals), F.col("size")))
-    ).select("item_id", "item_at", "size", "hash").distinct()
-    of_items = saved(of_items, "item-windows")
+    of_items = _of_kinds(kinds, lambda names: _item_windows(items.filter(F.col("kind") == (WITH_NAMES if names else ANY_CASE)), sizes, literal, window, least_literals))
+    of_items = saved(of_items.distinct(), "item-windows")
     few = of_items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    found = _windows(_template_rows(docs, "doc_id"), "doc_id", sizes, "doc_at").join(
-        F.broadcast(of_items) if few else of_items, ["size", "hash"]
+    found = _of_kinds(kinds, lambda names: _windows(_template_rows(docs, "doc_id", names), "doc_id", sizes, "doc_at")).join(
+        F.broadcast(of_items) if few else of_items, ["kind", "size", "hash"]
     )
+    line = ["doc_id", "item_id", "kind", "line"]
     found = saved(
-        found.select("doc_id", "item_id", "item_at", "size", (F.col("doc_at") - F.col("item_at")).alias("line")).distinct(), "meetings"
+        found.select("doc_id", "item_id", "kind", "item_at", "size", (F.col("doc_at") - F.col("item_at")).alias("line")).distinct(), "meetings"
     )
 
     # Places of the item under evidence, by line, and the values that meet there.
-    places = found.select(
-        "doc_id", "item_id", "line", F.explode(F.sequence("item_at", F.col("item_at") + F.col("size") - 1)).alias("place")
-    ).distinct()
+    places = _places(found, line)
     suspects = of_keys(docs.select("doc_id", "text"), found.select("doc_id").distinct(), "doc_id", "left_semi")
-    of_docs = _slots(suspects, "doc_id", "doc_place", "doc_value").distinct()
-    item_slots = _slots(benchmark, "item_id", "place", "item_value").distinct()
+    of_docs = _of_kinds(kinds, lambda names: _slots(suspects, "doc_id", "doc_place", "doc_value", names)).distinct()
+    item_slots = _of_kinds(kinds, lambda names: _slots(benchmark, "item_id", "place", "item_value", names)).distinct()
     met = (
-        places.join(item_slots, ["item_id", "place"]).withColumn("doc_place", F.col("place") + F.col("line"))
-        .join(of_docs, ["doc_id", "doc_place"])
+        places.join(item_slots, ["item_id", "kind", "place"]).withColumn("doc_place", F.col("place") + F.col("line"))
+        .join(of_docs, ["doc_id", "kind", "doc_place"])
     )
-    by_line = met.groupBy("doc_id", "item_id", "line").agg(
+    by_line = met.groupBy(*line).agg(
         F.countDistinct("item_value").alias("values"), F.countDistinct("item_value", "doc_value").alias("pairs"),
         F.countDistinct("place").alias("slots"),
         F.countDistinct(F.when(F.col("item_value") != F.col("doc_value"), F.col("place"))).alias("changed"),
     )
-    line = ["doc_id", "item_id", "line"]
     odd = by_line.filter("pairs > values").select(*line)
     changes = by_line.filter("pairs <= values").groupBy("doc_id", "item_id").agg(
         F.sum("slots").alias("n_slots"), F.sum("changed").alias("n_changed")
@@ -167,6 +186,18 @@ def leaks(
     )
 
 
+def _item_windows(items: DataFrame, sizes: list[int], literal: Column, window: int, least_literals: int) -> DataFrame:
+    """(item_id, item_at, size, hash) of the windows of items that may be evidence."""
+    made = _windows(items, "item_id", sizes, "item_at").join(items.withColumnRenamed("item_id", "_item"), F.col("item_id") == F.col("_item"))
+    return made.filter(
+        ((F.col("size") == window) | (F.col("size") == F.col("words_n"))) & (literal >= F.least(F.lit(least_literals), F.col("size")))
+    ).select("item_id", "item_at", "size", "hash")
+
+
+def _places(found: DataFrame, line: list[str]) -> DataFrame:
+    return found.select(*line, F.explode(F.sequence("item_at", F.col("item_at") + F.col("size") - 1)).alias("place")).distinct()
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents in which an item is found; columns and all other rows as they are."""
     ids = leaks(docs.select("doc_id", "text"), benchmark, **options).select("doc_id").distinct()
