@@ -68,3 +68,15 @@ def test_passages_in_other_case_and_inside_sentences(spark, tmp_path):
     assert got[1, 1].covered_words == got[1, 1].item_words == len(prose.split())
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [r.doc_id for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()] == [5]
+
+
+def test_a_contradicting_slot_takes_only_its_windows(spark, tmp_path):
+    item = "a farmer sold 2 apples to his old friend on the first day of the market and later 2 pears to the baker of the small town"
+    docs = spark.createDataFrame([(1, item.replace("2 pears", "7 pears")), (2, item.replace("2", "9")), (3, "a farmer sold 4 apples and 5 pears")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in templates.leaks(docs, items, by_window=True).collect()}
+    assert set(got) == {1, 2}
+    assert (got[1].n_windows, got[1].covered_words, got[1].n_slots) == (12, 22, 0)
+    assert (got[2].n_windows, got[2].covered_words, got[2].n_slots, got[2].n_changed) == (22, 27, 2, 2)
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.doc_id for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()] == [3]

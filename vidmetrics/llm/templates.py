@@ -125,7 +125,7 @@ def _slots(rows: DataFrame, key: str, place: str, value: str, names: bool = True
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, least_literals: int = LEAST_LITERALS, coverage: float = COVERAGE,
-    any_case: bool = False,
+    any_case: bool = False, by_window: bool = False,
 ) -> DataFrame:
     """One row per document and benchmark item found in it: doc_id, item_id, n_windows (distinct windows of the
     item that are evidence), item_words, covered_words, n_slots, n_changed.
@@ -138,7 +138,8 @@ def leaks(
     doc_id or an item_id count as one.
 
     ``any_case``: windows may also meet in templates free of case, so a passage in capitals, or behind
-    another word, is found; either kind is evidence.
+    another word, is found; either kind is evidence. ``by_window``: an inconsistent slot takes away the
+    windows that hold it, and not its whole line; n_slots and n_changed count the places of what remains.
     """
     kinds = [WITH_NAMES, ANY_CASE] if any_case else [WITH_NAMES]
     items = saved(
@@ -167,6 +168,16 @@ def leaks(
         places.join(item_slots, ["item_id", "kind", "place"]).withColumn("doc_place", F.col("place") + F.col("line"))
         .join(of_docs, ["doc_id", "kind", "doc_place"])
     )
+    if by_window:
+        met = saved(met, "met-values")
+        values = [*line, "item_value"]
+        torn = met.groupBy(*values).agg(F.countDistinct("doc_value").alias("n")).filter("n > 1").select(*values)
+        torn = met.join(torn, values, "left_semi").select(*line, "place").distinct()
+        windows = [*line, "item_at", "size"]
+        holding = found.join(torn, line).filter("place >= item_at and place < item_at + size").select(*windows).distinct()
+        found = saved(found.join(holding, windows, "left_anti"), "whole-meetings")
+        places = _places(found, line)
+        met = met.join(places, [*line, "place"], "left_semi")
     by_line = met.groupBy(*line).agg(
         F.countDistinct("item_value").alias("values"), F.countDistinct("item_value", "doc_value").alias("pairs"),
         F.countDistinct("place").alias("slots"),
