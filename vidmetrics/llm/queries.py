@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vidmetrics.llm import attention, compression, discriminant, language, packing, secrets, simhash, suffixes, templates, toxicity
+from vidmetrics.llm import attention, codebooks, compression, discriminant, language, packing, secrets, simhash, suffixes, templates, toxicity, whitening
 from vidmetrics.llm.common import table
 
 
@@ -55,10 +55,18 @@ def op10_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
+def op12_adaptive_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.vector_codes(table(spark, sf_dir, "embeddings"), entries=256, parts=4, rounds=4, scale=1024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_template_leaks, op2_compression_bands, op3_suffix_repeats, op4_trigram_secrets, op5_subsequence_toxicity, op6_quadratic_quality, op7_simhash_trie, op8_complement_packing,
-        op9_viterbi_language, op10_attention_scores,
+        op9_viterbi_language, op10_attention_scores, op11_chebyshev_whitening, op12_adaptive_codebooks,
     )
 }
 _SPACE = r"[ \t\n\x0B\f\r]"
