@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vidmetrics.llm import attention, codebooks, compression, discriminant, language, packing, secrets, simhash, suffixes, templates, toxicity, whitening
+from vidmetrics.llm import attention, codebooks, compression, discriminant, fingerprints, language, packing, secrets, simhash, suffixes, templates, toxicity, whitening
 from vidmetrics.llm.common import table
 
 
@@ -63,10 +63,15 @@ def op12_adaptive_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codebooks.vector_codes(table(spark, sf_dir, "embeddings"), entries=256, parts=4, rounds=4, scale=1024)
 
 
+def op13_simhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"), radius=7, spare=1, every=100)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_template_leaks, op2_compression_bands, op3_suffix_repeats, op4_trigram_secrets, op5_subsequence_toxicity, op6_quadratic_quality, op7_simhash_trie, op8_complement_packing,
         op9_viterbi_language, op10_attention_scores, op11_chebyshev_whitening, op12_adaptive_codebooks,
+        op13_simhash_fingerprints,
     )
 }
 _SPACE = r"[ \t\n\x0B\f\r]"
