@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vidmetrics.llm.common import column, fold_of, id_and_text, map_arrow, map_rows, saved, strings
+from vidmetrics.llm.vectors import binary_rows, from_binary_rows
 
 #: Letters per subsequence, letters it may skip in all, and the weight of a skipped letter.
 ORDER, GAPS, DECAY = 4, 3, 0.5
@@ -36,6 +37,8 @@ SENTENCE_WORDS = 24
 #: A sentence counts by its strongest words, a document by its worst sentences.
 WORST_WORDS, WORST_SENTENCES = 2, 3
 REMEMBERED_WORDS = 300_000
+#: Tasks that make the features of the drawn sentences.
+FEATURE_TASKS = 24
 
 LETTERS = re.compile(r"[^\W_]+")
 END = re.compile(r"[.!?]+(?=\s|$)|\n")
@@ -182,16 +185,18 @@ def _strongest(values: list[float]) -> float:
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, *, rounds: int = 30) -> np.ndarray:
     """Weights (the last one the bias) of a linear machine with squared hinge loss, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
     damp = np.ones(len(w))
     damp[-1] = 1e-3
     for _ in range(rounds):
-        slack = 1 - y * (x @ w)
-        active = slack > 0
-        xa, ca = x[active], cost[active]
-        gradient = damp * w - 2 * xa.T @ (ca * y[active] * slack[active])
-        hessian = np.diag(damp) + 2 * (xa * ca[:, None]).T @ xa
+        gradient, hessian = damp * w, np.diag(damp)
+        for i in range(0, len(x), 4096):  # small parts: no second copy of the features
+            part, yi, ci = np.hstack([x[i:i + 4096], np.ones((len(x[i:i + 4096]), 1), x.dtype)]), y[i:i + 4096], cost[i:i + 4096]
+            slack = 1 - yi * (part @ w)
+            active = slack > 0
+            xa, ca = part[active], ci[active]
+            gradient -= 2 * xa.T @ (ca * yi[active] * slack[active])
+            hessian += 2 * (xa * ca[:, None]).T @ xa
         step = np.linalg.solve(hessian, gradient)
         w = w - step
         if np.abs(step).max() < 1e-4:
@@ -199,15 +204,23 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, *, rounds: int = 30) ->
     return w
 
 
-def train(
-    texts: list[list[str]], toxic: np.ndarray, landmarks: list[str], *, rounds: int = 3, keep: float = 0.15, cost: float = 20.0,
-) -> Machine:
-    """A machine from labelled sentences (lists of tokens); ``keep``: share of the sentences with a toxic
-    label that count as toxic after the first round."""
-    kernel = Kernel(landmarks)
-    values, vectors = np.linalg.eigh(kernel.with_landmarks(landmarks).astype(np.float64))
-    good = values > 1e-4 * values.max()
-    root = vectors[:, good] / np.sqrt(values[good])  # Nyström: kernel values to features
+class Features:
+    """Nyström features of sentences: kernel values with the landmarks, times the root of the landmarks' own."""
+
+    def __init__(self, landmarks: list[str]):
+        self.kernel = Kernel(landmarks)
+        values, vectors = np.linalg.eigh(self.kernel.with_landmarks(landmarks).astype(np.float64))
+        good = values > 1e-4 * values.max()
+        self.root = vectors[:, good] / np.sqrt(values[good])
+
+    def of(self, texts: list[list[str]]) -> np.ndarray:
+        out = np.zeros((len(texts), self.root.shape[1]), np.float32)
+        for i in range(0, len(texts), 512):
+            out[i:i + 512] = _features(self.kernel, self.root, texts[i:i + 512])
+        return out
+
+
+def _features(kernel: Kernel, root: np.ndarray, texts: list[list[str]]) -> np.ndarray:
     tokens = sorted({t for s in texts for t in s})
     number = {t: i for i, t in enumerate(tokens)}
     pieces, owner = [], []
@@ -215,13 +228,26 @@ def train(
         for p in pieces_of(t):
             pieces.append(p)
             owner.append(i)
-    by_token = np.zeros((len(tokens), len(landmarks)), np.float32)
+    by_token = np.zeros((len(tokens), len(kernel.landmarks)), np.float32)
     np.maximum.at(by_token, owner, kernel.with_landmarks(pieces))
     x = np.zeros((len(texts), root.shape[1]), np.float32)
     by_token = (by_token @ root).astype(np.float32)
     for i, s in enumerate(texts):
         x[i] = by_token[[number[t] for t in s]].sum(0)
-    use = np.ones(len(texts), bool)
+    return x
+
+
+def train(texts: list[list[str]], toxic: np.ndarray, landmarks: list[str], **given) -> Machine:
+    """A machine from labelled sentences (lists of tokens); see ``machine_of``."""
+    features = Features(landmarks)
+    return machine_of(features, features.of(texts), toxic, **given)
+
+
+def machine_of(features: Features, x: np.ndarray, toxic: np.ndarray, *, rounds: int = 3, keep: float = 0.15, cost: float = 20.0) -> Machine:
+    """A machine from the features of labelled sentences; ``keep``: share of the sentences with a toxic label
+    that count as toxic after the first round."""
+    kernel, root = features.kernel, features.root
+    use = np.ones(len(x), bool)
     for _ in range(rounds):
         y = np.where(toxic[use], 1.0, -1.0)
         weight = np.where(y > 0, cost / max((y > 0).sum(), 1), cost / max((y < 0).sum(), 1)) * 100
@@ -276,6 +302,22 @@ def _sentence_rows(rows: DataFrame) -> DataFrame:
     return map_arrow(rows, work, "tokens array<string>, label int")
 
 
+def _machine(sample: DataFrame, landmarks: list[str]) -> Machine:
+    """A machine from ``sample`` (tokens, label). Tasks make the features; the driver holds them as one
+    matrix of four bytes an entry, sentences x landmarks, and nothing else of the sample."""
+    features = Features(landmarks)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            yield {"label": column(batch, "label"), "x": binary_rows(features.of(column(batch, "tokens").to_pylist()))}
+
+    parts = sample.repartition(FEATURE_TASKS, F.xxhash64("tokens"), F.col("label"))
+    made = saved(map_arrow(parts, work, "label int, x binary"), "sentence-features").toArrow()
+    width = features.root.shape[1]
+    x = np.concatenate([from_binary_rows(b, "x", "<f4", width) for b in made.to_batches()] or [np.zeros((0, width), np.float32)])
+    return machine_of(features, x, made.column("label").to_numpy() == 1)
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, *, folds: int = 4, held_out: int = 2, documents_per_label: int = 3000,
     sentences_per_label: int = 15_000, landmarks: int = 256,
@@ -288,10 +330,11 @@ def fit(
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
     known = known.filter((fold_of(F.col("doc_id"), folds) != held_out) & F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
+    known = known.groupBy("doc_id").agg(F.max("label").alias("label"))  # of contradicting labels the toxic one
     share = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
     if set(share) != {0, 1}:
         return None
-    known = known.dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id"))
+    known = known.withColumn("h", F.xxhash64("doc_id"))
     drawn = [known.filter(F.col("label") == y).orderBy("h", "doc_id").limit(documents_per_label) for y in (0, 1)]
     drawn = drawn[0].unionByName(drawn[1]).select("doc_id", "label", (F.pmod("h", F.lit(5)) == 0).alias("curve"))
     # At most 2 * documents_per_label ids.
@@ -310,10 +353,8 @@ def fit(
     if not chosen:
         return None
     sample = _sentence_rows(learn)
-    drawn_rows = [
-        r for y in (0, 1) for r in sample.filter(F.col("label") == y).orderBy(F.xxhash64("tokens"), "tokens").limit(sentences_per_label).collect()
-    ]
-    machine = train([r["tokens"] for r in drawn_rows], np.array([r["label"] == 1 for r in drawn_rows]), list(dict.fromkeys(chosen)))
+    drawn_rows = [sample.filter(F.col("label") == y).orderBy(F.xxhash64("tokens"), "tokens").limit(sentences_per_label) for y in (0, 1)]
+    machine = _machine(drawn_rows[0].unionByName(drawn_rows[1]), list(dict.fromkeys(chosen)))
     curve = decisions(rows, machine, keep=("label", "curve")).filter("curve").select("decision", "label").toPandas()
     f, y = curve["decision"].to_numpy(), curve["label"].to_numpy()
     if len(np.unique(y)) < 2:
