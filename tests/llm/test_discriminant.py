@@ -63,5 +63,7 @@ def test_edge_cases(spark):
     by_id = {r.doc_id: r.predicted for r in rows}
     assert all(by_id[i] == 1 for i in range(40)) and all(by_id[100 + i] == 0 for i in range(40))
     assert discriminant.quality_scores(docs.limit(0), labels).count() == 0
-    with pytest.raises(ValueError):
-        discriminant.quality_scores(docs, labels.limit(0))
+    assert {(r.score, r.predicted) for r in discriminant.quality_scores(docs, labels.limit(0)).collect()} == {(0.5, 1)}
+    for label in (0, 1):
+        one = labels.filter(f"quality = {label}")
+        assert {(r.score, r.predicted) for r in discriminant.quality_scores(docs, one).collect()} == {(label, label)}

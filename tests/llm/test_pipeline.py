@@ -4,8 +4,8 @@ import corpus_pipeline
 import pytest
 from compare import duck
 from test_packing import brute_pieces, check_layout
+from test_resemblance import brute_first
 from test_secrets import brute_base
-from test_simhash import brute_components, brute_fingerprint
 
 import __spark_entry__ as entry_module
 from vidmetrics.llm import toxicity
@@ -30,7 +30,7 @@ def stages(spark):
 def test_registered():
     names = set(entry_module.queries())
     assert {"pipeline", *QUERIES} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES) and "pipeline" not in entry_module.oracle_sql()
 
 
@@ -51,8 +51,9 @@ def test_toxicity_stage(spark, stages):
 
 def test_near_duplicate_stage(stages):
     _, rows, kept, _ = stages[1]
-    first = set(brute_components({r.doc_id: brute_fingerprint(r.text) for r in rows}).values())
+    first = set(brute_first({r.doc_id: r.text for r in rows}).values())
     assert Counter(map(tuple, kept)) == Counter(tuple(r) for r in rows if r.doc_id in first)
+    assert len(kept) < len(rows)
 
 
 def test_decontamination_stage(stages):

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.window import Window
 
 from vidmetrics.session import ensure_checkpoint_dir
 
@@ -59,11 +60,22 @@ def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, kind)
 
 
+def fresh(names: list[str], name: str) -> str:
+    """``name``, with as many underscores behind it as no name of ``names`` has, in any case."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def map_rows(docs: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]]) -> DataFrame:
     """``map_arrow`` over whole rows of documents, with the same columns out; further columns may share
     names with one another."""
     names = docs.columns
-    apart = docs.toDF(*[n if names.index(n) == i else f"{n}__{i}" for i, n in enumerate(names)])
+    own: list[str] = []
+    for n in names:  # the first of equal names keeps it
+        own.append(n if n not in own else fresh([*names, *own], n))
+    apart = docs.toDF(*own)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in apart.schema)
     return map_arrow(apart, work, schema).toDF(*names)
 
@@ -76,8 +88,25 @@ def of_keys(rows: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
     """Semi or anti join of ``rows`` with the distinct ``keys`` (key). Up to ``BROADCAST_KEYS`` keys, by
     count, are broadcast, so that texts stay where they are; more are joined through a shuffle."""
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    keys = keys.select(F.col(key).alias("_key"))
-    return rows.join(F.broadcast(keys) if few else keys, rows[key] == F.col("_key"), how)
+    other = fresh(rows.columns, "_key")
+    keys = keys.select(F.col(key).alias(other))
+    return rows.join(F.broadcast(keys) if few else keys, rows[key] == keys[other], how)
+
+
+def first_of_groups(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The documents whose id is the component_id of their group (``groups``: doc_id, component_id), with all columns.
+
+    Rows without an id stay. Of several rows with one id the one whose text has the smallest hash stays; only
+    such rows are shuffled.
+    """
+    kept = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    kept = saved(kept, "kept-ids")
+    one = of_keys(docs, kept.filter("rows = 1"), "doc_id", "left_semi")
+    more = of_keys(docs, kept.filter("rows > 1"), "doc_id", "left_semi")
+    turn = fresh(docs.columns, "_turn")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.col("text"))
+    more = more.withColumn(turn, F.row_number().over(first)).filter(F.col(turn) == 1).drop(turn)
+    return one.union(more).union(docs.filter("doc_id is null"))
 
 
 def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vidmetrics.llm.common import column, id_and_text, map_arrow, utf8
+from vidmetrics.llm.common import column, id_and_text, map_arrow, of_keys, utf8
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -111,5 +111,5 @@ def compression_rules(docs: DataFrame, *, bands: Bands = Bands()) -> DataFrame:
 
 def keep_compressible(docs: DataFrame, *, bands: Bands = Bands()) -> DataFrame:
     """The documents whose id has no row that fails; rows without an id go."""
-    failed = compression_rules(docs, bands=bands).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"))
-    return docs.filter("doc_id is not null").join(failed, docs["doc_id"] == failed["_id"], "left_anti")
+    failed = compression_rules(docs, bands=bands).filter(~F.col("kept")).select("doc_id").distinct()
+    return of_keys(docs.filter("doc_id is not null"), failed, "doc_id", "left_anti")

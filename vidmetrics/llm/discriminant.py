@@ -137,20 +137,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_o
     """(doc_id, held_out, score, predicted), one row per document row.
 
     Learns from labelled documents outside the fold; rows with a null id or label teach nothing and are
-    scored like any other. Needs labelled rows of both classes, unless ``docs`` is empty.
+    scored like any other. Without labelled rows of both classes all scores are the share of label 1: 1 or 0
+    where one class is all there is, 0.5 without labels.
     """
     rows = saved(document_statistics(docs), "statistics")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     known = known.filter((fold_of(F.col("doc_id"), folds) != held_out) & F.col("label").isin(0, 1))
     sums = moments(rows.join(known, "doc_id").select("label", "stats"), len(STATISTICS))
-    if not sums and rows.isEmpty():
-        return rows.select("doc_id", F.lit(False).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    model = fit(sums)
+    model = fit(sums) if set(sums) == {0, 1} else None
+    share = float(1 in sums) if sums else 0.5
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             x = np.array(column(batch, "stats").to_pylist(), float).reshape(-1, len(STATISTICS))
-            score = model.scores(x)
+            score = model.scores(x) if model else np.full(len(x), share)
             ids = column(batch, "doc_id")
             held = [i is not None and zlib.crc32(str(i).encode()) % folds == held_out for i in ids.to_pylist()]
             yield {"doc_id": ids, "held_out": held, "score": score, "predicted": (score >= threshold).astype(np.int32)}

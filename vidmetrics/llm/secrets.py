@@ -64,7 +64,7 @@ MORE_RULES = (
     Rule("payment", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("pem", rf"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:{_TO_END}|{_UNENDED}|)"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,30}://[^\s:/@]{1,256}:[^\s:/@]{1,256}@"),
+    Rule("url_login", r"(?<![a-z0-9+.-])[0-9+.-]*+[a-z][a-z0-9+.-]++://[^\s:/@]++:[^\s:/@]++@"),
 )
 # ------------------------------------------------------------------------------
 

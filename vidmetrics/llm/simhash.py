@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vidmetrics.llm.common import column, connected, id_and_text, map_arrow, saved, utf8
+from vidmetrics.llm.common import column, connected, first_of_groups, id_and_text, map_arrow, saved, utf8
 
 SEED = 42
 BITS = 64
@@ -226,9 +226,6 @@ def near_duplicates(docs: DataFrame, *, shingle_words: int = 3, errors: int = 3)
 def one_of_each_group(docs: DataFrame, *, shingle_words: int = 3, errors: int = 3) -> DataFrame:
     """The documents of the smallest id of each near-duplicate group, with all their columns.
 
-    Rows without an id stay. If several rows carry that id, one of them stays.
+    Rows without an id stay. If several rows carry that id, the one whose text has the smallest hash stays.
     """
-    keys = near_duplicates(docs.filter("doc_id is not null"), shingle_words=shingle_words, errors=errors)
-    keep = keys.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    chosen = docs.join(keep, docs["doc_id"] == keep["_keep"]).drop("_keep").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.filter("doc_id is null"))
+    return first_of_groups(docs, near_duplicates(docs.filter("doc_id is not null"), shingle_words=shingle_words, errors=errors))
