@@ -709,11 +709,9 @@ def jaro_winkler(name: str, a: str, b: str, source: str) -> str:
 
 FUZZY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 SIMILAR = f""", texts AS (
-SELECT id, {FUZZY.format('title')} AS t, {FUZZY.format('description')} AS d, nullif(string_split({NORM}, ' ')[1], '') AS word,
-  epoch_ms(published_at) AS at FROM catalog_source),
+SELECT id, {FUZZY.format('title')} AS t, {FUZZY.format('description')} AS d, epoch_ms(published_at) AS at FROM catalog_source),
 candidates AS (
-SELECT a.id AS a_id, b.id AS b_id, a.t AS a_t, b.t AS b_t, a.d AS a_d, b.d AS b_d, abs(a.at - b.at) // 3600000 AS hours FROM texts a JOIN texts b ON a.id < b.id
-  AND (a.word = b.word OR a.at // 259200000 = b.at // 259200000)),
+SELECT a.id AS a_id, b.id AS b_id, a.t AS a_t, b.t AS b_t, a.d AS a_d, b.d AS b_d, abs(a.at - b.at) // 3600000 AS hours FROM texts a JOIN texts b ON a.id < b.id),
 {jaro_winkler('tj', 'a_t', 'b_t', 'candidates')},
 {jaro_winkler('dj', 'a_d', 'b_d', 'candidates')},
 scored AS (

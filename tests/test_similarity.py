@@ -1,3 +1,4 @@
+import datetime as dt
 import itertools
 import random
 
@@ -59,26 +60,63 @@ def test_components_equal_union_find(spark, shape):
     assert got.select(F.countDistinct("component")).first()[0] == len({root(i) for i in range(n)})
 
 
-def test_recall_of_the_blocks(spark, fixtures):
-    """The blocks against all pairs: every pair they name is right, and this share of all is found."""
-    sv = fixtures.catalog_source
-    ids = [r.id for r in sv.select("id").collect()]
-    every = spark.createDataFrame(list(itertools.combinations(sorted(ids), 2)), "a_id long, b_id long")
-    want = {(r.a_id, r.b_id) for r in similarity.similar_pairs(every, sv).collect()}
-    got = {(r.a_id, r.b_id) for r in similarity.similar_pairs(similarity.block_pairs(sv), sv).collect()}
-    print(len(got), "of", len(want))
-    assert got <= want
-    assert len(got) >= 0.75 * len(want)  # 509 of 641
+def linked(df):
+    return {(r.a_id, r.b_id): round(r.score, 9) for r in df.collect()}
+
 
+def every_pair(spark, sv):
+    ids = sorted(r.id for r in sv.select("id").collect())
+    return spark.createDataFrame(list(itertools.combinations(ids, 2)), "a_id long, b_id long")
 
-def test_blocks_without_the_bound_link_the_same(spark, fixtures):
+
+def test_no_pair_of_all_is_lost(spark, fixtures):
     sv = fixtures.catalog_source
-    loose = similarity.similar_pairs(similarity.block_pairs(sv, threshold=0.0), sv)
-    tight = similarity.similar_pairs(similarity.block_pairs(sv), sv)
-    assert loose.exceptAll(tight).isEmpty() and tight.exceptAll(loose).isEmpty()
+    want = linked(similarity.similar_pairs(every_pair(spark, sv), sv))
+    candidates = similarity.candidate_pairs(sv)
+    assert len(want) == 641 and linked(similarity.similar_pairs(candidates, sv)) == want
+    assert candidates.count() < 0.5 * sv.count() * (sv.count() - 1) / 2
+
+
+@pytest.mark.parametrize("seed, threshold", [(1, 0.78), (2, 0.74)])
+def test_no_pair_of_invented_texts_is_lost(spark, seed, threshold):
+    """Lengths from none to very long, letters beyond the signature's depth, changed, swapped and shifted words."""
+    rng = random.Random(seed)
+    start = dt.datetime(2024, 1, 1)
+
+    def text(size):
+        return "".join(rng.choice("eeeeennniiirsstadhulcgmobwfkzpvjyxq 0123") for _ in range(size))
+
+    def changed(t):
+        t = list(t)
+        for _ in range(rng.randint(0, max(1, len(t) // 4))):
+            i = rng.randrange(len(t) + 1)
+            t[i:i + rng.randint(0, 2)] = rng.choice(["", "e", "ab", "x", " "])
+        return "".join(t)
+
+    base = [text(n) for n in (0, 1, 2, 3, 5, 9, 14, 20, 33, 60, 120, 300)]
+    rows = []
+    for i in range(120):
+        t, d = (changed(rng.choice(base)) for _ in range(2))
+        rows.append((i, None, "X", t if rng.random() > 0.05 else None, d if rng.random() > 0.1 else None, start + dt.timedelta(hours=rng.randint(0, 700)) if rng.random() > 0.1 else None, 60, 1))
+    sv = spark.createDataFrame(rows, SOURCES)
+    want = linked(similarity.similar_pairs(every_pair(spark, sv), sv, threshold=threshold))
+    assert len(want) > 10
+    assert linked(similarity.similar_pairs(similarity.candidate_pairs(sv, threshold=threshold), sv, threshold=threshold)) == want
 
 
-def test_a_hot_block_is_whole(spark):
+def test_titles_that_only_share_letters_meet_in_the_index(spark):
+    titles = ["abcdefghij", "bacdefghij", "abcdefghji", "qbcdefghij", "zzzzzzzzzz", "abc", "abd", "a", ""]
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    got = {(r.a, r.b) for r in similarity.title_links(df, need=0.8).collect()}
+    assert got == {(a, b) for a, b in itertools.permutations(titles, 2) if a < b and similarity.jaro_winkler(a, b) >= 0.8 - 1e-9}
+
+
+def test_a_hot_title_is_whole(spark):
     rows = [(i, None, "X", f"gleich titel {i % 3}", "text", None, 60, 1) for i in range(60)]
     sv = spark.createDataFrame(rows, SOURCES)
-    assert similarity.block_pairs(sv).count() == 60 * 59 // 2
+    assert similarity.candidate_pairs(sv).count() == 60 * 59 // 2
+
+
+def test_thresholds_the_index_does_not_cover(spark, fixtures):
+    with pytest.raises(ValueError):
+        similarity.candidate_pairs(fixtures.catalog_source, threshold=0.6)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from vidmetrics.functions.text import fuzzy_text, normal_title
+from vidmetrics.functions.text import fuzzy_text
 from vidmetrics.session import ensure_checkpoint_dir
 
 # --- fixed values: weights of the score and the link threshold --------------
@@ -100,41 +102,138 @@ def similar_pairs(pairs: DataFrame, sv: DataFrame, *, threshold: float = LINK_TH
     return score_pairs(pairs, sv).filter(F.col("score") >= threshold)
 
 
-def _text_bound(a: Column, b: Column) -> Column:
-    """No Jaro-Winkler similarity of the two texts is higher: as if all letters of the shorter one were
-    common and in order, with the prefix that they do share."""
-    shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    prefix = sum((F.when(F.left(a, F.lit(k)) == F.left(b, F.lit(k)), 1).otherwise(0) for k in range(1, BOOST_CHARS + 1)), F.lit(0))
-    jaro = (F.lit(2.0) + shorter / F.greatest(longer, F.lit(1))) / 3
-    return F.when(a == b, F.lit(1.0)).when(shorter == 0, F.lit(0.0)).otherwise(jaro + BOOST_STEP * prefix * (1 - jaro))
+#: Letters of a fuzzy text, occurrences of a letter that a signature tells apart, letters in one long of it.
+_LETTERS, _DEEP, _PER_LONG = " abcdefghijklmnopqrstuvwxyz0123456789", 6, 10
+_LONGS = -(-len(_LETTERS) // _PER_LONG)
+#: Lengths of texts are cells of this ratio.
+_RATIO, _CELLS = 1.3, 40
+
+
+def _times(text: Column, letter: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit("")))
+
+
+def _signature(text: Column) -> Column:
+    """Length, first letters and letter counts: one bit per letter and occurrence, up to ``_DEEP``, and the rest as a sum."""
+    longs = []
+    for k in range(_LONGS):
+        part = F.lit(0).cast("long")
+        for slot, letter in enumerate(_LETTERS[k * _PER_LONG:(k + 1) * _PER_LONG]):
+            bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(_times(text, letter), F.lit(_DEEP))) - 1
+            part = part.bitwiseOR(F.shiftleft(bits, slot * _DEEP))
+        longs.append(part.alias(f"m{k}"))
+    more = sum((F.greatest(_times(text, x) - _DEEP, F.lit(0)) for x in _LETTERS), F.lit(0))
+    return F.struct(F.length(text).alias("n"), F.left(text, F.lit(BOOST_CHARS)).alias("first"), more.alias("more"), *longs)
+
+
+def _bound(a: Column, b: Column, letters: bool = True) -> Column:
+    """No Jaro-Winkler similarity of two texts with these signatures is higher: as if all letters that both have (all of
+    the shorter one without ``letters``) were in reach and in order, with the prefix that they do share."""
+    shorter, longer = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
+    common = shorter
+    if letters:
+        shared = sum((F.bit_count(a[f"m{k}"].bitwiseAND(b[f"m{k}"])) for k in range(_LONGS)), F.least(a["more"], b["more"]))
+        common = F.least(shorter, shared)
+    prefix = sum((F.when((shorter >= k) & (F.left(a["first"], F.lit(k)) == F.left(b["first"], F.lit(k))), 1).otherwise(0) for k in range(1, BOOST_CHARS + 1)), F.lit(0))
+    jaro = (common / F.greatest(a["n"], F.lit(1)) + common / F.greatest(b["n"], F.lit(1)) + 1) / 3
+    jaro = F.when(longer == 0, F.lit(1.0)).when(common == 0, F.lit(0.0)).otherwise(jaro)
+    return jaro + BOOST_STEP * prefix * (1 - jaro)
+
+
+def _ordered_letters(t: Column, often: dict[str, int]) -> Column:
+    """The letters of a text, the n-th occurrence of one being a letter of its own, rarest first."""
+    def places(x: str) -> Column:
+        place = lambda k: F.struct((F.lit(float(often[x])) / k).alias("often"), F.concat(F.lit(x), k.cast("string")).alias("letter"))
+        return F.when(_times(t, x) > 0, F.transform(F.sequence(F.lit(1), _times(t, x)), place)).otherwise(F.array())
+
+    return F.array_sort(F.flatten(F.array(*[places(x) for x in _LETTERS])))
 
 
-def block_pairs(sv: DataFrame, *, threshold: float = LINK_THRESHOLD) -> DataFrame:
-    """Candidates (a_id < b_id): sources whose normalised titles begin with the same word, or that were
-    published in the same cell of 72 hours, unless lengths and first letters already rule the score out.
+def _keyed(titles: DataFrame, need: float) -> DataFrame:
+    """``titles`` (t, n, cell, letters) by keys of which two share at least one if their Jaro-Winkler similarity is
+    ``need`` or more.
 
-    Scores of all pairs have no plan below quadratic cost; these blocks are the definition of the search,
-    without a cap on their size. The join is an equi-join, so adaptive execution splits a large block on
-    both sides; a pair of both blocks is taken from the block of its word.
+    Either they begin with the same three letters, which is a key, or at most two letters are a boost, so their
+    Jaro similarity is at least ``jaro``; then the letters in common, over either length, add up to ``share``. Letters are
+    put in one order: two texts with ``o`` of them in common share one among the first (length - o + 1) of each. ``o`` depends on
+    both lengths, so a key also names the cells of both; a text has keys for each cell of a partner.
     """
-    word = F.split(normal_title(F.col("title")), " ")[0]
+    jaro = (need - 2 * BOOST_STEP) / (1 - 2 * BOOST_STEP)
+    share = 3 * jaro - 1
+    low = [math.ceil(_RATIO ** c) for c in range(_CELLS)]
+    partners = F.array(*[
+        F.struct(F.lit(c).alias("other"), F.lit(float(x)).alias("low"), F.lit(float(y)).alias("high")) for c, (x, y) in enumerate(zip(low, [*low[1:], 1 << 40]))
+    ])
+    overlap = F.lit(share) * F.col("n") * F.col("low") / (F.col("n") + F.col("low"))
+    # A text meets the few cells of lengths that can have so much in common with it.
+    met = titles.select("*", F.inline(partners)).filter(
+        (F.col("low") * (share - 1) <= F.col("n")) & (F.col("n") * (share - 1) <= F.col("high")) & (overlap <= F.col("high"))
+    )
+    first = F.slice("letters", 1, F.greatest(F.col("n") - F.ceil(overlap - 1e-9).cast("int") + 1, F.lit(0)))
+    by_letter = met.select("t", "s", F.least("cell", "other").alias("x"), F.greatest("cell", "other").alias("y"), F.explode(first).alias("l")).select(
+        "t", "s", F.concat_ws(":", "l.letter", "x", "y").alias("key")
+    )
+    return by_letter.unionByName(titles.filter("n >= 3").select("t", "s", F.concat(F.lit("3:"), F.left("t", F.lit(3))).alias("key")))
+
+
+def title_links(titles: DataFrame, *, need: float) -> DataFrame:
+    """(a, b, title_score) of the distinct titles ``titles`` (t), a < b, whose similarity is ``need`` or more: candidates share
+    a key of an index, bounds by letters leave few of them, those are scored."""
+    ensure_checkpoint_dir(titles.sparkSession)
+    counts = titles.agg(*[F.sum((_times(F.col("t"), x) > 0).cast("int")).alias(f"c{i}") for i, x in enumerate(_LETTERS)]).first()
+    often = {x: counts[i] or 0 for i, x in enumerate(_LETTERS)}
+    n = F.length("t")
+    cell = F.when(n < 1, 0).otherwise(sum((F.when(n >= math.ceil(_RATIO ** c), 1).otherwise(0) for c in range(1, _CELLS)), F.lit(0)))
+    signed = titles.select("t", _signature(F.col("t")).alias("s"), n.alias("n"), cell.alias("cell"), _ordered_letters(F.col("t"), often).alias("letters")).checkpoint()
+    keyed = _keyed(signed, need)
+    a, b = (keyed.select("key", F.col("t").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    near = a.join(b, "key").filter((F.col("a") < F.col("b")) & (_bound(F.col("sa"), F.col("sb")) >= need - 1e-9)).select("a", "b").distinct()
+    near = near.checkpoint()  # else the filter on the score would be evaluated before the distinct
+    return near.withColumn("title_score", jaro_winkler_column("a", "b")).filter(F.col("title_score") >= need - 1e-9)
+
+
+def candidate_pairs(sv: DataFrame, *, threshold: float = LINK_THRESHOLD) -> DataFrame:
+    """Candidates (a_id < b_id), all pairs that can reach ``threshold`` among them.
+
+    Proofs: without a description on both sides a pair has at most the weights of title and time. Pairs with a time bonus lie in
+    one cell of 72 hours or in neighbouring ones. Pairs without it need a title similarity of (threshold -
+    weight of the description) / weight of the title, and come from an index over distinct titles. In either
+    case lengths, letters in common and first letters bound the score before any text is compared.
+    """
+    need = (threshold - DESCRIPTION_WEIGHT) / TITLE_WEIGHT
+    if not BOOST_FROM <= need <= 1:
+        raise ValueError("the index needs a threshold that asks for a title similarity between 0.7 and 1")
     rows = sv.select(
-        "id", fuzzy_text(F.col("title")).alias("t"), fuzzy_text(F.col("description")).alias("d"), F.when(word != "", word).alias("word"),
-        F.unix_millis("published_at").alias("at"),
+        "id", fuzzy_text(F.col("title")).alias("t"), fuzzy_text(F.col("description")).alias("d"), F.unix_millis("published_at").alias("at"),
     )
-    cell = F.floor(F.col("at") / (TIME_BONUS_HOURS * 3_600_000)).cast("string")
-    keyed = rows.select("*", F.explode(F.array(
-        F.struct(F.lit("word").alias("kind"), F.col("word").alias("key")), F.struct(F.lit("cell").alias("kind"), cell.alias("key")),
-    )).alias("block")).select(*rows.columns, "block.kind", "block.key").filter("key is not null")
-    a, b = (keyed.select("kind", "key", *[F.col(c).alias(f"{side}_{c}") for c in rows.columns]) for side in "ab")
+    if TITLE_WEIGHT + TIME_WEIGHT < threshold:
+        rows = rows.filter("d <> ''")
+    rows = rows.withColumns({"ts": _signature(F.col("t")), "ds": F.struct(F.length("d").alias("n"), F.left("d", F.lit(BOOST_CHARS)).alias("first"))})
+    ensure_checkpoint_dir(sv.sparkSession)
+    rows = rows.checkpoint()  # signatures are made once, for both sides of both joins
+    a, b = (rows.select(*[F.col(c).alias(f"{x}_{c}") for c in rows.columns]) for x in "ab")
     hours = F.floor(F.abs(F.col("a_at") - F.col("b_at")) / 3_600_000)
     bonus = F.coalesce(F.when(hours <= TIME_BONUS_HOURS, TIME_WEIGHT * (1 - hours / TIME_BONUS_HOURS)), F.lit(0.0))
-    described = F.when((F.col("a_d") != "") & (F.col("b_d") != ""), _text_bound(F.col("a_d"), F.col("b_d"))).otherwise(0.0)
-    bound = TITLE_WEIGHT * _text_bound(F.col("a_t"), F.col("b_t")) + DESCRIPTION_WEIGHT * described + bonus
-    once = (F.col("kind") == "word") | ~F.coalesce(F.col("a_word") == F.col("b_word"), F.lit(False))
-    return a.join(b, ["kind", "key"]).filter(
-        (F.col("a_id") < F.col("b_id")) & once & (bound >= threshold - 1e-9)
-    ).select("a_id", "b_id")
+    described = F.when((F.col("a_d") != "") & (F.col("b_d") != ""), _bound(F.col("a_ds"), F.col("b_ds"), letters=False)).otherwise(0.0)
+    ids = [F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id")]
+
+    width = TIME_BONUS_HOURS * 3_600_000
+    left = a.withColumn("cell", F.floor(F.col("a_at") / width))
+    right = b.withColumn("own", F.floor(F.col("b_at") / width)).withColumn("cell", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    title = F.when(F.col("a_t") == F.col("b_t"), F.lit(1.0)).otherwise(_bound(F.col("a_ts"), F.col("b_ts")))
+    timely = left.join(right, "cell").filter(
+        ((F.col("own") < F.col("cell")) | (F.col("a_id") < F.col("b_id"))) & (bonus > 0)
+        & (TITLE_WEIGHT * title + DESCRIPTION_WEIGHT * described + bonus >= threshold - 1e-9)
+    ).select(*ids)
+
+    titles = rows.select("t").distinct()
+    links = title_links(titles, need=need).checkpoint()
+    links = links.unionByName(titles.select(F.col("t").alias("a"), F.col("t").alias("b"), F.lit(1.0).alias("title_score")))
+    apart = a.join(links, F.col("a_t") == F.col("a")).join(b, F.col("b_t") == F.col("b")).filter(
+        ((F.col("a_t") != F.col("b_t")) | (F.col("a_id") < F.col("b_id")))
+        & (TITLE_WEIGHT * F.col("title_score") + DESCRIPTION_WEIGHT * described + bonus >= threshold - 1e-9)
+    ).select(*ids)
+    return timely.unionByName(apart).distinct()
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:

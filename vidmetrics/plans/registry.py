@@ -499,7 +499,7 @@ def duplicate_pairs(f):
 
 
 def _similar(f: Fixtures) -> DataFrame:
-    return similarity.similar_pairs(similarity.block_pairs(f.catalog_source), f.catalog_source)
+    return similarity.similar_pairs(similarity.candidate_pairs(f.catalog_source), f.catalog_source)
 
 
 @query
