@@ -751,7 +751,7 @@ def all_sorts() -> str:
         orders[f"{key}_desc"] = f"{c} DESC NULLS LAST, video_id DESC"
         orders[f"{key}_asc"] = f"{c} NULLS FIRST, video_id"
     parts = [
-        f"SELECT '{name}' AS sort, rank, video_id FROM (SELECT video_id, row_number() OVER (ORDER BY {order}) AS rank FROM stored) WHERE rank <= 5"
+        f"SELECT '{name}' AS sort, rank, video_id FROM (SELECT video_id, row_number() OVER (ORDER BY {order}) AS rank FROM stored)"
         for name, order in orders.items()
     ]
     return " UNION ALL ".join(parts)
@@ -761,3 +761,34 @@ oracle("all_sorts", TABLE + all_sorts(), *BASE)
 oracle("overview_alerts", DELTAS + """SELECT s.source_video_id, s.views_now, round(delta, 4) AS delta, round(growth, 4) AS growth, sv.video_id, sv.platform
 FROM deltas s JOIN source_video sv ON sv.id = s.source_video_id WHERE sv.video_id IS NOT NULL AND delta IS NOT NULL AND sv.platform = 'YOUTUBE'
 ORDER BY s.delta DESC, s.source_video_id LIMIT 20""", "source_video", "metric_snapshot")
+
+
+# ---- whole jobs and documents ------------------------------------------------
+ORACLES["refreshed_tables"] = f"""SELECT 'video_rollup' AS part, video_id, NULL AS platform, NULL AS age, round(cast(views_native_sum AS double), 6) AS value FROM ({ORACLES["refreshed_rollup"]})
+UNION ALL SELECT 'aligned_raw_hour', video_id, source, age_bucket, round(cast(views_cum AS double), 6) FROM ({ORACLES["aligned_raw"]})
+UNION ALL SELECT 'aligned_dense_hour', video_id, source, age_bucket, round(cast(views_cum AS double), 6) FROM ({ORACLES["aligned_dense"]})
+UNION ALL SELECT 'bands_hour', NULL, source, age_bucket, round(cast(p50_views AS double), 6) FROM ({ORACLES["percentile_bands"]})"""
+oracle("ingested_items", WALK.replace("FROM snapshot_feed)", "FROM snapshot_feed WHERE arrival_seq % 13 <> 0 AND arrival_seq % 29 <> 0)") + """,
+told AS (SELECT count(*) AS ok, count(*) FILTER (stored) AS stored, count(*) FILTER (NOT stored) AS skipped, cast(sum(corrections) AS bigint) AS corrections FROM walk),
+bad AS (SELECT arrival_seq, views_native FROM snapshot_feed WHERE arrival_seq % 13 = 0)
+SELECT 'decided' AS sink, arrival_seq, reason, stored, views_native FROM walk
+UNION ALL SELECT 'rejected', arrival_seq, 'bad_instant', false, views_native FROM bad
+UNION ALL SELECT 'report', NULL, unnest(['ok', 'ko', 'stored', 'skipped', 'monotonic_corrections']), NULL,
+  unnest([ok, (SELECT count(*) FROM bad), stored, skipped, corrections]) FROM told""", "snapshot_feed", recursive=True)
+oracle("health_document_rows", STATUS + RUNS + """SELECT 'platform' AS part, platform AS name, status, last_success_at AS at, last_error AS message FROM g
+UNION ALL SELECT DISTINCT 'alert', NULL, NULL, NULL, message FROM (SELECT unnest([m1, m2, m3, m4, m5]) AS message FROM g) WHERE message IS NOT NULL
+UNION ALL (SELECT 'batch', run_id, status, finished_at, error FROM runs ORDER BY started_at DESC NULLS LAST, run_id DESC LIMIT 1)""",
+       "source_video", "metric_snapshot", "health_event", "batch_event")
+oracle("refresh_triggers", RUNS + """, ended AS (SELECT run_id, finished_at, status,
+  max(finished_at) FILTER (status = 'SUCCESS') OVER (ORDER BY finished_at, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous
+FROM runs WHERE finished_at IS NOT NULL)
+SELECT *, previous IS NULL OR epoch_ms(finished_at) - epoch_ms(previous) >= 7200000 AS due FROM ended""", "batch_event")
+oracle("reconcile_with_overrides_report", """, last AS (
+SELECT * FROM reconcile_override WHERE (action = 'LINK' AND target_video_id IS NOT NULL) OR action = 'UNLINK'
+QUALIFY row_number() OVER (PARTITION BY source_video_id ORDER BY id DESC) = 1),
+overridden AS (SELECT c.* REPLACE (CASE WHEN l.id IS NULL THEN c.video_id WHEN l.action = 'LINK' THEN l.target_video_id END AS video_id)
+FROM catalog_source c LEFT JOIN last l ON l.source_video_id = c.id)""" + clusters(48).replace("FROM catalog_source", "FROM overridden") + """SELECT (SELECT count(*) FROM placed) AS clusters,
+  (SELECT count(*) FROM placed WHERE existing_video_id IS NULL) AS created_videos,
+  (SELECT count(*) FROM items i JOIN placed p ON p.cluster_id = i.cluster_id WHERE i.video_id IS DISTINCT FROM p.new_id) AS linked_sources,
+  (SELECT count(*) FROM reconcile_override WHERE (action = 'LINK' AND target_video_id IS NOT NULL) OR action = 'UNLINK') AS applied_overrides""",
+       "video", "catalog_source", "reconcile_override", recursive=True)

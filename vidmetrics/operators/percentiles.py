@@ -12,6 +12,8 @@ from vidmetrics.operators.spread import instant
 
 BANDS = (10, 25, 50, 75, 90)
 _SLOTS_PER_E = 32
+#: Parts of a slot, by a mergeable quantile sketch of its distinct values, and the sketch's accuracy.
+_PARTS, _ACCURACY = 32, 1000
 
 
 def discrete_percentiles(
@@ -21,8 +23,10 @@ def discrete_percentiles(
 
     A group may hold every video of a platform, so it is never sorted in one task. Equal values are
     counted first; the value axis is cut into slots by an increasing function; slot totals (at most
-    a few thousand per group) tell which slot holds each rank; only the values of those slots are
-    then ordered, slot by slot. The result is exact.
+    a few thousand per group) tell which slot holds each rank. Values may crowd into one slot, so a slot
+    that holds a rank is cut again, at the quantiles of a sketch of its distinct values; counts per
+    part tell which part holds the rank, and only the values of that part are ordered. The sketch only
+    places the cuts: the result is exact whatever they are.
     """
     keys = list(keys)
     slot = F.floor(
@@ -53,18 +57,28 @@ def discrete_percentiles(
     targets = slots.select(
         *[F.col(k) for k in keys], "_slot", "_total", *hit
     ).filter(F.coalesce(*[F.col(f"_r{p}") for p in percents]).isNotNull())
-    in_slot = Window.partitionBy(*keys, "_slot").orderBy("_value").rowsBetween(
-        Window.unboundedPreceding, 0
+    # The rows of the slots that hold a rank, dealt by value: all steps below share this one shuffle.
+    slot_of = [*keys, "_slot"]
+    hit_rows = counted.join(targets, slot_of).repartition(*slot_of, "_value")
+    shares = F.array(*[F.lit(i / _PARTS) for i in range(1, _PARTS)])
+    cuts = hit_rows.groupBy(*slot_of).agg(F.percentile_approx("_value", shares, _ACCURACY).alias("_cuts"))
+    cut_rows = hit_rows.join(cuts, slot_of).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_value"))))
+    in_slot = Window.partitionBy(*slot_of).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ranks_of = [f"_r{p}" for p in percents]
+    parts = cut_rows.groupBy(*slot_of, "_part").agg(F.sum("_n").alias("_part_n"), *[F.max(r).alias(r) for r in ranks_of]).withColumn(
+        "_under", F.coalesce(F.sum("_part_n").over(in_slot), F.lit(0))
     )
+    inner = [F.col(r) - F.col("_under") for r in ranks_of]
+    parts = parts.select(*slot_of, "_part", *[
+        F.when((x >= 1) & (x <= F.col("_part_n")), x).alias(f"_i{p}") for p, x in zip(percents, inner)
+    ]).filter(F.coalesce(*[F.col(f"_i{p}") for p in percents]).isNotNull())
+    in_part = Window.partitionBy(*slot_of, "_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        counted.join(targets, [*keys, "_slot"])
-        .withColumn("_upto", F.sum("_n").over(in_slot))
+        cut_rows.join(parts, [*slot_of, "_part"])
+        .withColumn("_upto", F.sum("_n").over(in_part))
         .groupBy(*keys)
         .agg(
-            *[
-                F.min(F.when(F.col("_upto") >= F.col(f"_r{p}"), F.col("_value"))).alias(f"p{p}")
-                for p in percents
-            ],
+            *[F.min(F.when(F.col("_upto") >= F.col(f"_i{p}"), F.col("_value"))).alias(f"p{p}") for p in percents],
             F.max("_total").alias("n"),
         )
     )
@@ -102,10 +116,10 @@ def curves_with_baseline(
 ) -> DataFrame:
     """Q8, comparator: curves aligned on publication beside the median of their platform.
 
-    The baseline has one row per (platform, age): a few thousand rows whatever the data.
+    The baseline has one row per (platform, age); whether it is broadcast is left to its measured size.
     """
     curves = dense if video_ids is None else dense.filter(F.col("video_id").isin(list(video_ids)))
     medians = baseline.select("source", "granularity", "age_bucket", "median_views")
-    return curves.join(F.broadcast(medians), ["source", "granularity", "age_bucket"], "left").select(
+    return curves.join(medians, ["source", "granularity", "age_bucket"], "left").select(
         "video_id", "source", "granularity", "age_bucket", "views_cum", "median_views"
     )

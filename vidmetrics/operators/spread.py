@@ -88,6 +88,22 @@ def with_running_max(
     )
 
 
+def ranked(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Adds the rank (from 1) in a total ``order`` of all rows, without a task that sees all of them: rows are dealt into
+    ranges of the order, ranked inside, and shifted by the counts of the ranges before."""
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    shift, rows = 0, []
+    for number, count in sorted(map(tuple, ranged.groupBy("_range").count().collect())):  # one row per partition
+        rows.append((number, shift))
+        shift += count
+    shifts = F.broadcast(df.sparkSession.createDataFrame(rows, "_range int, _shift long"))
+    inside = Window.partitionBy("_range").orderBy(*order)
+    return ranged.withColumn("_rank", F.row_number().over(inside)).join(shifts, "_range").select(
+        *df.columns, (F.col("_shift") + F.col("_rank")).cast("long").alias(name)
+    )
+
+
 def numbered(df: DataFrame, id_col: str, start: Column | int, name: str) -> DataFrame:
     """Adds ``start`` + the rank of the unique long ``id_col``: dense surrogate numbers in id order.
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vidmetrics.operators.align import aligned_dense, aligned_raw
 from vidmetrics.operators.percentiles import percentile_bands
 from vidmetrics.operators.rollup import video_rollup
+from vidmetrics.operators.spread import with_running_max
 from vidmetrics.sources.tables import read_table, replace_table
 
 JOB = "derived_tables"
@@ -21,6 +23,22 @@ def may_refresh(log: DataFrame, as_of: datetime, min_seconds: int = 120) -> bool
     return last is None or as_of - last >= timedelta(seconds=min_seconds)
 
 
+def refresh_triggers(runs: DataFrame, min_seconds: int = 120) -> DataFrame:
+    """M2, I11 over a whole log of batch runs (run_id, finished_at, status): would the end of each run have been allowed to
+    start a refresh? ``previous`` is the latest earlier success; due: none, or at least ``min_seconds`` before.
+
+    Runs are walked hour by hour, with one carried instant per hour, so a long log is not one task.
+    """
+    ended = runs.filter(F.col("finished_at").isNotNull()).select("run_id", "finished_at", "status", F.lit(JOB).alias("job"))
+    at = F.when(F.col("status") == "SUCCESS", F.unix_millis("finished_at"))
+    walked = with_running_max(ended.withColumn("_at", at), "job", "finished_at", "run_id", "_at", "_previous")
+    gap = F.unix_millis("finished_at") - F.col("_previous")
+    return walked.select(
+        "run_id", "finished_at", "status", F.timestamp_millis("_previous").alias("previous"),
+        (F.col("_previous").isNull() | (gap >= min_seconds * 1000)).alias("due"),
+    )
+
+
 def refresh(
     ms: DataFrame, sv: DataFrame, v: DataFrame, root: str, *, as_of: datetime, version: str,
     with_percentiles: bool = True, granularities: tuple[str, ...] = ("hour",),

@@ -17,11 +17,12 @@ from vidmetrics.functions.text import fuzzy_text, is_teaser, normal_title, zuric
 from vidmetrics.functions.watch import hms_seconds
 from vidmetrics.operators import (
     align, catalog, duplicates, enrich, health, ingest, percentiles, quality, reconcile, rollup, series,
-    similarity, trend,
+    similarity, spread, trend,
 )
 from vidmetrics.operators.catalog import VideoListQuery
 from vidmetrics.plans.refresh import refresh
-from vidmetrics.plans.views import overview, video_detail, video_series
+from vidmetrics.plans.refresh import refresh_triggers as triggers
+from vidmetrics.plans.views import health_document, health_rows, ingest_to, overview, reconcile_with_overrides, video_detail, video_series
 from vidmetrics.session import ensure_checkpoint_dir
 from vidmetrics.sources import payloads, tables
 
@@ -834,12 +835,64 @@ def overview_alerts(f):
 
 @query
 def all_sorts(f):
-    """O1: the first five videos of every order, with their ranks."""
+    """O1: the rank of every video under every order."""
     stored = _table_rollup(f)
     out = None
     for sort in catalog.SORTS:
-        found = catalog.page_of(stored, VideoListQuery(sort=sort, size=5))
-        rank = F.row_number().over(Window.partitionBy("sort").orderBy(*catalog.sort_columns(sort)))
-        rows = found.withColumn("sort", F.lit(sort)).select("sort", rank.alias("rank"), "video_id")
+        rows = spread.ranked(stored, catalog.sort_columns(sort), "rank").select(F.lit(sort).alias("sort"), "rank", "video_id")
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+@query
+def refreshed_tables(f):
+    """M1: the rows of all tables that the refresh job writes, bands included, tagged by table."""
+    root = _folder(f)
+    refresh(f.metric_snapshot, f.source_video, f.video, root, as_of=datetime.fromisoformat(AS_OF), version="1")
+    shown = {
+        "video_rollup": ("video_id", None, None, "views_native_sum"), "aligned_raw_hour": ("video_id", "source", "age_bucket", "views_cum"),
+        "aligned_dense_hour": ("video_id", "source", "age_bucket", "views_cum"), "bands_hour": (None, "source", "age_bucket", "p50_views"),
+    }
+    out = None
+    for name, columns in shown.items():
+        found = tables.read_table(f.video.sparkSession, root, name)
+        rows = found.select(F.lit(name).alias("part"), *[
+            (F.col(c) if c else F.lit(None)).cast(kind).alias(to)
+            for c, (to, kind) in zip(columns, (("video_id", "long"), ("platform", "string"), ("age", "long"), ("value", "double")))
+        ])
+        out = rows if out is None else out.unionByName(rows)
+    return rounded(out, "value")
+
+
+@query
+def ingested_items(f):
+    """Items with their decisions, rejected items, and the counts observed while both were written."""
+    keys = f.source_video.select(F.col("id").alias("source_video_id"), "platform", "platform_video_id")
+    problem = F.when(F.col("arrival_seq") % 13 == 0, "bad_instant").when(F.col("arrival_seq") % 29 == 0, "skipped_no_video_id")
+    items = f.snapshot_feed.join(keys, "source_video_id").drop("source_video_id").withColumns({
+        "platform_format": F.lit(None).cast("string"), "problem": problem,
+    })
+    path = _folder(f)
+    counts = ingest_to(items, f.source_video, f.metric_snapshot.limit(0), path)
+    spark = items.sparkSession
+    told = spark.createDataFrame([(k, int(v)) for k, v in counts.items()], "reason string, views_native long")
+    rows = spark.read.parquet(path).select("sink", "arrival_seq", "reason", "stored", "views_native")
+    return rows.unionByName(told.withColumn("sink", F.lit("report")), allowMissingColumns=True)
+
+
+@query
+def health_document_rows(f):
+    """Q5, H6: platforms, alerts and the last batch run as one document."""
+    return health_rows(health_document(f.source_video, f.metric_snapshot, f.health_event, f.batch_event, as_of=AS_OF))
+
+
+@query
+def refresh_triggers(f):
+    """M2, I11 over the log of batch runs."""
+    return triggers(health.fold_batch_runs(f.batch_event), min_seconds=7200)
+
+
+@query
+def reconcile_with_overrides_report(f):
+    """Q7: overrides first, then the clusters; the report of the run."""
+    return reconcile_with_overrides(f.catalog_source, f.video, f.reconcile_override)[1]

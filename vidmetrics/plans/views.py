@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vidmetrics.operators import catalog, health, ingest, reconcile, series, trend
 from vidmetrics.operators.enrich import latest_enriched, series_top_n
 from vidmetrics.operators.rollup import engagement_table, overview_kpis, video_rollup
+from vidmetrics.session import ensure_checkpoint_dir
 from vidmetrics.sources import tables
 
 
@@ -131,6 +132,41 @@ def ingest_items(items: DataFrame, sv: DataFrame, ms: DataFrame, **options) -> I
     )
 
 
+def ingest_to(items: DataFrame, sv: DataFrame, ms: DataFrame, path: str, **options) -> dict[str, int]:
+    """I10 as a job: one evaluation of the items feeds both sinks and the report.
+
+    Decided items go to ``sink=decided`` and rejected ones to ``sink=rejected`` below ``path`` in one write, and the
+    counts of the report are observed while it runs, so nothing is read again to be counted. Returns ok, ko, stored,
+    skipped and monotonic_corrections.
+    """
+    ensure_checkpoint_dir(items.sparkSession)
+    run = ingest_items(items.checkpoint(), sv, ms, **options)
+    counters = [c for c in run.decisions.columns if c not in ("stored", "reason", "monotonic_corrections", "views_delta")]
+    decided = run.decisions.withColumn("sink", F.lit("decided"))
+    rejected = run.rejected.select(
+        *[F.col(c) for c in counters if c in run.rejected.columns], F.col("problem").alias("reason"), F.lit(False).alias("stored"), F.lit("rejected").alias("sink"),
+    )
+    good = F.col("sink") == "decided"
+    counts = Observation()
+    rows = decided.unionByName(rejected, allowMissingColumns=True).observe(
+        counts, F.count_if(good).alias("ok"), F.count_if(~good).alias("ko"), F.count_if(good & F.col("stored")).alias("stored"),
+        F.count_if(good & ~F.col("stored")).alias("skipped"), F.coalesce(F.sum("monotonic_corrections"), F.lit(0)).alias("monotonic_corrections"),
+    )
+    rows.write.mode("overwrite").partitionBy("sink").parquet(path)
+    return counts.get
+
+
+def health_rows(document: HealthDocument) -> DataFrame:
+    """Q5, H6 as one tagged set of rows (part, name, status, at, message): platforms, alerts, the last batch run."""
+    platforms = document.platforms.select(
+        F.lit("platform").alias("part"), F.col("platform").alias("name"), "status", F.col("last_success_at").alias("at"), F.col("last_error").alias("message")
+    )
+    no = F.lit(None).cast("string")
+    alerts = document.alerts.select(F.lit("alert").alias("part"), no.alias("name"), no.alias("status"), F.lit(None).cast("timestamp").alias("at"), "message")
+    batch = document.last_batch.select(F.lit("batch").alias("part"), F.col("run_id").alias("name"), "status", F.col("finished_at").alias("at"), F.col("error").alias("message"))
+    return platforms.unionByName(alerts).unionByName(batch)
+
+
 def reconcile_with_overrides(
     sv: DataFrame, v: DataFrame, overrides: DataFrame, *, hours: int = 48
 ) -> tuple[reconcile.Reconciliation, DataFrame]:
