@@ -417,7 +417,7 @@ def test_retention_classes(spark):
 
 
 def test_percentiles_of_values_that_crowd_into_one_slot(spark):
-    """A narrow range of distinct doubles: one slot of the value axis, cut by the sketch; a constant and a pair beside it."""
+    """A narrow range of distinct doubles: one slot of the value axis, cut again; a constant and a pair beside it."""
     n = 200_000
     crowd = spark.range(n).select(F.lit("a").alias("k"), (1e6 + F.pmod(F.col("id") * 7919, F.lit(n)) / n).alias("v"))
     same = spark.range(1000).select(F.lit("b").alias("k"), F.lit(5.0).alias("v"))

@@ -12,8 +12,8 @@ from vidmetrics.operators.spread import instant
 
 BANDS = (10, 25, 50, 75, 90)
 _SLOTS_PER_E = 32
-#: Parts of a slot, by a mergeable quantile sketch of its distinct values, and the sketch's accuracy.
-_PARTS, _ACCURACY = 32, 1000
+#: Parts of equal width into which a slot that holds a rank is cut.
+_PARTS = 1024
 
 
 def discrete_percentiles(
@@ -24,9 +24,8 @@ def discrete_percentiles(
     A group may hold every video of a platform, so it is never sorted in one task. Equal values are
     counted first; the value axis is cut into slots by an increasing function; slot totals (at most
     a few thousand per group) tell which slot holds each rank. Values may crowd into one slot, so a slot
-    that holds a rank is cut again, at the quantiles of a sketch of its distinct values; counts per
-    part tell which part holds the rank, and only the values of that part are ordered. The sketch only
-    places the cuts: the result is exact whatever they are.
+    that holds a rank is cut again between its own least and greatest value; counts per part tell which
+    part holds the rank, and only the values of that part are ordered. The result is exact.
     """
     keys = list(keys)
     slot = F.floor(
@@ -42,7 +41,7 @@ def discrete_percentiles(
     )
     by_slot = Window.partitionBy(*keys).orderBy("_slot")
     slots = (
-        counted.groupBy(*keys, "_slot").agg(F.sum("_n").alias("_slot_n"))
+        counted.groupBy(*keys, "_slot").agg(F.sum("_n").alias("_slot_n"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))
         .withColumn(
             "_below",
             F.coalesce(F.sum("_slot_n").over(by_slot.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
@@ -55,14 +54,12 @@ def discrete_percentiles(
         F.when((r >= 1) & (r <= F.col("_slot_n")), r).alias(f"_r{p}") for p, r in zip(percents, ranks)
     ]
     targets = slots.select(
-        *[F.col(k) for k in keys], "_slot", "_total", *hit
+        *[F.col(k) for k in keys], "_slot", "_total", "_low", "_high", *hit
     ).filter(F.coalesce(*[F.col(f"_r{p}") for p in percents]).isNotNull())
-    # The rows of the slots that hold a rank, dealt by value: all steps below share this one shuffle.
+    # Slots that hold a rank are cut again, between their own least and greatest value.
     slot_of = [*keys, "_slot"]
-    hit_rows = counted.join(targets, slot_of).repartition(*slot_of, "_value")
-    shares = F.array(*[F.lit(i / _PARTS) for i in range(1, _PARTS)])
-    cuts = hit_rows.groupBy(*slot_of).agg(F.percentile_approx("_value", shares, _ACCURACY).alias("_cuts"))
-    cut_rows = hit_rows.join(cuts, slot_of).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_value"))))
+    place = (F.col("_value").cast("double") - F.col("_low").cast("double")) / (F.col("_high").cast("double") - F.col("_low").cast("double"))
+    cut_rows = counted.join(targets, slot_of).withColumn("_part", F.when(F.col("_high") > F.col("_low"), F.floor(place * _PARTS)).otherwise(F.lit(0).cast("long")))
     in_slot = Window.partitionBy(*slot_of).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     ranks_of = [f"_r{p}" for p in percents]
     parts = cut_rows.groupBy(*slot_of, "_part").agg(F.sum("_n").alias("_part_n"), *[F.max(r).alias(r) for r in ranks_of]).withColumn(
