@@ -416,13 +416,14 @@ def test_retention_classes(spark):
     assert len([a for a in ages if 10 <= a < 40]) <= 31 and len([a for a in ages if a >= 40]) <= 10
 
 
-def test_percentiles_of_values_that_crowd_into_one_slot(spark):
+@pytest.mark.parametrize("crowded", [0, 1000, percentiles.CROWDED])
+def test_percentiles_of_values_that_crowd_into_one_slot(spark, crowded):
     """A narrow range of distinct doubles: one slot of the value axis, cut again; a constant and a pair beside it."""
     n = 200_000
     crowd = spark.range(n).select(F.lit("a").alias("k"), (1e6 + F.pmod(F.col("id") * 7919, F.lit(n)) / n).alias("v"))
     same = spark.range(1000).select(F.lit("b").alias("k"), F.lit(5.0).alias("v"))
     two = spark.createDataFrame([("c", 1.0), ("c", -2.0)], "k string, v double")
-    got = {r.k: r for r in percentiles.discrete_percentiles(crowd.unionByName(same).unionByName(two).repartition(8), ["k"], "v").collect()}
+    got = {r.k: r for r in percentiles.discrete_percentiles(crowd.unionByName(same).unionByName(two).repartition(8), ["k"], "v", crowded=crowded).collect()}
     for p in (10, 25, 50, 75, 90):
         assert got["a"][f"p{p}"] == 1e6 + (n * p // 100 - 1) / n and got["b"][f"p{p}"] == 5.0
         assert got["c"][f"p{p}"] == (-2.0 if p <= 50 else 1.0)

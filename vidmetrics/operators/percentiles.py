@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,20 +12,21 @@ from vidmetrics.operators.spread import instant
 
 BANDS = (10, 25, 50, 75, 90)
 _SLOTS_PER_E = 32
-#: Parts of equal width into which a slot that holds a rank is cut.
-_PARTS = 1024
+#: A slot that holds a rank and has more distinct values is cut into parts of equal width.
+CROWDED, _PARTS = 100_000, 1024
 
 
 def discrete_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int] = BANDS,
+    df: DataFrame, keys: Sequence[str], value: str, percents: Sequence[int] = BANDS, *, crowded: int = CROWDED,
 ) -> DataFrame:
     """``p<k>`` = the value at rank ``ceil(n * k / 100)`` of each group with known keys, and ``n``.
 
     A group may hold every video of a platform, so it is never sorted in one task. Equal values are
     counted first; the value axis is cut into slots by an increasing function; slot totals (at most
-    a few thousand per group) tell which slot holds each rank. Values may crowd into one slot, so a slot
-    that holds a rank is cut again between its own least and greatest value; counts per part tell which
-    part holds the rank, and only the values of that part are ordered. The result is exact.
+    a few thousand per group) tell which slot holds each rank. Where more than
+    ``crowded`` distinct values share such a slot, it is cut again between its own least and greatest value;
+    counts per part tell which part holds the rank, and only the values of that part are ordered. The
+    result is exact.
     """
     keys = list(keys)
     slot = F.floor(
@@ -41,7 +42,7 @@ def discrete_percentiles(
     )
     by_slot = Window.partitionBy(*keys).orderBy("_slot")
     slots = (
-        counted.groupBy(*keys, "_slot").agg(F.sum("_n").alias("_slot_n"), F.min("_value").alias("_low"), F.max("_value").alias("_high"))
+        counted.groupBy(*keys, "_slot").agg(F.sum("_n").alias("_slot_n"), F.min("_value").alias("_low"), F.max("_value").alias("_high"), F.count("*").alias("_distinct"))
         .withColumn(
             "_below",
             F.coalesce(F.sum("_slot_n").over(by_slot.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
@@ -54,33 +55,33 @@ def discrete_percentiles(
         F.when((r >= 1) & (r <= F.col("_slot_n")), r).alias(f"_r{p}") for p, r in zip(percents, ranks)
     ]
     targets = slots.select(
-        *[F.col(k) for k in keys], "_slot", "_total", "_low", "_high", *hit
+        *[F.col(k) for k in keys], "_slot", "_total", "_low", "_high", "_distinct", *hit
     ).filter(F.coalesce(*[F.col(f"_r{p}") for p in percents]).isNotNull())
-    # Slots that hold a rank are cut again, between their own least and greatest value.
     slot_of = [*keys, "_slot"]
-    place = (F.col("_value").cast("double") - F.col("_low").cast("double")) / (F.col("_high").cast("double") - F.col("_low").cast("double"))
-    cut_rows = counted.join(targets, slot_of).withColumn("_part", F.when(F.col("_high") > F.col("_low"), F.floor(place * _PARTS)).otherwise(F.lit(0).cast("long")))
-    in_slot = Window.partitionBy(*slot_of).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    ranks_of = [f"_r{p}" for p in percents]
-    parts = cut_rows.groupBy(*slot_of, "_part").agg(F.sum("_n").alias("_part_n"), *[F.max(r).alias(r) for r in ranks_of]).withColumn(
-        "_under", F.coalesce(F.sum("_part_n").over(in_slot), F.lit(0))
+    ordered = counted.join(targets.filter(F.col("_distinct") <= crowded), slot_of).select(
+        *keys, "_value", "_total", _running("_n", slot_of, "_value").alias("_upto"), *[F.col(f"_r{p}") for p in percents]
     )
-    inner = [F.col(r) - F.col("_under") for r in ranks_of]
-    parts = parts.select(*slot_of, "_part", *[
-        F.when((x >= 1) & (x <= F.col("_part_n")), x).alias(f"_i{p}") for p, x in zip(percents, inner)
-    ]).filter(F.coalesce(*[F.col(f"_i{p}") for p in percents]).isNotNull())
-    in_part = Window.partitionBy(*slot_of, "_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        cut_rows.join(parts, [*slot_of, "_part"])
-        .withColumn("_upto", F.sum("_n").over(in_part))
-        .groupBy(*keys)
-        .agg(
-            *[F.min(F.when(F.col("_upto") >= F.col(f"_i{p}"), F.col("_value"))).alias(f"p{p}") for p in percents],
-            F.max("_total").alias("n"),
-        )
+    # Crowded slots that hold a rank are cut again, between their own least and greatest value.
+    far, wide = (F.col(c).cast("double") - F.col("_low").cast("double") for c in ("_value", "_high"))
+    place = F.coalesce(F.try_divide(far, wide), F.lit(0.0))
+    cut_rows = counted.join(targets.filter(F.col("_distinct") > crowded), slot_of).withColumn("_part", F.floor(place * _PARTS))
+    parts = cut_rows.groupBy(*slot_of, "_part").agg(F.sum("_n").alias("_part_n"), *[F.max(f"_r{p}").alias(f"_r{p}") for p in percents])
+    parts = parts.withColumn("_under", _running("_part_n", slot_of, "_part") - F.col("_part_n"))
+    inner = [F.col(f"_r{p}") - F.col("_under") for p in percents]
+    parts = parts.select(*slot_of, "_part", *[F.when((x >= 1) & (x <= F.col("_part_n")), x).alias(f"_i{p}") for p, x in zip(percents, inner)])
+    parts = parts.filter(F.coalesce(*[F.col(f"_i{p}") for p in percents]).isNotNull())
+    cut = cut_rows.drop(*[f"_r{p}" for p in percents]).join(parts, [*slot_of, "_part"]).select(
+        *keys, "_value", "_total", _running("_n", [*slot_of, "_part"], "_value").alias("_upto"), *[F.col(f"_i{p}").alias(f"_r{p}") for p in percents]
+    )
+    return ordered.unionByName(cut).groupBy(*keys).agg(
+        *[F.min(F.when(F.col("_upto") >= F.col(f"_r{p}"), F.col("_value"))).alias(f"p{p}") for p in percents], F.max("_total").alias("n"),
     )
 
 
+def _running(value: str, keys: Sequence[str], order: str) -> Column:
+    return F.sum(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+
+
 def percentile_bands(dense: DataFrame, *, as_of, percents: Sequence[int] = BANDS) -> DataFrame:
     """Percentile bands of the dense curves per (platform, granularity, age)."""
     found = discrete_percentiles(dense, ["source", "granularity", "age_bucket"], "views_cum", percents)
