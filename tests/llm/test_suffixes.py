@@ -77,3 +77,14 @@ def test_empty_table(spark):
     assert suffixes.repeats(docs).count() == 0
     with pytest.raises(ValueError):
         suffixes.repeats(docs, least=40)
+
+
+def test_hot_names_keep_all_their_rows(spark, monkeypatch):
+    """A name of most rows, names at the limit, single ones; hot or not, the rows are the same."""
+    names = [7] * 500 + [8] * 40 + [9, 9, 10, 11]
+    rows = spark.createDataFrame([(i, n, n % 3) for i, n in enumerate(names)], "key long, h1 long, h2 int").repartition(5)
+    want = {i for i, n in enumerate(names) if names.count(n) > 1}
+    for share in (1e-4, 0.05, 0.5, 1.0):
+        monkeypatch.setattr(suffixes, "HOT_SHARE", share)
+        got = [r.key for r in suffixes._repeating(rows, "h1", "h2").collect()]
+        assert len(got) == len(want) and set(got) == want

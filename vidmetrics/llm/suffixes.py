@@ -30,6 +30,8 @@ from vidmetrics.llm.names import GRAM, Names, sliding_minimum
 
 #: Suffixes of a block; bytes whose runs are found together.
 BLOCK, BYTES_AT_ONCE = 16, 4 << 20
+#: Of names with more than this share of the rows there are at most its inverse.
+HOT_SHARE = 1e-4
 RUN = ("key", "s", "n", "o")
 NAME = ("h1", "h2")
 
@@ -88,17 +90,33 @@ class SuffixFamily:
         return out
 
     def repeated(self) -> DataFrame:
-        parts = [a.filter("times > 1 or known").select(*NAME) for a in self.arrays]
+        """(name, times: about how many runs have it) of the repeated names; the first of a batch's runs may miss."""
+        parts = [a.filter("times > 1 or known").select(*NAME, "times") for a in self.arrays]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
-        return out.distinct()
+        return out.groupBy(*NAME).agg(F.sum("times").alias("times"))
 
 
 def _repeating(rows: DataFrame, *name: str) -> DataFrame:
     """The rows whose name at least two rows have."""
-    often = rows.select(*name).groupBy(*name).count().filter("count > 1").select(*name)
-    return rows.join(often, [*name], "left_semi")
+    return _named(rows, rows.groupBy(*name).agg(F.count("*").alias("times")).filter("times > 1"), *name)
+
+
+def _named(rows: DataFrame, names: DataFrame, *name: str) -> DataFrame:
+    """The rows whose name is one of ``names`` (name, times: rows that have it).
+
+    A name may belong to a third of all rows. Names of more than a share of the rows are few, by that share, and sent to
+    all tasks: their rows are known without a join, and go through it under keys of their own, so no task gets
+    the rows of one such name.
+    """
+    names = saved(names.select(*name, "times"), "names")
+    most = (names.agg(F.sum("times")).first()[0] or 0) * HOT_SHARE
+    hot = names.filter(F.col("times") > most).select(*name, F.lit(True).alias("hot"))
+    cold = names.filter(F.col("times") <= most).select(*name, F.xxhash64(*name).alias("at"), F.lit(True).alias("cold"))
+    marked = rows.join(F.broadcast(hot), [*name], "left")
+    marked = marked.withColumn("at", F.when(F.col("hot"), F.xxhash64(*rows.columns)).otherwise(F.xxhash64(*name)))
+    return marked.join(cold, [*name, "at"], "left").filter("hot or cold").select(*rows.columns)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -229,7 +247,7 @@ def repeats(docs: DataFrame, *, least: int = 400, batches: int = 3) -> DataFrame
     for b in range(batches):
         family.add(runs.filter(F.pmod(F.xxhash64("key"), F.lit(batches)) == b))
     stretch = F.col("n") - 1 + least
-    spans = [runs.join(family.repeated(), [*NAME], "left_semi").select("key", F.col("s").alias("a"), (F.col("s") + stretch).alias("b"))]
+    spans = [_named(runs, family.repeated(), *NAME).select("key", F.col("s").alias("a"), (F.col("s") + stretch).alias("b"))]
     spans[0] = saved(spans[0], "whole-runs")
     dropped(runs)
 
