@@ -136,7 +136,15 @@ def test_learning_lowers_the_loss():
 def test_edge_cases(spark):
     docs = [(1, None), (2, ""), (3, "Ä É ABC abc \t\n x"), (4, "wort " * 30_000), (5, "gleich"), (5, "gleich"), (None, "ohne id"), (10, "neu 全角 <|endoftext|>")]
     frame = spark.createDataFrame([(*d, 1, "s") for d in docs], "doc_id long, text string, score int, word string")
-    rows = attention.text_scores(frame, RANKS, public_tokenizers.PATTERN, folds=3, train_share=1).collect()
+    rows = attention.text_scores(frame, RANKS, public_tokenizers.PATTERN, folds=3).collect()
     check_base(docs, rows, 3)
     assert all(np.isfinite(r.score) for r in rows)
     assert attention.text_scores(frame.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_without_training_texts_the_counts_alone_score(spark):
+    """One fold, held out: nothing is learned, and texts score as unigrams of equal counts do, whatever their order."""
+    frame = spark.createDataFrame([(1, "a b c"), (2, "c b a"), (3, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in attention.text_scores(frame, RANKS, public_tokenizers.PATTERN, folds=1).collect()}
+    assert all(r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.score < 0 for r in rows.values())
+    assert rows[1].score == pytest.approx(rows[2].score, abs=1e-4)

@@ -326,13 +326,13 @@ def _subword_counts(counts: DataFrame, coder, end_count: int) -> np.ndarray:
     return out
 
 
-def _trained(docs: DataFrame, folds: int, held_out: int, share: int, model: Model, coder, rounds: int, rate: float) -> Model:
+def _trained(docs: DataFrame, folds: int, held_out: int, model: Model, coder, rounds: int, rate: float) -> Model:
     """Rounds of learning side by side: each task starts from the common weights and passes over the windows
-    of its share of training texts (one in ``share`` by hash); their weights are averaged by windows seen."""
+    of its share of the training texts; their weights are averaged by windows seen, so they depend a little on how rows are
+    dealt to tasks. Where nothing trains, the output ignores the text before it and leaves the counts."""
     _, make = coder
     names = sorted(model.weights)
-    chosen = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(share)) == 0
-    rows = id_and_text(docs).filter((fold_of(F.col("doc_id"), folds) != held_out) & chosen)
+    rows = id_and_text(docs).filter(fold_of(F.col("doc_id"), folds) != held_out)
     for turn in range(rounds):
         now = model
 
@@ -361,7 +361,7 @@ def _trained(docs: DataFrame, folds: int, held_out: int, share: int, model: Mode
 
         summed = map_arrow(rows, work, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()  # one row a weight
         if not summed:
-            return model
+            return replace(model, weights={**model.weights, "out": np.zeros_like(model.weights["out"])})
         flat = np.zeros(len(summed))
         for r in summed:
             flat[r["at"]] = r["v"]
@@ -375,14 +375,14 @@ def _trained(docs: DataFrame, folds: int, held_out: int, share: int, model: Mode
 
 
 def text_scores(
-    docs: DataFrame, ranks_file: str, pattern: str, *, folds: int = 10, held_out: int = 0, train_share: int = 24, rounds: int = 2, rate: float = 0.02,
+    docs: DataFrame, ranks_file: str, pattern: str, *, folds: int = 10, held_out: int = 0, rounds: int = 1, rate: float = 0.02,
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per document row.
 
     Tokens are the words, A-Z lowered, and an end. base_score: log10 of smoothed unigrams of the training
     texts (those outside the fold; a null id is none of the fold). score: log10 probability of the text
-    under the attention model over subwords. A null or empty text is the end alone. Counts cover all
-    training texts; one in ``train_share`` of them also trains the attention.
+    under the attention model over subwords. A null or empty text is the end alone. Counts and attention learn from
+    all training texts; without any the score is that of the smoothed counts.
     """
     with open(ranks_file, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # the size of a vocabulary file
@@ -404,7 +404,7 @@ def text_scores(
 
     class_of, log_share, log_class = classes(_subword_counts(counts, coder, ends))
     model = Model(class_of, log_share, first_weights(log_class))
-    model = _trained(docs, folds, held_out, train_share, model, coder, rounds, rate)
+    model = _trained(docs, folds, held_out, model, coder, rounds, rate)
 
     known = known.select(F.col("segment").alias("part"), F.col("number").alias("at"), "c")
     make, schema = coder[1], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
