@@ -1,10 +1,11 @@
 """Language-model scoring with a small causal self-attention model, trained in numpy on subword ids.
 
-The model reads subword classes. Ids are dealt into classes of about equal mass by their corpus counts, so
-p(id | before) = p(class | before) p(id | class): attention gives the first factor, smoothed counts over all
-training text the second. A text is cut into windows that overlap: each window scores only the ids behind
-its first ``context`` ids, which give it sight, so each id is scored once. Windows run in batches under one
-causal mask.
+The model reads and predicts subword ids, numbered by falling corpus count (ranks). What is read is a vector of
+the id's class plus one of the id itself, a hashed row. The output has two steps that both see the text before:
+p(id | before) = p(class | before) p(id | class, before); classes are runs of ranks of about equal mass and at
+most ``MEMBERS`` ids. Without learning both steps give the smoothed counts. A text is cut into windows that
+overlap: each window scores only the ids behind its first ``context`` ids, which give it sight, so each id is
+scored once. Windows run in batches under one causal mask.
 
 Spark counts words, deals training windows and averages the weights that the tasks learn side by side. For
 scoring, each task's texts become a segment: its distinct words, numbered, and its texts as numbers. Corpus
@@ -28,10 +29,11 @@ from vidmetrics.llm.common import column, fold_of, id_and_text, map_arrow, saved
 
 #: Bytes of text of a segment, unless a single text is longer.
 SEGMENT_BYTES = 8 << 20
-CLASSES, WIDTH, WINDOW, CONTEXT = 64, 16, 48, 12
+WIDTH, WINDOW, CONTEXT = 16, 48, 12
+#: Classes of equal mass before long ones are cut, most ids of a class, hashed rows of ids.
+CLASSES, MEMBERS, ROWS = 64, 512, 1024
 #: Logits beyond this are held there while texts are scored, so that no sum overflows.
 CEILING = np.float32(60)
-NONE = -1  # class of what stands before a text
 
 
 class Coded:
@@ -92,61 +94,94 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 @dataclass(frozen=True)
-class Model:
-    """``class_of`` and ``log_share`` (log10 of p(id | class)) by id; weights of the attention by name."""
+class Ranks:
+    """Ids by falling count. By rank: ``class_of`` and ``row_of``, with one entry more for what stands before a
+    text, and ``log_share``, log p(id | class) by counts. ``start``: first rank of each class, and their end."""
 
+    rank_of: np.ndarray
     class_of: np.ndarray
+    row_of: np.ndarray
     log_share: np.ndarray
+    start: np.ndarray
+    log_class: np.ndarray
+
+    @property
+    def none(self) -> int:
+        """What stands before a text."""
+        return len(self.log_share)
+
+
+@dataclass(frozen=True)
+class Model:
+    """The ids' ranks and classes; weights of the attention by name."""
+
+    ranks: Ranks
     weights: dict[str, np.ndarray]
 
 
-def classes(counts: np.ndarray, *, smooth: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class by id, log10 p(id | class), log p(class)): the commonest ids first, classes of about equal mass."""
-    mass = counts + smooth
-    order = np.argsort(-mass, kind="stable")
-    middle = (np.cumsum(mass[order]) - mass[order] / 2) / mass.sum()
-    class_of = np.empty(len(counts), np.int64)
-    class_of[order] = np.minimum((middle * CLASSES).astype(np.int64), CLASSES - 1)
-    class_of = np.unique(class_of, return_inverse=True)[1]
-    total = np.bincount(class_of, mass, minlength=CLASSES)
-    log_class = np.log(np.maximum(total, 1e-12) / total.sum())
-    return class_of, np.log10(mass / total[class_of]), log_class
+def ranks_of(counts: np.ndarray, *, smooth: float = 0.05) -> Ranks:
+    """Classes of about equal mass, cut where they have more than ``MEMBERS`` ids. The ids of a class have
+    neighbouring ranks, so no two of them share a hashed row."""
+    n = len(counts)
+    order = np.argsort(-counts, kind="stable")
+    rank_of = np.empty(n, np.int64)
+    rank_of[order] = np.arange(n)
+    mass = counts[order] + smooth
+    band = ((np.cumsum(mass) - mass / 2) / mass.sum() * CLASSES).astype(np.int64)
+    first = np.flatnonzero(np.diff(band, prepend=-1))
+    lengths = np.diff(np.append(first, n))
+    cut = (np.arange(n) - np.repeat(first, lengths)) % MEMBERS == 0
+    start = np.append(np.flatnonzero(cut), n)
+    class_of = np.cumsum(cut) - 1
+    total = np.add.reduceat(mass, start[:-1])
+    return Ranks(
+        rank_of, np.append(class_of, len(total)), np.append(np.arange(n) % ROWS, ROWS), np.log(mass / total[class_of]).astype(np.float32),
+        start, np.log(total / total.sum()).astype(np.float32),
+    )
 
 
-def first_weights(log_class: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
-    pick = np.random.default_rng(seed)
+def first_weights(ranks: Ranks, seed: int = 7) -> dict[str, np.ndarray]:
+    """``seen`` and ``known``: vectors of read classes and ids; ``out`` and ``own``: output of classes and ids."""
+    pick, n = np.random.default_rng(seed), len(ranks.log_class)
     made = lambda *shape: (pick.normal(size=shape) / np.sqrt(shape[0])).astype(np.float32)
     return {
-        "seen": made(CLASSES + 1, WIDTH) * 3, "place": made(WINDOW, WIDTH), "q": made(WIDTH, WIDTH), "k": made(WIDTH, WIDTH),
-        "v": made(WIDTH, WIDTH), "mix": made(WIDTH, WIDTH), "out": made(2 * WIDTH, CLASSES) * np.float32(0.1), "bias": log_class.astype(np.float32),
+        "seen": made(n + 1, WIDTH) * 3, "known": made(ROWS + 1, WIDTH) * 3, "place": made(WINDOW, WIDTH), "q": made(WIDTH, WIDTH), "k": made(WIDTH, WIDTH),
+        "v": made(WIDTH, WIDTH), "mix": made(WIDTH, WIDTH), "out": made(2 * WIDTH, n) * np.float32(0.1), "bias": ranks.log_class.copy(),
+        "own": np.zeros((ROWS, 2 * WIDTH), np.float32),
     }
 
 
-def windows_of(ids_class: np.ndarray, start: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(input classes, target classes, whether the target counts) of a text's windows.
+def counts_only(model: Model) -> Model:
+    """The model whose output ignores the text before it."""
+    w = model.weights
+    return replace(model, weights={**w, "out": np.zeros_like(w["out"]), "own": np.zeros_like(w["own"]), "bias": model.ranks.log_class.copy()})
 
-    The input of a target is the class before it; nothing stands before the first. A window begins
-    ``CONTEXT`` ids before the ids that it scores.
+
+def windows_of(ids: np.ndarray, none: int, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(input ids, target ids, whether the target counts) of a text's windows, by rank.
+
+    The input of a target is the id before it; ``none`` stands before the first. A window begins
+    ``context`` ids before the ids that it scores; without a context windows only touch.
     """
-    n, step = len(ids_class), WINDOW - CONTEXT
-    before = np.concatenate(([CLASSES], ids_class[:-1]))
-    first = np.array([0, *range(step, max(n - CONTEXT, 0), step)], np.int64) if n > WINDOW else np.zeros(1, np.int64)
+    n, step = len(ids), WINDOW - context
+    before = np.concatenate(([none], ids[:-1]))
+    first = np.array([0, *range(step, max(n - context, 0), step)], np.int64) if n > WINDOW else np.zeros(1, np.int64)
     at = first[:, None] + np.arange(WINDOW)
     real = at < n
     at = np.minimum(at, n - 1)
-    counts = real & ((np.arange(WINDOW) >= CONTEXT) | (first == 0)[:, None])
-    return np.where(real, before[at], CLASSES), ids_class[at], counts
+    counts = real & ((np.arange(WINDOW) >= context) | (first == 0)[:, None])
+    return np.where(real, before[at], none), ids[at], counts
 
 
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
-def forward(w: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
+def forward(w: dict[str, np.ndarray], ranks: Ranks, x: np.ndarray) -> dict[str, np.ndarray]:
     """Log probabilities of the classes at every place of a batch of windows, and what the way back needs.
 
-    The output sees the class just before and what attention gathers from all before it.
+    The output sees the id just before and what attention gathers from all before it.
     """
-    h = w["seen"][x] + w["place"]
+    h = w["seen"][ranks.class_of[x]] + w["known"][ranks.row_of[x]] + w["place"]
     q, k, v = h @ w["q"], h @ w["k"], h @ w["v"]
     a = q @ k.transpose(0, 2, 1)
     a *= np.float32(WIDTH ** -0.5)
@@ -161,15 +196,36 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray) -> dict[str, np.ndarray]:
     z += w["bias"]
     z -= z.max(1, keepdims=True)
     z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return {"h": h, "q": q, "k": k, "v": v, "a": a, "g": g, "t": t, "f": f, "z": z.reshape(*x.shape, CLASSES)}
+    return {"h": h, "q": q, "k": k, "v": v, "a": a, "g": g, "t": t, "f": f, "z": z.reshape(*x.shape, -1)}
+
+
+def by_class(ranks: Ranks, y: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(places in ``y``, first rank, end of ranks) of each class of several ids that has targets in ``y``."""
+    c = ranks.class_of[y]
+    order = np.argsort(c, kind="stable")
+    ends = np.flatnonzero(np.diff(c[order], append=-1)) + 1
+    for i, j in zip(np.append(0, ends[:-1]), ends):
+        first, end = ranks.start[c[order[i]]], ranks.start[c[order[i]] + 1]
+        if end - first > 1:
+            yield order[i:j], first, end
+
+
+def within(w: dict[str, np.ndarray], ranks: Ranks, f: np.ndarray, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(log p(id | class, before) of the class with these ranks, a row per row of ``f``; rows of its ids)."""
+    rows = ranks.row_of[first:end]
+    z = f @ w["own"][rows].T
+    z += ranks.log_share[first:end]
+    z -= z.max(1, keepdims=True)
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return z, rows
 
 
 _PAST = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
-def log_likelihoods(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """``forward`` without what only learning needs: log probabilities of the targets that count, in order."""
-    h = w["seen"][x] + w["place"]
+def log_likelihoods(w: dict[str, np.ndarray], ranks: Ranks, x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Both steps without what only learning needs: log probabilities of the targets that count, in order."""
+    h = w["seen"][ranks.class_of[x]] + w["known"][ranks.row_of[x]] + w["place"]
     v = np.ones((*x.shape, WIDTH + 1), np.float32)  # the last column sums the attention's weights
     np.matmul(h, w["v"], out=v[:, :, :WIDTH])
     a = (h @ (w["q"] * np.float32(WIDTH ** -0.5))) @ (h @ w["k"]).transpose(0, 2, 1)
@@ -180,22 +236,38 @@ def log_likelihoods(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, coun
     z = f @ w["out"]
     z += w["bias"]
     np.minimum(z, CEILING, out=z)
-    hit = z[np.arange(len(z)), y[counts]]
-    return hit - np.log(np.exp(z, out=z).sum(1))
+    y = y[counts]
+    hit = z[np.arange(len(z)), ranks.class_of[y]]
+    hit -= np.log(np.exp(z, out=z).sum(1))
+    for at, first, end in by_class(ranks, y):
+        own, _ = within(w, ranks, f[at], first, end)
+        hit[at] += own[np.arange(len(at)), y[at] - first]
+    return hit
 
 
-def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+def gradients(w: dict[str, np.ndarray], ranks: Ranks, x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
     """Mean gradient and loss over the targets that count."""
-    m = forward(w, x)
+    m = forward(w, ranks, x)
     n = max(counts.sum(), 1)
     b, t = np.nonzero(counts)
-    loss = -float(m["z"][b, t, y[b, t]].sum()) / n
+    target = y[b, t]
+    loss = -float(m["z"][b, t, ranks.class_of[target]].sum()) / n
     dz = np.exp(m["z"])
-    dz[np.arange(len(x))[:, None], np.arange(x.shape[1]), y] -= 1
+    dz[np.arange(len(x))[:, None], np.arange(x.shape[1]), ranks.class_of[y]] -= 1
     dz *= (counts / n)[:, :, None].astype(np.float32)
     flat = lambda e: e.reshape(-1, e.shape[-1])
-    g = {"out": flat(m["f"]).T @ flat(dz), "bias": flat(dz).sum(0)}
+    g = {"out": flat(m["f"]).T @ flat(dz), "bias": flat(dz).sum(0), "own": np.zeros_like(w["own"])}
     df = dz @ w["out"].T
+    f = m["f"][b, t]
+    for at, first, end in by_class(ranks, target):
+        own, rows = within(w, ranks, f[at], first, end)
+        hit = np.arange(len(at)), target[at] - first
+        loss -= float(own[hit].sum()) / n
+        np.exp(own, out=own)
+        own[hit] -= 1
+        own /= n
+        g["own"][rows] += own.T @ f[at]
+        df[b[at], t[at]] += own @ w["own"][rows]
     dt = df[:, :, WIDTH:] * (1 - m["t"] ** 2)
     g["mix"] = flat(m["g"]).T @ flat(dt)
     dg = dt @ w["mix"].T
@@ -207,12 +279,13 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, counts: np
         g[name] = flat(m["h"]).T @ flat(d)
         dh += d @ w[name].T
     g["place"] = dh.sum(0)
-    g["seen"] = np.zeros_like(w["seen"])
-    np.add.at(g["seen"], x.ravel(), flat(dh))
+    for name, read in (("seen", ranks.class_of[x]), ("known", ranks.row_of[x])):
+        g[name] = np.zeros_like(w[name])
+        np.add.at(g[name], read.ravel(), flat(dh))
     return g, loss
 
 
-def learn(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, counts: np.ndarray, *, rate: float, batch: int = 32, seed: int = 1) -> dict[str, np.ndarray]:
+def learn(w: dict[str, np.ndarray], ranks: Ranks, x: np.ndarray, y: np.ndarray, counts: np.ndarray, *, rate: float, batch: int = 32, seed: int = 1) -> dict[str, np.ndarray]:
     """One pass over the windows with Adam, in shuffled batches, the rate falling to a tenth."""
     w = {k: v.copy() for k, v in w.items()}
     mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
@@ -220,7 +293,7 @@ def learn(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, counts: np.nda
     steps = -(-len(x) // batch)
     for i in range(steps):
         at = order[i * batch:(i + 1) * batch]
-        g, _ = gradients(w, x[at], y[at], counts[at])
+        g, _ = gradients(w, ranks, x[at], y[at], counts[at])
         now = rate * (1 - 0.9 * i / steps)
         for k in w:
             mean[k] = 0.9 * mean[k] + 0.1 * g[k]
@@ -229,7 +302,7 @@ def learn(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, counts: np.nda
     return w
 
 
-def log10_texts(model: Model, texts: list[np.ndarray], batch: int = 64) -> np.ndarray:
+def log10_texts(model: Model, texts: list[np.ndarray], batch: int = 128) -> np.ndarray:
     """log10 of the model's probability of each text (ids, the end id last)."""
     out = np.zeros(len(texts))
     xs, ys, cs, owner = [], [], [], []
@@ -242,15 +315,14 @@ def log10_texts(model: Model, texts: list[np.ndarray], batch: int = 64) -> np.nd
         x, y, c, o = np.concatenate(xs), np.concatenate(ys), np.concatenate(cs), np.concatenate(owner)
         for i in range(0, len(x), batch):
             counted = c[i:i + batch]
-            got = log_likelihoods(model.weights, x[i:i + batch], y[i:i + batch], counted)
+            got = log_likelihoods(model.weights, model.ranks, x[i:i + batch], y[i:i + batch], counted)
             out[:] += np.bincount(np.repeat(o[i:i + batch], counted.sum(1)), got, minlength=len(out)) / np.log(10)
         for part in (xs, ys, cs, owner):
             part.clear()
         held = 0
 
     for i, ids in enumerate(texts):
-        out[i] += model.log_share[ids].sum()
-        x, y, c = windows_of(model.class_of[ids])
+        x, y, c = windows_of(model.ranks.rank_of[ids], model.ranks.none)
         xs.append(x), ys.append(y), cs.append(c), owner.append(np.full(len(x), i))
         held += len(x)
         if held >= 4096:
@@ -327,8 +399,8 @@ def _subword_counts(counts: DataFrame, coder, end_count: int) -> np.ndarray:
 
 
 def _trained(docs: DataFrame, folds: int, held_out: int, model: Model, coder, rounds: int, rate: float) -> Model:
-    """Rounds of learning side by side: each task starts from the common weights and passes over the windows
-    of its share of the training texts; their weights are averaged by windows seen, so they depend a little on how rows are
+    """Rounds of learning side by side: each task starts from the common weights and passes over its share
+    of the training texts, in windows that touch, so each id is learned once a round; their weights are averaged by windows seen, so they depend a little on how rows are
     dealt to tasks. Where nothing trains, the output ignores the text before it and leaves the counts."""
     _, make = coder
     names = sorted(model.weights)
@@ -344,13 +416,13 @@ def _trained(docs: DataFrame, folds: int, held_out: int, model: Model, coder, ro
             def step() -> None:
                 nonlocal weights, seen
                 x, y, c = (np.concatenate(p) for p in zip(*parts))
-                weights = learn(weights, x, y, c, rate=rate / (1 + turn), seed=turn)
+                weights = learn(weights, now.ranks, x, y, c, rate=rate / (1 + turn), seed=turn)
                 seen += len(x)
                 parts.clear()
 
             for batch in batches:
                 for text in utf8(batch):
-                    parts.append(windows_of(now.class_of[subwords.text(text)]))
+                    parts.append(windows_of(now.ranks.rank_of[subwords.text(text)], now.ranks.none, context=0))
                     if sum(len(p[0]) for p in parts) >= 20_000:
                         step()
             if parts:
@@ -361,7 +433,7 @@ def _trained(docs: DataFrame, folds: int, held_out: int, model: Model, coder, ro
 
         summed = map_arrow(rows, work, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()  # one row a weight
         if not summed:
-            return replace(model, weights={**model.weights, "out": np.zeros_like(model.weights["out"])})
+            return counts_only(model)
         flat = np.zeros(len(summed))
         for r in summed:
             flat[r["at"]] = r["v"]
@@ -402,8 +474,8 @@ def text_scores(
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n, v = n + ends, v + (ends > 0)
 
-    class_of, log_share, log_class = classes(_subword_counts(counts, coder, ends))
-    model = Model(class_of, log_share, first_weights(log_class))
+    ranks = ranks_of(_subword_counts(counts, coder, ends))
+    model = Model(ranks, first_weights(ranks))
     model = _trained(docs, folds, held_out, model, coder, rounds, rate)
 
     known = known.select(F.col("segment").alias("part"), F.col("number").alias("at"), "c")
