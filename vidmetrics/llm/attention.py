@@ -3,7 +3,8 @@
 The model reads and predicts subword ids, numbered by falling corpus count (ranks). What is read is a vector of
 the id's class plus one of the id itself, a hashed row. The output has two steps that both see the text before:
 p(id | before) = p(class | before) p(id | class, before); classes are runs of ranks of about equal mass and at
-most ``MEMBERS`` ids. Without learning both steps give the smoothed counts. A text is cut into windows that
+most ``MEMBERS`` ids. Ids that no training text holds are one class more and equally likely in it. Without
+learning both steps give the smoothed counts. A text is cut into windows that
 overlap: each window scores only the ids behind its first ``context`` ids, which give it sight, so each id is
 scored once. Windows run in batches under one causal mask.
 
@@ -96,7 +97,8 @@ def words_of(text: bytes) -> list[bytes]:
 @dataclass(frozen=True)
 class Ranks:
     """Ids by falling count. By rank: ``class_of`` and ``row_of``, with one entry more for what stands before a
-    text, and ``log_share``, log p(id | class) by counts. ``start``: first rank of each class, and their end."""
+    text, and ``log_share``, log p(id | class) by counts. ``start``: first rank of each class, and their end.
+    ``seen``: first rank that no training text holds."""
 
     rank_of: np.ndarray
     class_of: np.ndarray
@@ -104,6 +106,7 @@ class Ranks:
     log_share: np.ndarray
     start: np.ndarray
     log_class: np.ndarray
+    seen: int
 
     @property
     def none(self) -> int:
@@ -120,23 +123,25 @@ class Model:
 
 
 def ranks_of(counts: np.ndarray, *, smooth: float = 0.05) -> Ranks:
-    """Classes of about equal mass, cut where they have more than ``MEMBERS`` ids. The ids of a class have
-    neighbouring ranks, so no two of them share a hashed row."""
-    n = len(counts)
+    """Classes of about equal mass, cut where they have more than ``MEMBERS`` ids, and one of the ids without a count.
+    The ids of a class have neighbouring ranks, so their hashed rows are a run of rows, but for the last class, which has no use of rows."""
+    n, seen = len(counts), int((counts > 0).sum())
     order = np.argsort(-counts, kind="stable")
     rank_of = np.empty(n, np.int64)
     rank_of[order] = np.arange(n)
     mass = counts[order] + smooth
     band = ((np.cumsum(mass) - mass / 2) / mass.sum() * CLASSES).astype(np.int64)
+    band[seen:] = CLASSES
     first = np.flatnonzero(np.diff(band, prepend=-1))
     lengths = np.diff(np.append(first, n))
-    cut = (np.arange(n) - np.repeat(first, lengths)) % MEMBERS == 0
+    inside = np.arange(n) - np.repeat(first, lengths)
+    cut = (inside == 0) | (((inside % MEMBERS == 0) | (np.arange(n) % ROWS == 0)) & (band < CLASSES))
     start = np.append(np.flatnonzero(cut), n)
     class_of = np.cumsum(cut) - 1
     total = np.add.reduceat(mass, start[:-1])
     return Ranks(
         rank_of, np.append(class_of, len(total)), np.append(np.arange(n) % ROWS, ROWS), np.log(mass / total[class_of]).astype(np.float32),
-        start, np.log(total / total.sum()).astype(np.float32),
+        start, np.log(total / total.sum()).astype(np.float32), seen,
     )
 
 
@@ -173,11 +178,11 @@ def windows_of(ids: np.ndarray, none: int, context: int = CONTEXT) -> tuple[np.n
     return np.where(real, before[at], none), ids[at], counts
 
 
-_MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
+_PAST = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
 def forward(w: dict[str, np.ndarray], ranks: Ranks, x: np.ndarray) -> dict[str, np.ndarray]:
-    """Log probabilities of the classes at every place of a batch of windows, and what the way back needs.
+    """Logits of the classes at every place of a batch of windows, and what the way back needs.
 
     The output sees the id just before and what attention gathers from all before it.
     """
@@ -185,42 +190,52 @@ def forward(w: dict[str, np.ndarray], ranks: Ranks, x: np.ndarray) -> dict[str,
     q, k, v = h @ w["q"], h @ w["k"], h @ w["v"]
     a = q @ k.transpose(0, 2, 1)
     a *= np.float32(WIDTH ** -0.5)
-    a += _MASK
-    a -= a.max(2, keepdims=True)
-    np.exp(a, out=a)
+    np.exp(np.minimum(a, CEILING, out=a), out=a)
+    a *= _PAST
     a /= a.sum(2, keepdims=True)
     g = a @ v
     t = np.tanh(g @ w["mix"])
     f = np.concatenate([h, t], axis=2)
     z = f.reshape(-1, 2 * WIDTH) @ w["out"]
     z += w["bias"]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
     return {"h": h, "q": q, "k": k, "v": v, "a": a, "g": g, "t": t, "f": f, "z": z.reshape(*x.shape, -1)}
 
 
-def by_class(ranks: Ranks, y: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-    """(places in ``y``, first rank, end of ranks) of each class of several ids that has targets in ``y``."""
+def by_class(ranks: Ranks, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """(an order of ``y`` by class, and of each class of several ids, seen in training, that has targets: its first
+    place in the order, its last, its first rank, the end of its ranks)."""
     c = ranks.class_of[y]
     order = np.argsort(c, kind="stable")
-    ends = np.flatnonzero(np.diff(c[order], append=-1)) + 1
-    for i, j in zip(np.append(0, ends[:-1]), ends):
-        first, end = ranks.start[c[order[i]]], ranks.start[c[order[i]] + 1]
-        if end - first > 1:
-            yield order[i:j], first, end
+    c = c[order]
+    ends = np.flatnonzero(np.diff(c, append=-1)) + 1
+    begin = np.append(0, ends)[:-1]
+    runs = zip(begin, ends, ranks.start[c[begin]], ranks.start[c[begin] + 1])
+    return order, [r for r in runs if r[3] - r[2] > 1 and r[2] < ranks.seen]
 
 
-def within(w: dict[str, np.ndarray], ranks: Ranks, f: np.ndarray, first: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """(log p(id | class, before) of the class with these ranks, a row per row of ``f``; rows of its ids)."""
-    rows = ranks.row_of[first:end]
+def within(w: dict[str, np.ndarray], ranks: Ranks, f: np.ndarray, first: int, end: int) -> tuple[np.ndarray, slice]:
+    """(logits of p(id | class, before) of the class with these ranks, a row per row of ``f``; rows of its ids)."""
+    rows = slice(first % ROWS, first % ROWS + end - first)
     z = f @ w["own"][rows].T
     z += ranks.log_share[first:end]
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
     return z, rows
 
 
-_PAST = np.tril(np.ones((WINDOW, WINDOW), np.float32))
+def unseen(ranks: Ranks, y: np.ndarray) -> np.ndarray:
+    """What the second step gives to ids that no training text holds; 0 for all others."""
+    return np.where(y >= ranks.seen, ranks.log_share[y], np.float32(0))
+
+
+def pull(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log probability of each row's target, gradient of its negative), from logits, which are used up."""
+    at = np.arange(len(z)), target
+    z -= z.max(1, keepdims=True)
+    hit = z[at].copy()
+    np.exp(z, out=z)
+    total = z.sum(1, keepdims=True)
+    z /= total
+    z[at] -= 1
+    return hit - np.log(total[:, 0]), z
 
 
 def log_likelihoods(w: dict[str, np.ndarray], ranks: Ranks, x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -237,37 +252,44 @@ def log_likelihoods(w: dict[str, np.ndarray], ranks: Ranks, x: np.ndarray, y: np
     z += w["bias"]
     np.minimum(z, CEILING, out=z)
     y = y[counts]
-    hit = z[np.arange(len(z)), ranks.class_of[y]]
+    hit = z[np.arange(len(z)), ranks.class_of[y]] + unseen(ranks, y)
     hit -= np.log(np.exp(z, out=z).sum(1))
-    for at, first, end in by_class(ranks, y):
-        own, _ = within(w, ranks, f[at], first, end)
-        hit[at] += own[np.arange(len(at)), y[at] - first]
+    order, runs = by_class(ranks, y)
+    f, y = f[order], y[order]
+    for i, j, first, end in runs:
+        own, _ = within(w, ranks, f[i:j], first, end)
+        np.minimum(own, CEILING, out=own)
+        of_target = own[np.arange(j - i), y[i:j] - first]
+        hit[order[i:j]] += of_target - np.log(np.exp(own, out=own).sum(1))
     return hit
 
 
 def gradients(w: dict[str, np.ndarray], ranks: Ranks, x: np.ndarray, y: np.ndarray, counts: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
     """Mean gradient and loss over the targets that count."""
     m = forward(w, ranks, x)
-    n = max(counts.sum(), 1)
+    n = max(int(counts.sum()), 1)
     b, t = np.nonzero(counts)
-    target = y[b, t]
-    loss = -float(m["z"][b, t, ranks.class_of[target]].sum()) / n
-    dz = np.exp(m["z"])
-    dz[np.arange(len(x))[:, None], np.arange(x.shape[1]), ranks.class_of[y]] -= 1
-    dz *= (counts / n)[:, :, None].astype(np.float32)
+    target, f = y[b, t], m["f"][b, t]
     flat = lambda e: e.reshape(-1, e.shape[-1])
-    g = {"out": flat(m["f"]).T @ flat(dz), "bias": flat(dz).sum(0), "own": np.zeros_like(w["own"])}
-    df = dz @ w["out"].T
-    f = m["f"][b, t]
-    for at, first, end in by_class(ranks, target):
-        own, rows = within(w, ranks, f[at], first, end)
-        hit = np.arange(len(at)), target[at] - first
-        loss -= float(own[hit].sum()) / n
-        np.exp(own, out=own)
-        own[hit] -= 1
-        own /= n
-        g["own"][rows] += own.T @ f[at]
-        df[b[at], t[at]] += own @ w["own"][rows]
+    hit, dz = pull(m["z"][b, t], ranks.class_of[target])
+    gain = float(hit.sum()) + float(unseen(ranks, target).sum())
+    g = {"out": f.T @ dz, "bias": dz.sum(0) / n, "own": np.zeros_like(w["own"])}
+    g["out"] /= n
+    moved = dz @ w["out"].T
+    order, runs = by_class(ranks, target)
+    f, target, inner = f[order], target[order], np.zeros_like(moved)
+    for i, j, first, end in runs:
+        logits, rows = within(w, ranks, f[i:j], first, end)
+        hit, dz = pull(logits, target[i:j] - first)
+        gain += float(hit.sum())
+        g["own"][rows] += dz.T @ f[i:j]
+        np.matmul(dz, w["own"][rows], out=inner[i:j])
+    moved[order] += inner
+    g["own"] /= n
+    loss = -gain / n
+    df = np.zeros_like(m["f"])
+    df[b, t] = moved
+    df /= n
     dt = df[:, :, WIDTH:] * (1 - m["t"] ** 2)
     g["mix"] = flat(m["g"]).T @ flat(dt)
     dg = dt @ w["mix"].T
@@ -281,7 +303,10 @@ def gradients(w: dict[str, np.ndarray], ranks: Ranks, x: np.ndarray, y: np.ndarr
     g["place"] = dh.sum(0)
     for name, read in (("seen", ranks.class_of[x]), ("known", ranks.row_of[x])):
         g[name] = np.zeros_like(w[name])
-        np.add.at(g[name], read.ravel(), flat(dh))
+        order = np.argsort(read, axis=None, kind="stable")
+        of = read.ravel()[order]
+        begin = np.flatnonzero(np.diff(of, prepend=-1))
+        g[name][of[begin]] = np.add.reduceat(flat(dh)[order], begin)
     return g, loss
 
 
