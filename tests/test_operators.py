@@ -270,6 +270,57 @@ def test_clusters_equal_brute_force(spark, seed, spread_s, hot):
     assert got == Counter(tuple(sorted(r[0] for r in items)) for items in brute_clusters(rows, 48))
 
 
+@pytest.mark.parametrize("seed, spread_s, hot, block", [(3, 900_000, 0.6, 1), (5, 6_000_000, 0.9, 3), (6, 60_000_000, 1.0, 20)])
+def test_clusters_of_titles_cut_into_blocks(spark, seed, spread_s, hot, block):
+    rows = random_sources(seed, 400, spread_s, hot=hot)
+    clustered = reconcile.cluster_sources(spark.createDataFrame(rows, SOURCES), seconds_per_block=block)
+    got = Counter(
+        tuple(sorted(r.ids)) for r in clustered.groupBy("norm_title", "opened_at").agg(F.collect_list("id").alias("ids")).collect()
+    )
+    assert got == Counter(tuple(sorted(r[0] for r in items)) for items in brute_clusters(rows, 48))
+
+
+@pytest.mark.parametrize("window_s", [3, 50, 3600, 172_800])
+def test_block_map_equals_the_walk_for_every_reference(window_s):
+    pick = random.Random(window_s)
+    for _ in range(200):
+        at, seconds = pick.randrange(10**9, 2 * 10**9), []
+        for _ in range(pick.choice([1, 2, 5, 60])):
+            seconds.append((at, pick.choice([1, 1, 2, 5, 1000])))
+            at += 1 + int(pick.random() ** 3 * window_s * pick.choice([0.01, 0.3, 1.5]))
+        first = seconds[0][0]
+        block = reconcile.BlockMap(window_s, first)
+        for a, n in seconds:
+            block.step(a, n)
+        below, opened, reference, add, shift = block.columns()
+        assert below == sorted(below) and len(below) < 10
+        for r in (first, *(first - pick.randrange(int(window_s * 1.2) + 1) for _ in range(20))):
+            want, of = r, None
+            for a, n in seconds:
+                if a - want > window_s:
+                    want = of = a
+                for _ in range(n):
+                    want = (want + a + 1) // 2
+            k = next((k for k, top in enumerate(below) if r < top), None)
+            assert ((r + add) >> shift, None) == (want, of) if k is None else (reference[k], opened[k]) == (want, of)
+
+
+def test_dense_title_in_blocks_equals_one_walk(spark):
+    """One title, a row every 20 minutes for ten years, with some gaps inside the window: no gap cuts it."""
+    n, start = 262_800, 1_400_000_000
+    at = F.col("id") * 1200 + start + F.when(F.col("id") % 5000 > 4990, (F.col("id") % 7) * 100).otherwise(0)
+    step = F.floor(F.col("id") / 30_000) * 150_000  # now and then nearly the window, which moves the reference far
+    rows = spark.range(n).select(
+        "id", F.lit(None).cast("long").alias("video_id"), F.lit("YOUTUBE").alias("platform"), F.lit("one title").alias("title"),
+        F.lit("").alias("description"), F.timestamp_seconds(at + step).alias("published_at"),
+    )
+    parts = reconcile.cluster_sources(rows, hours=42, seconds_per_block=10_000)
+    whole = reconcile.cluster_sources(rows, hours=42)
+    opened = {r.at: r.opened_at for r in whole.select("at", "opened_at").collect()}
+    got = parts.select("at", "opened_at").collect()
+    assert len(got) == n and {r.at: r.opened_at for r in got} == opened and len(set(opened.values())) > 3
+
+
 def test_reconcile_is_stable_under_a_second_run(spark):
     rows = random_sources(7, 150, 900_000)
     sv = spark.createDataFrame(rows, SOURCES)

@@ -8,12 +8,19 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.window import Window
 
 from vidmetrics.functions.text import UNTITLED, is_blank, normal_title
 from vidmetrics.operators.spread import first_rows, numbered
+from vidmetrics.session import ensure_checkpoint_dir
 
-_STEPS_SCHEMA = "norm_title string, at long, opened_at long"
+_LONGS = pa.list_(pa.int64())
+_STEPS = pa.schema({"norm_title": pa.string(), "at": pa.int64(), "opened_at": pa.int64()})
+_BLOCK = {"norm_title": pa.string(), "segment": pa.int64(), "block": pa.int64()}
+_MAPS = pa.schema({**_BLOCK, "below": _LONGS, "opened": _LONGS, "reference": _LONGS, "add": pa.int64(), "shift": pa.int64()})
+_STATES = pa.schema({**_BLOCK, "reference": pa.int64(), "opened": pa.int64()})
+_LOW, _HIGH = -(1 << 62), 1 << 62
 
 
 def candidates(sv: DataFrame, v: DataFrame, *, start=None, end=None) -> DataFrame:
@@ -27,36 +34,130 @@ def candidates(sv: DataFrame, v: DataFrame, *, start=None, end=None) -> DataFram
     return rows.join(locked, "video_id", "left_anti")
 
 
+def _moved(reference: int, at: int, n: int) -> int:
+    """The reference after ``n`` matches at one second: each goes half the way, rounded up."""
+    while n and reference != at:
+        reference = (reference + at + 1) // 2
+        n -= 1
+    return reference
+
+
 def _walk(batches: Iterator[pa.RecordBatch], window_s: int) -> Iterator[pa.RecordBatch]:
-    out = pa.schema([("norm_title", pa.string()), ("at", pa.int64()), ("opened_at", pa.int64())])
+    """Steps of blocks of seconds; a row without a second carries the state at the start of its block."""
     current, reference, opened = None, None, None
     for batch in batches:
-        titles, instants, counts = (batch.column(i).to_pylist() for i in range(3))
-        opened_at = []
-        for title, at, n in zip(titles, instants, counts):
-            if title != current or abs(at - reference) > window_s:
-                current, reference, opened = title, at, at
-                n -= 1
-            while n and reference != at:
-                reference = (reference + at + 1) // 2
-                n -= 1
-            opened_at.append(opened)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.string()), pa.array(instants, pa.int64()), pa.array(opened_at, pa.int64())],
-            schema=out,
-        )
+        rows = []
+        for title, segment, block, at, n, carried, carried_opened in zip(*(c.to_pylist() for c in batch.columns)):
+            key = title, segment, block
+            if at is None:
+                current, reference, opened = key, carried, carried_opened
+                continue
+            if key != current or at - reference > window_s:
+                current, reference, opened = key, at, at
+            else:
+                reference = _moved(reference, at, n)
+            rows.append((title, at, opened))
+        yield _batch(rows, _STEPS)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+class BlockMap:
+    """What a block of seconds makes of the reference ``r`` that reaches it, for every ``r`` at once.
+
+    A lower reference breaks no later, and behind a break nothing of ``r`` is left; so the map is a few constant
+    pieces in the order of ``r``, each with the second that opened its cluster (None: the one before the block),
+    and, above them, references without a break. Those stay a run of numbers, ``(r + add) >> shift``, and each
+    match halves it; once it holds two values it becomes pieces too.
+    """
+
+    def __init__(self, window_s: int, first: int):
+        self.window_s = window_s
+        self.pieces: list[list] = []  # r below this, opened, reference
+        self.low, self.high, self.add, self.shift = _LOW, first, 0, 0
+
+    def step(self, at: int, n: int) -> None:
+        for piece in self.pieces:
+            if at - piece[2] > self.window_s:
+                piece[1] = piece[2] = at
+            else:
+                piece[2] = _moved(piece[2], at, n)
+        if self.low <= self.high:
+            self._step_run(at, n)
+        if len(self.pieces) > 1:
+            self.pieces = [p for p, after in zip(self.pieces, [*self.pieces[1:], None]) if after is None or p[1:] != after[1:]]
+
+    def _step_run(self, at: int, n: int) -> None:
+        kept = max(self.low, min(((at - self.window_s) << self.shift) - self.add, self.high + 1))
+        if kept > self.low:
+            self.pieces.append([kept, at, at])
+            self.low = kept
+        if self.low > self.high:
+            return
+        while n and (self.low + self.add) >> self.shift != at:
+            self.add += (at + 1) << self.shift
+            self.shift, n = self.shift + 1, n - 1
+        least, most = ((r + self.add) >> self.shift for r in (self.low, self.high))
+        if most - least <= 1:
+            if most > least:
+                self.pieces.append([(most << self.shift) - self.add, None, least])
+            self.pieces.append([_HIGH, None, most])
+            self.low = self.high + 1
+
+    def columns(self) -> tuple[list, list, list, int | None, int | None]:
+        """below, opened, reference of the pieces; add and shift where references without a break are left."""
+        below, opened, reference = ([p[i] for p in self.pieces] for i in range(3))
+        return below, opened, reference, *((self.add, self.shift) if self.low <= self.high else (None, None))
+
+
+def _block_maps(batches: Iterator[pa.RecordBatch], window_s: int) -> Iterator[pa.RecordBatch]:
+    current, made = None, None
+    for batch in batches:
+        rows = []
+        for title, segment, block, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if (title, segment, block) != current:
+                if made is not None:
+                    rows.append((*current, *made.columns()))
+                current, made = (title, segment, block), BlockMap(window_s, at)
+            made.step(at, n)
+        yield _batch(rows, _MAPS)
+    if made is not None:
+        yield _batch([(*current, *made.columns())], _MAPS)
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state that reaches each block but the first of a segment, from the maps of the blocks before it."""
+    current, reference, opened = None, _LOW, None
+    for batch in batches:
+        rows = []
+        for title, segment, block, below, opened_at, made, add, shift in zip(*(c.to_pylist() for c in batch.columns)):
+            if (title, segment) == current:
+                rows.append((title, segment, block, reference, opened))
+            else:
+                current, reference, opened = (title, segment), _LOW - 1, None
+            k = next((k for k, top in enumerate(below) if reference < top), None)
+            if k is None:
+                reference = (reference + add) >> shift
+            else:
+                reference, opened = made[k], opened if opened_at[k] is None else opened_at[k]
+        yield _batch(rows, _STATES)
 
 
 def cluster_sources(
-    rows: DataFrame, *, hours: int = 48, cluster_blank_titles: bool = True
+    rows: DataFrame, *, hours: int = 48, cluster_blank_titles: bool = True, seconds_per_block: int = 200_000, keep: bool = False
 ) -> DataFrame:
     """Greedy clusters inside equal normalised titles around a moving reference time.
 
     Rows come in time order and a reference only moves on a match, so only the newest cluster of a
     title can match. All rows of one second fall into the same cluster, and the reference settles on
     that second after a few of them; so the walk sees one row per (title, second) with its count. A gap
-    above the window always opens a cluster, so a title is cut at such gaps between its days and its
-    segments are walked by different tasks; a segment is streamed.
+    above the window always opens a cluster, so a title is cut at such gaps between its days. What stays
+    longer than ``seconds_per_block`` is cut into blocks of days: tasks describe what each block makes of any
+    reference (``BlockMap``), these short descriptions are chained, and all blocks are walked side by side from
+    their true states. ``keep`` writes the steps to the shared folder, for callers that read the result twice.
     """
     dated = rows.filter(F.col("published_at").isNotNull()).withColumns({
         "norm_title": normal_title(F.col("title")), "at": F.unix_seconds("published_at"),
@@ -69,18 +170,40 @@ def cluster_sources(
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _walk(batches, window_s)
 
+    def block_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _block_maps(batches, window_s)
+
     day = F.floor(F.col("at") / 86_400)
     in_time = Window.partitionBy("norm_title").orderBy("day")
+    in_segment = Window.partitionBy("norm_title", "segment").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     apart = F.when(F.col("first") - F.lag("last").over(in_time) > window_s, 1).otherwise(0)
-    segments = (
-        seconds.groupBy("norm_title", day.alias("day")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
-        .withColumn("apart", apart).select("norm_title", "day", F.sum("apart").over(in_time).alias("segment"))
+    before = F.coalesce(F.sum("size").over(in_segment), F.lit(0))
+    blocks = (
+        seconds.groupBy("norm_title", day.alias("day"))
+        .agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("size"))
+        .withColumn("apart", apart).select("norm_title", "day", "size", F.sum("apart").over(in_time).alias("segment"))
+        .select("norm_title", "day", "segment", F.floor(before / seconds_per_block).alias("block"))
+    )
+    key = ["norm_title", "segment", "block"]
+    long_ones = blocks.groupBy("norm_title", "segment").agg(F.max("block").alias("top")).filter("top > 0").drop("top")
+    placed = seconds.withColumn("day", day).join(blocks, ["norm_title", "day"]).select(*key, "at", "n")
+    maps = (
+        placed.join(long_ones, ["norm_title", "segment"], "left_semi").repartition(*key).sortWithinPartitions(*key, "at")
+        .mapInArrow(block_maps, from_arrow_schema(_MAPS))
+    )
+    states = (
+        maps.repartition("norm_title", "segment").sortWithinPartitions(*key).mapInArrow(_carried, from_arrow_schema(_STATES))
     )
+    none = F.lit(None).cast("long")
     steps = (
-        seconds.withColumn("day", day).join(segments, ["norm_title", "day"])
-        .repartition("norm_title", "segment").sortWithinPartitions("norm_title", "at")
-        .select("norm_title", "at", "n").mapInArrow(walk, _STEPS_SCHEMA)
+        placed.select(*key, "at", "n", none.alias("reference"), none.alias("opened"))
+        .unionByName(states.select(*key, none.alias("at"), none.alias("n"), "reference", "opened"))
+        .repartition(*key).sortWithinPartitions(*key, F.col("at").asc_nulls_first())
+        .mapInArrow(walk, from_arrow_schema(_STEPS))
     )
+    if keep:
+        ensure_checkpoint_dir(rows.sparkSession)
+        steps = steps.checkpoint()
     return dated.join(steps, ["norm_title", "at"])
 
 
@@ -149,7 +272,7 @@ def reconcile(
 ) -> Reconciliation:
     """Q7: clusters, canonical records for those without a video, and links."""
     clustered = cluster_sources(
-        candidates(sv, v, start=start, end=end), hours=hours, cluster_blank_titles=cluster_blank_titles
+        candidates(sv, v, start=start, end=end), hours=hours, cluster_blank_titles=cluster_blank_titles, keep=True
     )
     clusters = describe_clusters(clustered)
     top = v.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
