@@ -192,6 +192,7 @@ WHERE ms.snapshot_at >= coalesce(v.published_at, {NOW} - interval 7 day) AND ms.
 GROUP BY 1, 2, 3)
 """
 oracle("series_hour_platform", SERIES + "SELECT * FROM series", *BASE)
+oracle("live_series", SERIES + "SELECT * FROM series", *BASE)
 oracle("series_day_platform", f"""SELECT sv.video_id, sv.platform, cast(date_trunc('day', ms.snapshot_at) AS timestamp) AS ts,
   cast(max(coalesce(ms.likes, 0)) AS bigint) AS value
 FROM metric_snapshot ms JOIN source_video sv ON sv.id = ms.source_video_id JOIN video v ON v.id = sv.video_id

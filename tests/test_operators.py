@@ -389,6 +389,16 @@ def test_search_ignores_case_and_accents(spark):
     def ids(q):
         return {r.video_id for r in catalog.filter_videos(roll, roll, VideoListQuery(q=q)).collect()}
     assert ids("ETE") == {1, 2} and ids("h%v") == {2} and ids("  ") == {1, 2, 3, 4}
+    assert ids("E_e a v%d") == {1} and ids("été%VAUD") == {1}
+
+
+def test_search_with_and_without_wildcards_folds_alike(spark):
+    titles = ["Žižek", "ŠKODA ōta", "Straße", "œuvre Ærø", "Ελλάδα", "Ёлка", "Việt Nam", "cafe\u0301", "Ǻngström", "plain"]
+    roll = spark.createDataFrame(list(enumerate(titles)), "video_id long, video_title string").withColumn("slug", F.lit(""))
+    def ids(q):
+        return {r.video_id for r in catalog.filter_videos(roll, roll, VideoListQuery(q=q)).collect()}
+    for number, q in enumerate(["zizek", "skoda ota", "STRASSE", "OEUVRE aer", "ελλαδα", "елка", "viet", "CAFÉ", "angstrom", "plain"]):
+        assert ids(q) == ids(f"{q}%") == {number}, q
 
 
 def test_rollup_null_rules(spark):

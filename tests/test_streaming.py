@@ -1,7 +1,10 @@
+import datetime as dt
+import os
+
 from pyspark.sql import functions as F
 
 from vidmetrics.operators import ingest, series
-from vidmetrics.streaming.live import live_buckets
+from vidmetrics.streaming.live import live_buckets, merge_buckets, read_buckets, store_buckets
 from vidmetrics.streaming.sparse import sparse_stream, store_batches
 
 
@@ -100,3 +103,48 @@ def test_live_buckets_equal_the_batch_series(spark, fixtures, tmp_path):
         fixtures.video.withColumn("published_at", F.lit("2000-01-01").cast("timestamp")), as_of="2030-01-01",
     ).select(*got.columns)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_stored_buckets_equal_the_batch_series_however_late(spark, fixtures, tmp_path):
+    """Newest rows first, so nearly all later ones are late; publication and end bound the series on both sides."""
+    points = fixtures.metric_snapshot.select("source_video_id", "snapshot_at", "likes").cache()
+    end = points.agg(F.expr("percentile_approx(snapshot_at, 0.8)")).first()[0]
+    video = fixtures.video.join(
+        points.join(fixtures.source_video.select(F.col("id").alias("source_video_id"), "video_id"), "source_video_id")
+        .groupBy(F.col("video_id").alias("id")).agg(F.expr("percentile_approx(snapshot_at, 0.3)").alias("early")), "id", "left",
+    ).withColumn("published_at", F.coalesce("early", "published_at")).drop("early")
+    landing, table = str(tmp_path / "points"), str(tmp_path / "buckets")
+    cuts = points.agg(F.expr("percentile_approx(snapshot_at, array(0.66, 0.33))")).first()[0]
+    for low, high in ((cuts[0], None), (cuts[1], cuts[0]), (None, cuts[1])):
+        rows = points
+        if low is not None:
+            rows = rows.filter(F.col("snapshot_at") >= F.lit(low))
+        if high is not None:
+            rows = rows.filter(F.col("snapshot_at") < F.lit(high))
+        rows.coalesce(1).write.mode("append").parquet(landing)
+    sink = store_buckets(table, fixtures.source_video, video, end=end, metric="likes")
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert q.exception() is None and q.lastProgress["batchId"] == 2
+    want = series.bucket_series(fixtures.metric_snapshot, fixtures.source_video, video, as_of=end, metric="likes")
+    everything = series.bucket_series(
+        fixtures.metric_snapshot, fixtures.source_video, video.withColumn("published_at", F.lit("2000-01-01").cast("timestamp")), as_of="2090-01-01", metric="likes")
+    assert 0 < want.count() < everything.count()
+    got = read_buckets(spark, table)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    sink(points.limit(50), 3)  # rows met twice
+    assert read_buckets(spark, table).exceptAll(want).isEmpty()
+
+
+def test_merged_buckets_leave_other_days_untouched(spark, tmp_path):
+    path = str(tmp_path / "buckets")
+
+    def rows(*given):
+        return spark.createDataFrame([(1, "YOUTUBE", dt.datetime(2024, 1, day, hour), value) for day, hour, value in given], "video_id long, platform string, ts timestamp, value long")
+
+    merge_buckets(spark, path, rows((1, 1, 10), (2, 1, 20), (2, 2, 30)))
+    before = sorted(os.listdir(f"{path}/day=2024-01-01"))
+    merge_buckets(spark, path, rows((2, 1, 5), (2, 2, 31), (3, 0, 1)))
+    assert sorted(os.listdir(f"{path}/day=2024-01-01")) == before
+    assert sorted((r.ts.day, r.ts.hour, r.value) for r in read_buckets(spark, path).collect()) == [(1, 1, 10), (2, 1, 20), (2, 2, 31), (3, 0, 1)]

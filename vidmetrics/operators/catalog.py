@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -92,18 +93,27 @@ class VideoListQuery:
         return (max(1, self.page) - 1) * self.limit
 
 
-# --- fixed values: letters with accents and their plain forms, in the same order -------
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-# ----------------------------------------------------------------------------------------
+def _plain_letters() -> tuple[str, str]:
+    """Letters of the Latin, Greek and Cyrillic ranges with their base letters, by Unicode's own decomposition;
+    behind them the combining marks, which have no counterpart and so vanish."""
+    bases = {}
+    for point in (*range(0xC0, 0x530), *range(0x1E00, 0x2000)):
+        letter, *marks = unicodedata.normalize("NFD", chr(point).lower())
+        if marks and all(unicodedata.combining(m) for m in marks):
+            bases[chr(point).lower()[0]] = letter
+    return "".join(bases) + "".join(map(chr, range(0x300, 0x370))), "".join(bases.values())
 
 
 def _folded(text: Column) -> Column:
-    return F.translate(F.lower(text), _ACCENTED, _PLAIN)
+    """Without case and accents, as the collation compares: sharp s and joined vowels are two letters."""
+    plain = F.translate(F.lower(text), *_plain_letters())
+    for joined, letters in (("ß", "ss"), ("æ", "ae"), ("œ", "oe")):
+        plain = F.replace(plain, F.lit(joined), F.lit(letters))
+    return plain
 
 
 def _title_match(text: str) -> Column:
-    if "%" in text or "_" in text:  # the caller's own wildcards; pattern matching knows no collation
+    if "%" in text or "_" in text:  # the caller's own wildcards; pattern matching knows no collation, so both sides are folded
         pattern = _folded(F.lit(f"%{text}%"))
         return F.like(_folded(F.col("video_title")), pattern) | F.like(_folded(F.col("slug")), pattern)
     needle = F.collate(F.lit(text), CASELESS)

@@ -25,6 +25,7 @@ from vidmetrics.plans.refresh import refresh_triggers as triggers
 from vidmetrics.plans.views import health_document, health_rows, ingest_to, overview, reconcile_with_overrides, video_detail, video_series
 from vidmetrics.session import ensure_checkpoint_dir
 from vidmetrics.sources import payloads, tables
+from vidmetrics.streaming.live import read_buckets, store_buckets
 
 QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {}
 
@@ -896,3 +897,18 @@ def refresh_triggers(f):
 def reconcile_with_overrides_report(f):
     """Q7: overrides first, then the clusters; the report of the run."""
     return reconcile_with_overrides(f.catalog_source, f.video, f.reconcile_override)[1]
+
+
+@query
+def live_series(f):
+    """The hourly series, kept by a stream that meets the points in any order and each batch in turn."""
+    path, spark = _folder(f), f.video.sparkSession
+    points = f.metric_snapshot.select("source_video_id", "snapshot_at", "views_native")
+    points.repartition(6, F.xxhash64("source_video_id", "snapshot_at")).write.parquet(f"{path}/landing")
+    stream = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/landing")
+    run = (
+        stream.writeStream.foreachBatch(store_buckets(f"{path}/buckets", f.source_video, f.video, end=AS_OF))
+        .option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    return read_buckets(spark, f"{path}/buckets")
