@@ -179,3 +179,21 @@ def test_source_upsert_changes(spark, change):
 def test_unresolved_seed_sources_do_not_leak(spark, fixtures):
     feed = fixtures.snapshot_feed.filter("source_video_id = 3")
     assert ingest.sparse_fold(feed, fixtures.metric_snapshot).select("source_video_id").distinct().count() == 1
+
+
+def test_snapshot_upsert_does_not_shuffle_the_table(spark):
+    """A small batch meets a large table: replaced, new and repeated keys; the plan joins by broadcast only."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("n") * 3600)
+    ms = spark.range(20_000).select(
+        F.col("id"), (F.col("id") % 100).alias("source_video_id"), F.floor(F.col("id") / 100).alias("n"), F.col("id").alias("views_native")
+    ).withColumn("snapshot_at", at).drop("n")
+    batch = spark.createDataFrame([(1, 5, 3, -1), (2, 5, 3, -2), (3, 7, 500, -3), (4, 7, 501, -4), (5, 7, 500, -5)],
+                                  "arrival_seq long, source_video_id long, n long, views_native long").withColumn("snapshot_at", at).drop("n")
+    after = tables.upsert_snapshots(ms, batch)
+    got = {r.id: (r.source_video_id, r.views_native) for r in after.collect()}
+    want = {i: (i % 100, i) for i in range(20_000)} | {305: (5, -2), 20_000: (7, -4), 20_001: (7, -5)}
+    assert got == want
+    stay = [line for line in after._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines() if "LeftAnti" in line]
+    assert stay and all("BroadcastHashJoin" in line for line in stay)
+    assert tables.upsert_snapshots(ms, batch.limit(0)).count() == 20_000
+    assert {r.id for r in tables.upsert_snapshots(ms.limit(0), batch).collect()} == {1, 2, 3}

@@ -110,18 +110,22 @@ def change_report(upserted: DataFrame) -> DataFrame:
 
 
 def upsert_snapshots(ms: DataFrame, stored: DataFrame) -> DataFrame:
-    """Points after a batch; of one (source, instant) the last arrival wins, keeping its id."""
+    """Points after a batch; of one (source, instant) the last arrival wins, keeping its id.
+
+    The table has one point per (source, instant). It is only filtered by the keys of the batch, once for the points that
+    stay and once for those that are replaced; where the keys are few, as measured, it is not shuffled at all.
+    """
     start = ms.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     fields = [c for c in stored.columns if c in ms.columns and c != "id"]
-    old = ms.select(*fields, F.col("id").alias("_old_id"), F.lit(-1).cast("long").alias("arrival_seq"))
-    new = stored.select(*fields, F.lit(None).cast("long").alias("_old_id"), "arrival_seq")
     keys = ["source_video_id", "snapshot_at"]
-    ids = old.groupBy(*keys).agg(F.max("_old_id").alias("_kept_id"))
-    winners = first_rows(old.unionByName(new), keys, [F.col("arrival_seq").desc(), F.col("_old_id").desc()])
-    placed = winners.drop("_old_id").join(ids, keys, "left")
+    winners = first_rows(stored.select(*fields, "arrival_seq"), keys, [F.col("arrival_seq").desc()])
+    touched = stored.select(*keys).distinct()
+    stay = ms.select("id", *fields).join(touched, keys, "left_anti")
+    ids = ms.select(*keys, "id").join(touched, keys, "left_semi").groupBy(*keys).agg(F.max("id").alias("_kept_id"))
+    placed = winners.join(ids, keys, "left")
     known = placed.filter(F.col("_kept_id").isNotNull()).withColumn("id", F.col("_kept_id"))
     fresh = numbered(placed.filter(F.col("_kept_id").isNull()), "arrival_seq", int(start), "id")
-    return known.select("id", *fields).unionByName(fresh.select("id", *fields))
+    return stay.select("id", *fields).unionByName(known.select("id", *fields)).unionByName(fresh.select("id", *fields))
 
 
 def merge_points(spark: SparkSession, path: str, stored: DataFrame, *, files_per_day: int = 32) -> None:
