@@ -8,7 +8,6 @@ source and sorted by arrival; it streams Arrow batches and holds one state at a
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,73 +16,17 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from vidmetrics.operators import histories
 from vidmetrics.operators.enrich import latest_per_source
-from vidmetrics.schemas import COUNTERS, MONOTONE, USEFUL
+from vidmetrics.operators.histories import EMIT as _EMIT, STATE_ONLY as _STATE_ONLY
+from vidmetrics.operators.sparse_state import SourceState, SparseRules
+from vidmetrics.schemas import COUNTERS, MONOTONE
 
-DAY_MS = 86_400_000
 STORED_REASONS = (
     "first_snapshot", "same_timestamp_update", "useful_metric_changed", "views_delta", "daily_guard",
 )
 
 
-@dataclass(frozen=True)
-class SparseRules:
-    """Thresholds of the store decision (fixed defaults: 10 views, 1 %, one point per day)."""
-
-    min_abs: int = 10
-    min_rel: float = 0.01
-    daily_guard: bool = True
-
-    def significant(self, old: int | None, new: int | None) -> bool:
-        """I5."""
-        if new is None or old is None:
-            return new is not None
-        gain = new - old
-        if gain <= 0:
-            return False
-        return gain >= self.min_abs or (old > 0 and gain / old >= self.min_rel)
-
-
-class SourceState:
-    """Last stored point of one source: instant in milliseconds and counters in field order."""
-
-    def __init__(self, fields: Sequence[str], rules: SparseRules, at: int | None = None, values=None):
-        self.fields, self.rules = tuple(fields), rules
-        self.at, self.values = at, list(values) if values is not None else None
-        self._guarded = [i for i, f in enumerate(self.fields) if f in MONOTONE]
-        self._watched = [i for i, f in enumerate(self.fields) if f in USEFUL]
-        self._views = self.fields.index("views_native")
-
-    def decide(self, at: int, received: Sequence[int | None]) -> tuple[bool, str, int, int | None, list]:
-        """(stored, reason, corrections, views delta, merged counters); the state follows."""
-        if self.at is None:
-            self.at, self.values = at, list(received)
-            return True, "first_snapshot", 0, None, self.values
-        old = self.values
-        if at < self.at:
-            return False, "out_of_order", 0, None, list(received)
-        merged = [o if r is None else r for r, o in zip(received, old)]
-        corrections = 0
-        for i in self._guarded:
-            if old[i] is not None and merged[i] < old[i]:
-                merged[i] = old[i]
-                corrections += 1
-        was, now = old[self._views], merged[self._views]
-        delta = max(0, now - was) if was is not None and now is not None else None
-        if at == self.at:
-            reason = "same_timestamp_update"
-        elif any(merged[i] != old[i] for i in self._watched):
-            reason = "useful_metric_changed"
-        elif self.rules.significant(was, now):
-            reason = "views_delta"
-        elif self.rules.daily_guard and at // DAY_MS != self.at // DAY_MS:
-            reason = "daily_guard"
-        else:
-            return False, "below_threshold", corrections, delta, merged
-        self.at, self.values = at, merged
-        return True, reason, corrections, delta, merged
-
-
 def feed_fields(feed: DataFrame) -> list[str]:
     """Counters the feed carries; absent ones stay unknown and decide nothing."""
     return [c for c in COUNTERS if c in feed.columns]
@@ -103,15 +46,15 @@ def _decision_schema(fields: Sequence[str]) -> T.StructType:
 def _fold(
     batches: Iterable[pa.RecordBatch], fields: Sequence[str], rules: SparseRules
 ) -> Iterator[pa.RecordBatch]:
-    names = ["_segment", "_role", "arrival_seq", "source_video_id", "at_ms", *fields]
+    names = ["_segment", "_chunk", "_role", "arrival_seq", "source_video_id", "at_ms", *fields]
     out = to_arrow_schema(_decision_schema(fields))
     current, state = None, None
     for batch in batches:
         columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
         rows = []
-        for segment, role, seq, source, at, *received in zip(*columns):
-            if (source, segment) != current:
-                current, state = (source, segment), SourceState(fields, rules)
+        for segment, chunk, role, seq, source, at, *received in zip(*columns):
+            if (source, segment, chunk) != current:
+                current, state = (source, segment, chunk), SourceState(fields, rules)
             if role == _STATE_ONLY:
                 state.at, state.values = at, received
             else:
@@ -125,9 +68,6 @@ def _flat(decision: tuple) -> tuple:
     return (*decision[:4], *decision[4])
 
 
-_EMIT, _STATE_ONLY = 1, 0
-
-
 def sparse_fold(
     feed: DataFrame, seed: DataFrame | None = None, *, rules: SparseRules = SparseRules(),
     block: int = 1 << 20, rows_per_segment: int = 500_000,
@@ -136,23 +76,31 @@ def sparse_fold(
 
     ``feed`` has a unique ``arrival_seq``, ``source_video_id``, ``snapshot_at`` and counters; rows are
     folded in arrival order. ``seed`` holds already stored points, of which the newest per source is
-    the initial state. Very long histories are cut at points whose result does not depend on the
-    past (see ``_segments``), so one source can be folded by many tasks. ``block`` is a width in
-    arrival numbers; a feed should span at most some hundred thousand blocks.
+    the initial state. Histories of more than ``rows_per_segment`` rows are cut at points whose result does not
+    depend on the past (see ``_segments``), and what stays longer into chunks that are described, chained
+    and folded side by side (see ``histories``), so one source is folded by many tasks whatever it
+    sends. ``block`` is a width in arrival numbers; a feed should span at most some hundred thousand blocks.
+    Histories are counted when this is called.
     """
     fields = feed_fields(feed)
     if "views_native" not in fields:
         raise ValueError("the feed needs views_native")
     keys = ["arrival_seq", "source_video_id", "snapshot_at"]
     rows = feed.select(*keys, *[F.col(c).cast("long").alias(c) for c in fields])
-    work = _segments(rows, fields, seed, rules, block, rows_per_segment)
+    crowded = rows.groupBy("source_video_id").count().filter(F.col("count") > rows_per_segment)
+    cut = not crowded.isEmpty()
+    work = _segments(rows, fields, seed, rules, block, rows_per_segment) if cut else _uncut(rows)
     if seed is not None:
         work = work.unionByName(_seed_rows(seed, fields, rows))
+    work = work.withColumn("at_ms", F.unix_millis("snapshot_at")).drop("snapshot_at")
+    if cut:
+        work = histories.in_chunks(work, fields, rules, block=block, rows_per_chunk=rows_per_segment)
+    else:
+        work = work.withColumn("_chunk", F.lit(0).cast("long"))
+    history = ["source_video_id", "_segment", "_chunk"]
     sorted_rows = (
-        work.withColumn("at_ms", F.unix_millis("snapshot_at"))
-        .select("_segment", "_role", "arrival_seq", "source_video_id", "at_ms", *fields)
-        .repartition("source_video_id", "_segment")
-        .sortWithinPartitions("source_video_id", "_segment", "_role", "arrival_seq")
+        work.select("_segment", "_chunk", "_role", "arrival_seq", "source_video_id", "at_ms", *fields)
+        .repartition(*history).sortWithinPartitions(*history, "_role", "arrival_seq")
     )
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,6 +116,10 @@ def sparse_fold(
 _FIRST_SEGMENT = -(1 << 62)
 
 
+def _uncut(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"_segment": F.lit(_FIRST_SEGMENT).cast("long"), "_role": F.lit(_EMIT)})
+
+
 def _seed_rows(seed: DataFrame, fields: Sequence[str], rows: DataFrame) -> DataFrame:
     present = [F.col(c).cast("long").alias(c) if c in seed.columns else F.lit(None).cast("long").alias(c) for c in fields]
     last = latest_per_source(seed).select(
@@ -192,11 +144,8 @@ def _segments(
     (source, block); only blocks in which a source passes a multiple of ``rows_per_segment`` rows are
     searched, so sources of ordinary length are not touched at all.
     """
-    whole = rows.withColumns({
-        "_segment": F.lit(_FIRST_SEGMENT).cast("long"), "_role": F.lit(_EMIT),
-    })
     if not rules.daily_guard:
-        return whole
+        return _uncut(rows)
     guarded = [f for f in fields if f in MONOTONE]
     blocked = rows.withColumn("_block", F.floor(F.col("arrival_seq") / F.lit(block)))
     tops = {"_top_at": F.col("snapshot_at"), **{f"_top_{f}": F.col(f) for f in guarded}}
