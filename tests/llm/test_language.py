@@ -59,3 +59,13 @@ def test_spans_scripts_and_edges(spark):
     assert language.language_of(docs.limit(0)).count() == 0
     nothing = language.language_of(docs.filter("lang is null")).collect()
     assert {r.lang_pred for r in nothing} == {"und"} and len(nothing) == 7
+
+
+def test_a_script_rules_languages_out(spark):
+    """A foreign word among words of another script is labelled by its script, whatever the penalty asks."""
+    en, ru = "the weather is nice and we went there with them", "погода хорошая и мы пошли туда вместе с ними"
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(((en, "en"), (ru, "ru")) * 12, 1000)]
+    docs = spark.createDataFrame([*rows, (1, f"{en} погода {en} 3 ω {en}", None), (2, f"{ru} weather", None)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify(docs.filter("doc_id < 1000"), language.train(docs, folds=5, held_out=0)).collect()}
+    assert [(s.first, s.end, s.lang) for s in got[1].spans] == [(0, 10, "en"), (10, 11, "ru"), (11, 33, "en")]
+    assert [s.lang for s in got[2].spans] == ["ru", "en"] and got[2].lang == "ru"

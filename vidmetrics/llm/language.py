@@ -23,6 +23,8 @@ from vidmetrics.llm.common import column, fold_of, map_arrow, strings
 
 UNKNOWN = "und"
 BINS = 1 << 15
+#: Log posterior of a language that a word's script rules out: more than any number of switches would save.
+RULED_OUT = -1e4
 #: Words a task remembers before it starts over.
 REMEMBERED_WORDS = 300_000
 # --- fixed values: first and last code points of scripts -----------------------
@@ -81,7 +83,8 @@ class Model:
     scripts: np.ndarray  # (scripts, languages): whether the language is a candidate
 
     def words(self, tokens: list[str], damp: float, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """(log posteriors (tokens, languages), letters) of tokens; zeros where there is nothing to tell."""
+        """(log posteriors (tokens, languages), letters) of tokens; zeros where there is nothing to tell. ``floor`` bounds
+        the posteriors of candidates; what the script rules out is far below."""
         letters = [letters_of(t) for t in tokens]
         bins, owner = ngrams(letters)
         log = np.stack([np.bincount(owner, self.log_share[bins, k], len(tokens)) for k in range(len(self.languages))], axis=1)
@@ -92,6 +95,7 @@ class Model:
         log[~told] = 0
         log -= log.max(1, keepdims=True)
         log = np.maximum(log - np.log(np.exp(log).sum(1, keepdims=True)), floor)
+        log[~candidates] = RULED_OUT
         log[~told] = 0
         return log.astype(np.float32), size
 
