@@ -769,6 +769,7 @@ ORACLES["refreshed_tables"] = f"""SELECT 'video_rollup' AS part, video_id, NULL
 UNION ALL SELECT 'aligned_raw_hour', video_id, source, age_bucket, round(cast(views_cum AS double), 6) FROM ({ORACLES["aligned_raw"]})
 UNION ALL SELECT 'aligned_dense_hour', video_id, source, age_bucket, round(cast(views_cum AS double), 6) FROM ({ORACLES["aligned_dense"]})
 UNION ALL SELECT 'bands_hour', NULL, source, age_bucket, round(cast(p50_views AS double), 6) FROM ({ORACLES["percentile_bands"]})"""
+ORACLES["refreshed_changes"] = ORACLES["refreshed_tables"]  # changes only, yet the rows of a full refresh
 oracle("ingested_items", WALK.replace("FROM snapshot_feed)", "FROM snapshot_feed WHERE arrival_seq % 13 <> 0 AND arrival_seq % 29 <> 0)") + """,
 told AS (SELECT count(*) AS ok, count(*) FILTER (stored) AS stored, count(*) FILTER (NOT stored) AS skipped, cast(sum(corrections) AS bigint) AS corrections FROM walk),
 bad AS (SELECT arrival_seq, views_native FROM snapshot_feed WHERE arrival_seq % 13 = 0)

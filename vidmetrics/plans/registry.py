@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from vidmetrics.operators import (
     similarity, spread, trend,
 )
 from vidmetrics.operators.catalog import VideoListQuery
+from vidmetrics.plans import changes
 from vidmetrics.plans.refresh import refresh
 from vidmetrics.plans.refresh import refresh_triggers as triggers
 from vidmetrics.plans.views import health_document, health_rows, ingest_to, overview, reconcile_with_overrides, video_detail, video_series
@@ -850,16 +851,43 @@ def refreshed_tables(f):
     """M1: the rows of all tables that the refresh job writes, bands included, tagged by table."""
     root = _folder(f)
     refresh(f.metric_snapshot, f.source_video, f.video, root, as_of=datetime.fromisoformat(AS_OF), version="1")
-    shown = {
-        "video_rollup": ("video_id", None, None, "views_native_sum"), "aligned_raw_hour": ("video_id", "source", "age_bucket", "views_cum"),
-        "aligned_dense_hour": ("video_id", "source", "age_bucket", "views_cum"), "bands_hour": (None, "source", "age_bucket", "p50_views"),
-    }
+    spark = f.video.sparkSession
+    return _tagged({name: tables.read_table(spark, root, name) for name in _DERIVED})
+
+
+@query
+def refreshed_changes(f):
+    """M1: the same rows after two runs: a first one at an earlier clock, when later points were missing, some sources were
+    not linked and some off, and one over the pairs that changed since."""
+    root, now = _folder(f), datetime.fromisoformat(AS_OF)
+    before = now - timedelta(days=10)
+    earlier = f.metric_snapshot.filter(F.col("snapshot_at") < F.lit(before))
+    sources = f.source_video.withColumns({
+        "video_id": F.when(F.col("id") % 9 == 0, None).otherwise(F.col("video_id")),
+        "is_active": F.when(F.col("id") % 7 == 0, 1 - F.col("is_active")).otherwise(F.col("is_active")),
+    })
+    changes.refresh_changed(earlier, sources, f.video, root, as_of=before)
+    later = f.metric_snapshot.filter(F.col("snapshot_at") >= F.lit(before))
+    changed = changes.changed_pairs(later, sources, f.source_video, f.video, f.video, last_as_of=before, as_of=now)
+    changes.refresh_changed(f.metric_snapshot, f.source_video, f.video, root, as_of=now, changed=changed)
+    spark = f.video.sparkSession
+    found = {name: changes.read_parts(spark, root, name) for name in _DERIVED if name != "bands_hour"}
+    return _tagged(found | {"bands_hour": spark.read.parquet(f"{root}/bands_hour")})
+
+
+#: Columns of the derived tables that are compared: video, platform, age and value.
+_DERIVED = {
+    "video_rollup": ("video_id", None, None, "views_native_sum"), "aligned_raw_hour": ("video_id", "source", "age_bucket", "views_cum"),
+    "aligned_dense_hour": ("video_id", "source", "age_bucket", "views_cum"), "bands_hour": (None, "source", "age_bucket", "p50_views"),
+}
+
+
+def _tagged(found):
     out = None
-    for name, columns in shown.items():
-        found = tables.read_table(f.video.sparkSession, root, name)
-        rows = found.select(F.lit(name).alias("part"), *[
+    for name, table in found.items():
+        rows = table.select(F.lit(name).alias("part"), *[
             (F.col(c) if c else F.lit(None)).cast(kind).alias(to)
-            for c, (to, kind) in zip(columns, (("video_id", "long"), ("platform", "string"), ("age", "long"), ("value", "double")))
+            for c, (to, kind) in zip(_DERIVED[name], (("video_id", "long"), ("platform", "string"), ("age", "long"), ("value", "double")))
         ])
         out = rows if out is None else out.unionByName(rows)
     return rounded(out, "value")
