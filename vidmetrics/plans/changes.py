@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidmetrics.operators.align import MONTHS, aligned_dense, aligned_raw
@@ -80,9 +80,13 @@ def _replace(fresh: DataFrame, keys: DataFrame, root: str, name: str, places: li
     touched = keys.select(*places).distinct()
     old = spark.read.parquet(_path(root, name))
     on = [c for c in keys.columns if c != "part"]
-    picked = F.lit(False)
+    by_source: dict[str | None, list[int]] = {}
     for place in touched.collect():
-        picked = picked | _at(place.asDict())
+        by_source.setdefault(place.asDict().get("source"), []).append(place["part"])
+    picked = F.lit(False)
+    for source, numbers in by_source.items():
+        here = F.col("part").isin(numbers)
+        picked = picked | (here if source is None else here & (F.col("source") == source))
     kept = old.filter(picked & F.col("video_id").isNotNull()).join(keys.select(*on), on, "left_anti")
     marks = touched.select(*[
         (F.col(f.name) if f.name in places else F.lit(None)).cast(f.dataType).alias(f.name) for f in old.schema
@@ -90,13 +94,6 @@ def _replace(fresh: DataFrame, keys: DataFrame, root: str, name: str, places: li
     _write(kept.unionByName(fresh.select(*old.columns)).unionByName(marks), root, name, places, sort_by, whole=False)
 
 
-def _at(place: dict) -> Column:
-    condition = F.lit(True)
-    for column, value in place.items():
-        condition = condition & (F.col(column) == value)
-    return condition
-
-
 def refresh_changed(
     ms: DataFrame, sv: DataFrame, v: DataFrame, root: str, *, as_of: datetime, changed: DataFrame | None = None, parts: int = PARTS,
     with_percentiles: bool = True,

@@ -866,10 +866,10 @@ def refreshed_changes(f):
         "video_id": F.when(F.col("id") % 9 == 0, None).otherwise(F.col("video_id")),
         "is_active": F.when(F.col("id") % 7 == 0, 1 - F.col("is_active")).otherwise(F.col("is_active")),
     })
-    changes.refresh_changed(earlier, sources, f.video, root, as_of=before)
+    changes.refresh_changed(earlier, sources, f.video, root, as_of=before, parts=8)
     later = f.metric_snapshot.filter(F.col("snapshot_at") >= F.lit(before))
     changed = changes.changed_pairs(later, sources, f.source_video, f.video, f.video, last_as_of=before, as_of=now)
-    changes.refresh_changed(f.metric_snapshot, f.source_video, f.video, root, as_of=now, changed=changed)
+    changes.refresh_changed(f.metric_snapshot, f.source_video, f.video, root, as_of=now, changed=changed, parts=8)
     spark = f.video.sparkSession
     found = {name: changes.read_parts(spark, root, name) for name in _DERIVED if name != "bands_hour"}
     return _tagged(found | {"bands_hour": spark.read.parquet(f"{root}/bands_hour")})
