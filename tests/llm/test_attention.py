@@ -189,3 +189,42 @@ def test_without_training_texts_the_counts_alone_score(spark):
     rows = {r.doc_id: r for r in attention.text_scores(frame, RANKS, public_tokenizers.PATTERN, folds=1).collect()}
     assert all(r.held_out and r.train_tokens == 0 and r.n_known == 0 and r.score < 0 for r in rows.values())
     assert rows[1].score == pytest.approx(rows[2].score, abs=1e-4)
+
+
+def test_mixture_of_words_place_by_place():
+    model = small_model(8)
+    pick = np.random.default_rng(9)
+    texts = [pick.integers(0, 500, n) for n in (1, 7, 130)]
+    sizes = [np.array([1]), np.array([2, 4, 1]), np.array([60, 1, 68, 1])]
+    counted = [np.array([-2.0]), np.array([-np.inf, -3.0, -1.0]), np.array([-5.0, -np.inf, -300.0, -2.0])]
+    got = attention.log10_texts(model, texts, list(zip(sizes, counted)))
+    for ids, size, by_count, value in zip(texts, sizes, counted, got):
+        x, y, c = attention.windows_of(model.ranks.rank_of[ids], model.ranks.none)
+        each = attention.log_likelihoods(model.weights, model.ranks, x, y, c).astype(float)
+        spelled = [part.sum() for part in np.split(each, np.cumsum(size)[:-1])]
+        by_share = [sum(np.logaddexp(np.log(s) + a, np.log(1 - s) + b) for a, b in zip(spelled, by_count)) for s in attention.SHARES]
+        want = max(by_share) + np.log(np.mean(np.exp(np.array(by_share) - max(by_share))))
+        assert value == pytest.approx(want / np.log(10), rel=1e-5)
+
+
+def test_no_words_ids_begin_another_words():
+    with open(RANKS, "rb") as f:
+        units = attention.Units(attention.Subwords(f.read(), public_tokenizers.PATTERN))
+    words = [b"a", b"ab", b"abc", b"wort", b"worthing", "x\xa0".encode(), b"..."]
+    coded = units.of(words)
+    ids = [coded.ids[s:s + n].tolist() for s, n in zip(coded.start, coded.size)]
+    assert all(a == b or a != b[:len(a)] for a in ids for b in ids)
+    assert units.text(b" Wort  ab").tolist() == [*ids[3], *ids[1], units.end]
+
+
+def test_held_out_scores_in_many_partitions_are_not_far_below_the_base(spark):
+    """A task sees a few texts only here; words are of several subwords, and nothing but their counts is to be known."""
+    pick = np.random.default_rng(10)
+    syllables = [a + b for a in ("kr", "zu", "mo", "fl", "pe", "wa") for b in ("ix", "ong", "arb", "el", "und", "isch")]
+    words = ["".join(pick.choice(syllables, 4)) for _ in range(200)]
+    share = 1 / np.arange(1, 201)
+    docs = [(i, " ".join(pick.choice(words, 60, p=share / share.sum()))) for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(40)
+    held = [r for r in attention.text_scores(frame, RANKS, public_tokenizers.PATTERN).collect() if r.held_out]
+    assert len(held) > 20 and all(np.isfinite(r.score) for r in held)
+    assert sum(r.score for r in held) > 1.1 * sum(r.base_score for r in held)
