@@ -19,8 +19,9 @@ def clean_of_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard 0.8 of 5-word shingles) stays, the one of the smallest id."""
-    return resemblance.one_of_each_group(docs, shingle_words=5, least=0.8)
+    """One document of each group of near copies (Jaccard 0.8 of 5-word shingles) stays, the one of the smallest id: the SimHash
+    trie links fingerprints, bands find copies of more differing bits, and all links are checked on the shingles."""
+    return resemblance.one_of_each_group(docs, shingle_words=5, least=0.8, errors=3)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

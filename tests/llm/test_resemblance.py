@@ -53,3 +53,26 @@ def test_whole_table_against_all_pairs(spark, turns):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r.doc_id: r.component_id for r in resemblance.resembling(docs, turns=turns).collect()}
     assert got == brute_first({r.doc_id: r.text for r in docs.collect()})
+
+
+def test_trie_links_come_first_and_a_large_group_has_few_links(spark, monkeypatch):
+    """The stage's candidates come from the SimHash trie; links of a group of copies are no more than its texts."""
+    pick = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    base = [pick.choice(words) for _ in range(150)]
+    texts = {}
+    for i in range(1, 121):
+        own = list(base)
+        for at in pick.sample(range(150), 2):
+            own[at] = f"x{i}-{at}"
+        texts[i] = " ".join(own)
+    texts |= {i: " ".join(pick.choice(words) for _ in range(60)) for i in range(200, 220)}
+    calls, sizes = [], []
+    links, connected = simhash.links, resemblance.connected
+    monkeypatch.setattr(simhash, "links", lambda fps, **given: calls.append(given) or links(fps, **given))
+    monkeypatch.setattr(resemblance, "connected", lambda edges: sizes.append(edges.count()) or connected(edges))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(brute_first(texts).values()))
+    assert calls == [{"errors": 3}]
+    assert max(sizes) <= len(texts)

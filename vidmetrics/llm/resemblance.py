@@ -1,10 +1,12 @@
 """Near copies by the Jaccard similarity of their word shingles.
 
-Candidates come from min-hash bands: texts of similarity s share one of ``BANDS`` band keys with
-probability 1 - (1 - s^ROWS)^BANDS, which is 0.99994 at 0.8. Every candidate link is checked on the sets
+The SimHash trie join (``simhash``) links fingerprints of the same shingles at a few differing bits and gives the
+first candidates. Near copies whose fingerprints differ in more bits share min-hash bands: texts of similarity s share one of
+``BANDS`` band keys with probability 1 - (1 - s^ROWS)^BANDS, which is 0.99994 at 0.8. Every candidate link is checked on the sets
 themselves, so texts below the threshold are never linked. A bucket of a band key is not checked as all
 its pairs: its texts are first held against one of them, then, where they do not hang together, against
-others in turn, and what is still apart is compared pair by pair.
+others in turn, and what is still apart is compared pair by pair. Links join groups, not texts, so a large group of
+copies has no more of them than it has texts.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vidmetrics.llm import simhash
 from vidmetrics.llm.common import column, connected, first_of_groups, id_and_text, map_arrow, of_keys, saved, utf8
 
 SEED = 42
@@ -56,15 +59,17 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _sets(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, v: a name of the set, n: its size, keys), one row per document row."""
+    """(doc_id, v: a name of the set, n: its size, keys, fp: the fingerprint), one row per document row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            sets = [shingle_set(t, shingle_words) for t in utf8(batch)]
+            texts = utf8(batch)
+            sets = [shingle_set(t, shingle_words) for t in texts]
+            fps = np.array([simhash.fingerprint(t, shingle_words) for t in texts], np.uint64)
             names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
-            yield {"doc_id": column(batch, "doc_id"), "v": names.view(np.int64), "n": [len(s) for s in sets], "keys": [band_keys(s) for s in sets]}
+            yield {"doc_id": column(batch, "doc_id"), "v": names.view(np.int64), "n": [len(s) for s in sets], "keys": [band_keys(s) for s in sets], "fp": fps.view(np.int64)}
 
-    return map_arrow(id_and_text(docs), work, "doc_id long, v long, n long, keys array<long>")
+    return map_arrow(id_and_text(docs), work, "doc_id long, v long, n long, keys array<long>, fp long")
 
 
 def _hashes_of(docs: DataFrame, rows: DataFrame, names: DataFrame, shingle_words: int) -> DataFrame:
@@ -83,7 +88,7 @@ def _hashes_of(docs: DataFrame, rows: DataFrame, names: DataFrame, shingle_words
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets have a similarity of ``least`` or more."""
+    """The rows (a, b, la, lb) of ``pairs`` whose sets have a similarity of ``least`` or more."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -93,28 +98,61 @@ def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 near[i] = both >= least * (len(x) + len(y) - both)
-            yield {"a": a[near], "b": b[near]}
+            yield {"la": column(batch, "la").to_numpy()[near], "lb": column(batch, "lb").to_numpy()[near]}
 
     one, two = sets.select(F.col("v").alias("a"), F.col("s").alias("x")), sets.select(F.col("v").alias("b"), F.col("s").alias("y"))
-    return map_arrow(pairs.select("a", "b").distinct().join(one, "a").join(two, "b").select("a", "b", "x", "y"), work, "a long, b long")
-
-
-def resembling(docs: DataFrame, *, shingle_words: int = 5, least: float = 0.8, turns: int = TURNS) -> DataFrame:
+    return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "la", "lb", "x", "y"), work, "la long, lb long")
+
+
+def _merged(labels: DataFrame, pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``labels`` (v, label) after the links among the candidates ``pairs`` (a, b): each a meets one of its candidates first, then
+    all those that are still in another group."""
+    pairs = saved(pairs.select("a", "b").distinct(), "candidates")
+    for first in (True, False):
+        a, b = (labels.select(F.col("v").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+        apart = pairs.join(a, "a").join(b, "b").filter("la <> lb").select("a", "b", "la", "lb")
+        if first:
+            apart = apart.groupBy("a").agg(F.min(F.struct("b", "la", "lb")).alias("p")).select("a", "p.*")
+        links = _checked(apart, sets, least).select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
+        joined = connected(saved(links, "checked-links")).select(F.col("v").alias("_v"), F.col("label").alias("_label"))
+        labels = saved(labels.join(joined, F.col("label") == F.col("_v"), "left").select("v", F.coalesce("_label", "label").alias("label")), "set-labels")
+    return labels
+
+
+def _trie_pairs(rows: DataFrame, errors: int) -> DataFrame:
+    """(a, b): names of sets that the SimHash trie join puts together, by links of fingerprints, each named by one of its sets."""
+    named = saved(rows.select("fp", "v").distinct(), "set-fingerprints")
+    one = saved(named.groupBy("fp").agg(F.min("v").alias("one")), "fingerprint-sets")
+    same = named.join(one, "fp").filter("v <> one").select(F.col("v").alias("a"), F.col("one").alias("b"))
+    a, b = (one.select(F.col("fp").alias(f"fp_{x}"), F.col("one").alias(x)) for x in "ab")
+    links = simhash.links(one.select("fp"), errors=errors).select(F.col("a").alias("fp_a"), F.col("b").alias("fp_b"))
+    return same.unionByName(links.join(a, "fp_a").join(b, "fp_b").filter("a <> b").select("a", "b"))
+
+
+def resembling(docs: DataFrame, *, shingle_words: int = 5, least: float = 0.8, errors: int = 3, turns: int = TURNS) -> DataFrame:
     """(doc_id, component_id), one row per document row.
 
     Documents link at a Jaccard similarity of ``least`` or more of their sets of word shingles;
-    component_id is the smallest doc_id that links reach. Null or wordless texts are all alike.
+    component_id is the smallest doc_id that links reach. Null or wordless texts are all alike. Candidates are the links of the
+    SimHash trie at ``errors`` bits, then shared bands.
     """
     rows = saved(_sets(docs, shingle_words), "shingle-names")
     groups = saved(rows.groupBy("v").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "shingle-groups")
     keys = groups.select("v", "n", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high")).filter("low < high").select("key")
     members = saved(keys.join(shared, "key").select("key", "v", "n"), "buckets")
-    sets = _hashes_of(docs, rows, members.select("v").distinct(), shingle_words)
+    near = saved(_trie_pairs(rows.filter("n > 0"), errors), "trie-links")
+    names = members.select("v").union(near.select("a")).union(near.select("b")).distinct()
+    sets = _hashes_of(docs, rows, names, shingle_words)
 
     fits = F.least("n", "n_hub") >= least * F.greatest("n", "n_hub")
-    found, labels, open_ = None, None, members.withColumn("label", F.col("v"))
+    labels = _merged(groups.select("v", F.col("v").alias("label")), near, sets, least)
     for turn in range(turns + 1):
+        now = members.join(labels, "v")
+        apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+        open_ = saved(now.join(apart, "key").select("key", "v", "n", "label"), "open-buckets")
+        if open_.isEmpty():
+            break
         if turn < turns:
             # The first hub is the same in all bands, so that a group's pairs are few; later ones differ by bucket.
             order = F.xxhash64("v") if turn == 0 else F.xxhash64("v", "key", F.lit(turn))
@@ -125,28 +163,15 @@ def resembling(docs: DataFrame, *, shingle_words: int = 5, least: float = 0.8, t
         else:
             hubs = open_.select("key", F.col("v").alias("hub"), F.col("n").alias("n_hub"), F.col("label").alias("label_hub"))
             met = open_.join(hubs, "key").filter("label <> label_hub and hub < v")
-        pairs = met.filter(fits).select(F.least("hub", "v").alias("a"), F.greatest("hub", "v").alias("b"))
-        links = saved(_checked(pairs, sets, least), "checked-links")
-        found = links if found is None else saved(found.unionByName(links), "all-links")
-        labels = connected(found)
-        now = members.join(labels.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").select(
-            "key", "v", "n", F.coalesce("label", "v").alias("label")
-        )
-        apart = now.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-        if turn < turns:
-            open_ = saved(now.join(apart, "key"), "open-buckets")
-            if open_.isEmpty():
-                break
-    groups = groups.join(labels.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").select(
-        "v", "first_id", F.coalesce("label", "v").alias("label")
-    )
+        labels = _merged(labels, met.filter(fits).select(F.col("v").alias("a"), F.col("hub").alias("b")), sets, least)
+    groups = groups.join(labels, "v").select("v", "first_id", "label")
     first = groups.groupBy("label").agg(F.min("first_id").alias("component_id"))
     return rows.select("doc_id", "v").join(groups.join(first, "label").select("v", "component_id"), "v").select("doc_id", "component_id")
 
 
-def one_of_each_group(docs: DataFrame, *, shingle_words: int = 5, least: float = 0.8) -> DataFrame:
+def one_of_each_group(docs: DataFrame, *, shingle_words: int = 5, least: float = 0.8, errors: int = 3) -> DataFrame:
     """The documents of the smallest id of each group of near copies, with all their columns.
 
     Rows without an id stay. If several rows carry that id, the one whose text has the smallest hash stays.
     """
-    return first_of_groups(docs, resembling(docs.filter("doc_id is not null"), shingle_words=shingle_words, least=least))
+    return first_of_groups(docs, resembling(docs.filter("doc_id is not null"), shingle_words=shingle_words, least=least, errors=errors))
