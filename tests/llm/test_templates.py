@@ -80,3 +80,14 @@ def test_a_contradicting_slot_takes_only_its_windows(spark, tmp_path):
     assert (got[2].n_windows, got[2].covered_words, got[2].n_slots, got[2].n_changed) == (22, 27, 2, 2)
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [r.doc_id for r in corpus_pipeline.decontaminated(spark, docs, str(tmp_path)).collect()] == [3]
+
+
+def test_only_texts_that_met_an_item_with_slots_are_split(spark, monkeypatch):
+    items = {1: "plain words without any value at all in them", 2: "a box of 12 apples and other fruit stands here"}
+    docs = [(i, f"before {items[1]} behind") for i in range(1, 20)] + [(50, f"so {items[2]} now"), (51, "nothing here")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    keys, of_keys = [], templates.of_keys
+    monkeypatch.setattr(templates, "of_keys", lambda rows, ids, *more: keys.append(sorted(r[0] for r in ids.collect())) or of_keys(rows, ids, *more))
+    found = templates.leaks(frame, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.n_slots) for r in found} == {(i, 1, 0) for i in range(1, 20)} | {(50, 2, 1)}
+    assert keys == [[50]]

@@ -161,9 +161,11 @@ def leaks(
 
     # Places of the item under evidence, by line, and the values that meet there.
     places = _places(found, line)
-    suspects = of_keys(docs.select("doc_id", "text"), found.select("doc_id").distinct(), "doc_id", "left_semi")
+    item_slots = saved(_of_kinds(kinds, lambda names: _slots(benchmark, "item_id", "place", "item_value", names)).distinct(), "item-slots")
+    # Only texts that met an item with slots have values to compare.
+    slotted = found.join(item_slots.select("item_id", "kind").distinct(), ["item_id", "kind"], "left_semi")
+    suspects = of_keys(docs.select("doc_id", "text"), slotted.select("doc_id").distinct(), "doc_id", "left_semi")
     of_docs = _of_kinds(kinds, lambda names: _slots(suspects, "doc_id", "doc_place", "doc_value", names)).distinct()
-    item_slots = _of_kinds(kinds, lambda names: _slots(benchmark, "item_id", "place", "item_value", names)).distinct()
     met = (
         places.join(item_slots, ["item_id", "kind", "place"]).withColumn("doc_place", F.col("place") + F.col("line"))
         .join(of_docs, ["doc_id", "kind", "doc_place"])
