@@ -2,9 +2,10 @@ import datetime as dt
 
 import pytest
 
-from vidmetrics.operators import percentiles
+from vidmetrics.operators import percentiles, spread
 from vidmetrics.plans import refresh as job
 from vidmetrics.plans import views
+from vidmetrics.plans.registry import QUERIES
 from vidmetrics.sources import tables
 
 AS_OF = dt.datetime(2024, 1, 31)
@@ -147,3 +148,11 @@ def test_bucketed_points_are_not_shuffled(spark, fixtures):
     assert "Exchange hashpartitioning" not in newest._jdf.queryExecution().executedPlan().toString()
     assert newest.exceptAll(latest_per_source(fixtures.metric_snapshot)).isEmpty()
     spark.sql("DROP TABLE bucketed_points")
+
+
+def test_all_sorts_read_one_stored_rollup(fixtures, monkeypatch):
+    """The rollup is made once, not once per order and again for the samples of its ranges."""
+    read, ranked = [], spread.ranked
+    monkeypatch.setattr(spread, "ranked", lambda df, *more: read.append(df._jdf.queryExecution().optimizedPlan().toString()) or ranked(df, *more))
+    assert QUERIES["all_sorts"](fixtures).count() > 0
+    assert len(read) > 1 and not any("Join" in plan or "Aggregate" in plan for plan in read)
