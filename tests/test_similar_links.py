@@ -7,6 +7,7 @@ import pytest
 from test_operators import SOURCES
 from test_similarity import every_pair
 from vidmetrics.operators import similar_links, similarity
+from vidmetrics.plans.registry import QUERIES
 
 
 def invented(seed):
@@ -56,3 +57,8 @@ def test_copies_cost_rows_and_not_pairs(spark):
     got = similar_links.source_links(sv)
     assert {(r.class_id, r.n_links) for r in got.collect()} == {(0, 19_999), (1, 19_999)}
     assert [r.component for r in similar_links.similar_groups(sv).select("component").distinct().collect()] == [0]
+
+
+def test_queries_have_a_row_per_source(fixtures):
+    assert QUERIES["similar_pairs"](fixtures).columns == ["id", "class_id", "n_links", "title_score", "description_score"]
+    assert QUERIES["similar_pairs"](fixtures).count() == 200
