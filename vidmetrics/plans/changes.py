@@ -21,6 +21,8 @@ from vidmetrics.session import ensure_checkpoint_dir
 
 PARTS = 64
 _PLACES = ["source", "part"]
+#: Shares of a folder that are written by tasks of their own.
+_SHARES = 16
 #: Columns of a source that decide to which curve it belongs and where the curve starts.
 _BELONGS = ("video_id", "platform", "published_at", "is_active")
 
@@ -67,7 +69,9 @@ def read_parts(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def _write(rows: DataFrame, root: str, name: str, places: list[str], sort_by: list[str], *, whole: bool) -> None:
-    writer = rows.repartition(*places).sortWithinPartitions(*places, *sort_by).write.mode("overwrite")
+    # Videos of a folder are dealt to several tasks; a row without one goes with any.
+    share = F.pmod(F.xxhash64("video_id", F.lit(1)), F.lit(_SHARES))
+    writer = rows.repartition(*places, share).sortWithinPartitions(*places, *sort_by).write.mode("overwrite")
     if not whole:
         writer = writer.option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*places).parquet(_path(root, name))
