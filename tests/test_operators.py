@@ -489,3 +489,28 @@ def test_percentiles_of_values_that_crowd_into_one_slot(spark, crowded):
         assert got["a"][f"p{p}"] == 1e6 + (n * p // 100 - 1) / n and got["b"][f"p{p}"] == 5.0
         assert got["c"][f"p{p}"] == (-2.0 if p <= 50 else 1.0)
     assert (got["a"].n, got["b"].n, got["c"].n) == (n, 1000, 2)
+
+
+def test_percentiles_shuffle_only_slots_that_hold_a_rank(spark, monkeypatch):
+    """Rows outside the slots of the ranks met the shuffle by value before."""
+    kept = []
+    monkeypatch.setattr(percentiles, "_running", lambda n, *a, f=percentiles._running: kept.append(n) or f(n, *a))
+    df = spark.range(100_000).select((F.col("id") % 2).alias("k"), (F.col("id") * 1.0).alias("v"))
+    got = percentiles.discrete_percentiles(df, ["k"], "v", (50,), crowded=100)
+    assert kept == ["_part_n", "_n"]  # the crowded slots are cut
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_slot_n" in text and {(r.k, r.p50, r.n) for r in got.collect()} == {(0, 49_998.0, 50_000), (1, 49_999.0, 50_000)}
+    kept.clear()
+    zeros = spark.range(5_000).select(F.lit(1).alias("k"), F.lit(0.0).alias("v"))
+    assert percentiles.discrete_percentiles(zeros, ["k"], "v", (50,), crowded=100).collect()[0].p50 == 0.0
+    assert kept == ["_n"]  # one value needs no cut, however often it comes
+
+
+def test_ages_of_clipped_bands_are_made_by_many_tasks(spark):
+    """Adaptive execution gave the few bytes of the series, and so all their ages, to one task."""
+    start = dt.datetime(2024, 1, 1)
+    v = spark.createDataFrame([(i, start) for i in range(400)], "id long, published_at timestamp")
+    points = v.select(F.col("id").alias("video_id"), F.lit("X").alias("platform"), F.timestamp_add("HOUR", F.lit(30), "published_at").alias("ts"), F.lit(1).alias("value"))
+    bands = spark.range(31).select(F.lit("X").alias("source"), F.lit("hour").alias("granularity"), F.col("id").cast("int").alias("age_bucket"), (F.col("id") * 1.5).alias("p50_views"), F.lit(9).alias("count_videos"))
+    got = series.clip_bands(bands, points, v).withColumn("task", F.spark_partition_id())
+    assert got.count() == 400 * 31 and got.select("task").distinct().count() > 8

@@ -128,12 +128,15 @@ def clip_bands(
     up to its last measured bucket. Band values are cut to whole numbers.
 
     ``bands`` has one row per (platform, age <= horizon): a few thousand rows whatever the data,
-    hence the broadcast. Ages are generated per series instead of a range join on the bands.
+    hence the broadcast. Ages are generated per series instead of a range join on the bands; the few bytes
+    of the series are spread first, else adaptive execution would make all their ages in one task.
     """
     unit = "DAY" if granularity == "day" else "HOUR"
     small = _small_bands(bands, granularity, horizon)
     ages = F.sequence(F.lit(0), F.least(F.col("max_bucket"), F.lit(horizon)))
-    grid = last_buckets(series, v, granularity).select(
+    spark = series.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    grid = last_buckets(series, v, granularity).repartition(tasks, "video_id", "platform").select(
         "video_id", F.col("platform").alias("source"), "t0", F.explode(ages).alias("age_bucket")
     )
     return grid.join(F.broadcast(small), ["source", "age_bucket"]).select(
