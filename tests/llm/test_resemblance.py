@@ -76,3 +76,31 @@ def test_trie_links_come_first_and_a_large_group_has_few_links(spark, monkeypatc
     assert sorted(r.doc_id for r in kept) == sorted(set(brute_first(texts).values()))
     assert calls == [{"errors": 3}]
     assert max(sizes) <= len(texts)
+
+
+def edited(pick, base, i, changes):
+    own = list(base)
+    for at in pick.sample(range(len(base)), changes):
+        own[at] = f"x{i}-{at}"
+    return own
+
+
+@pytest.mark.parametrize("turns", [0, 4])
+def test_a_group_kept_apart_by_its_changes_gives_few_pairs(spark, monkeypatch, turns):
+    """Near copies that share bands and are below the threshold with one another: before, each met all others."""
+    pick = random.Random(9)
+    words = [f"w{i}" for i in range(300)]
+    base = [pick.choice(words) for _ in range(150)]
+    made = {i: edited(pick, base, i, 5) for i in range(1, 101)}
+    made |= {i: edited(pick, base, i, 2) for i in range(101, 121)}
+    made |= {i: made[i - 200] + [f"y{i}-{k}" for k in range(12)] for i in range(201, 221)}  # longer copies of copies
+    made |= {i: made[i - 300][:-20] for i in range(331, 351)}
+    texts = {i: " ".join(t) for i, t in made.items()}
+    want = brute_first(texts)
+    assert 60 < len(set(want.values())) < 110 and want[205] == 5
+    sizes, merged = [], resemblance._merged
+    monkeypatch.setattr(resemblance, "_merged", lambda labels, pairs, *given: sizes.append(pairs.distinct().count()) or merged(labels, pairs, *given))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in resemblance.resembling(docs, turns=turns).collect()}
+    assert got == want
+    assert sizes[-1] <= 3 * len(texts)

@@ -5,8 +5,9 @@ first candidates. Near copies whose fingerprints differ in more bits share min-h
 ``BANDS`` band keys with probability 1 - (1 - s^ROWS)^BANDS, which is 0.99994 at 0.8. Every candidate link is checked on the sets
 themselves, so texts below the threshold are never linked. A bucket of a band key is not checked as all
 its pairs: its texts are first held against one of them, then, where they do not hang together, against
-others in turn, and what is still apart is compared pair by pair. Links join groups, not texts, so a large group of
-copies has no more of them than it has texts.
+others in turn. What is still apart meets by shingles: sets of a similarity hold so many in common that one lies among the rarest
+of both, where rare counts what sets of other groups hold, so a large group of near copies whose changes keep them
+apart gives no pairs for what they share. Links join groups, not texts, so a large group of copies has no more of them than it has texts.
 """
 
 from __future__ import annotations
@@ -16,16 +17,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vidmetrics.llm import simhash
 from vidmetrics.llm.common import column, connected, first_of_groups, id_and_text, map_arrow, of_keys, saved, utf8
 
 SEED = 42
 BANDS, ROWS = 32, 6
-#: Rounds in which a bucket's texts meet one of its texts, before all pairs that are still apart do.
+#: Rounds in which a bucket's texts meet one of its texts, before those that are still apart meet by rare shingles.
 TURNS = 4
+#: Sizes of the sets that a shingle is looked up for are told apart by this ratio.
+SIZES = 1.02
 _PICK = np.random.default_rng(11)
 _FLIP = _PICK.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
 _TIMES = _PICK.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
@@ -129,6 +133,47 @@ def _trie_pairs(rows: DataFrame, errors: int) -> DataFrame:
     return same.unionByName(links.join(a, "fp_a").join(b, "fp_b").filter("a <> b").select("a", "b"))
 
 
+def _whole(x: Column) -> Column:
+    """The smallest whole number not below ``x``, but for rounding."""
+    return F.ceil(x - 1e-6)
+
+
+def _rare_pairs(apart: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs of the sets ``apart`` (v, n, label) among which are all of other labels with a similarity of ``least`` or more.
+
+    Such sets share ``least`` / (1 + ``least``) of their sizes' sum. In one order of all hashes, the first shared one cannot stand
+    so far back in a set that too few follow it. Hashes that only one label holds stand first, then rare ones, and
+    a set is looked up by its first hashes only: by fewer, the nearer the sizes of those it looks for are to its own.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            yield {**{c: column(batch, c) for c in ("v", "n", "label")}, "t": [np.frombuffer(s, np.int64) for s in column(batch, "s").to_pylist()]}
+
+    of_sets = map_arrow(apart.join(sets, "v").select("v", "n", "label", "s"), work, "v long, n long, label long, t array<long>")
+    hashes = of_sets.select("v", "n", "label", F.explode("t").alias("t"))
+    common = hashes.groupBy("t").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    of_set = Window.partitionBy("v")
+    at = F.col("n") - F.count("*").over(of_set) + F.row_number().over(of_set.orderBy("c", "t")) - 1
+    share = least / (1 + least)
+    first = hashes.join(common.select("t", "c"), "t").select("v", "n", "label", "t", at.alias("at"))
+    first = saved(first.filter(F.col("at") <= F.col("n") - _whole(least * F.col("n"))), "first-hashes")
+
+    # The smaller set of a pair needs fewer of its hashes.
+    small = first.filter(F.col("at") <= F.col("n") - _whole(2 * share * F.col("n"))).withColumn("cell", F.floor(F.log("n") / np.log(SIZES).item()))
+    cells = small.groupBy("t", "cell").agg(
+        F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    near_enough = F.col("at") <= F.col("n") - _whole(share * (F.col("n") + F.greatest(F.col("n_low"), least * F.col("n"))))
+    looked = first.join(cells, "t").filter("n_low <= n and (low < high or low <> label)").filter(near_enough & (F.col("n_high") >= least * F.col("n") - 1e-6))
+    looked = looked.select("t", "cell", "v", "n", "label", "at")
+    small = small.select("t", "cell", *[F.col(c).alias(f"{c}_small") for c in ("v", "n", "label", "at")])
+    left = F.least(F.col("n") - F.col("at"), F.col("n_small") - F.col("at_small"))
+    met = looked.join(small, ["t", "cell"]).filter("label <> label_small and (n_small < n or n_small = n and v_small < v)")
+    met = met.filter((left >= _whole(share * (F.col("n") + F.col("n_small")))) & (F.col("n_small") >= least * F.col("n") - 1e-6))
+    return met.select(F.col("v").alias("a"), F.col("v_small").alias("b"))
+
+
 def resembling(docs: DataFrame, *, shingle_words: int = 5, least: float = 0.8, errors: int = 3, turns: int = TURNS) -> DataFrame:
     """(doc_id, component_id), one row per document row.
 
@@ -139,8 +184,9 @@ def resembling(docs: DataFrame, *, shingle_words: int = 5, least: float = 0.8, e
     rows = saved(_sets(docs, shingle_words), "shingle-names")
     groups = saved(rows.groupBy("v").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "shingle-groups")
     keys = groups.select("v", "n", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high")).filter("low < high").select("key")
-    members = saved(keys.join(shared, "key").select("key", "v", "n"), "buckets")
+    shared = keys.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("size")).filter("low < high")
+    members = saved(keys.join(shared, "key").select("key", "v", "n", "size"), "buckets")
+    met_by = members.groupBy("v").agg(F.sum("size").alias("met_by"))
     near = saved(_trie_pairs(rows.filter("n > 0"), errors), "trie-links")
     names = members.select("v").union(near.select("a")).union(near.select("b")).distinct()
     sets = _hashes_of(docs, rows, names, shingle_words)
@@ -154,16 +200,15 @@ def resembling(docs: DataFrame, *, shingle_words: int = 5, least: float = 0.8, e
         if open_.isEmpty():
             break
         if turn < turns:
-            # The first hub is the same in all bands, so that a group's pairs are few; later ones differ by bucket.
-            order = F.xxhash64("v") if turn == 0 else F.xxhash64("v", "key", F.lit(turn))
-            hubs = open_.groupBy("key").agg(F.min(F.struct(order.alias("o"), "v", "n", "label")).alias("h")).select(
+            # The first hub shares most bands with others, so that it is the same in all bands and near to most; later ones differ by bucket.
+            order = -F.col("met_by") if turn == 0 else F.xxhash64("v", "key", F.lit(turn))
+            hubs = (open_.join(met_by, "v") if turn == 0 else open_).groupBy("key").agg(F.min(F.struct(order.alias("o"), "v", "n", "label")).alias("h")).select(
                 "key", F.col("h.v").alias("hub"), F.col("h.n").alias("n_hub"), F.col("h.label").alias("label_hub")
             )
-            met = open_.join(hubs, "key").filter("label <> label_hub")
+            pairs = open_.join(hubs, "key").filter("label <> label_hub").filter(fits).select(F.col("v").alias("a"), F.col("hub").alias("b"))
         else:
-            hubs = open_.select("key", F.col("v").alias("hub"), F.col("n").alias("n_hub"), F.col("label").alias("label_hub"))
-            met = open_.join(hubs, "key").filter("label <> label_hub and hub < v")
-        labels = _merged(labels, met.filter(fits).select(F.col("v").alias("a"), F.col("hub").alias("b")), sets, least)
+            pairs = _rare_pairs(saved(open_.select("v", "n", "label").distinct(), "apart"), sets, least)
+        labels = _merged(labels, pairs, sets, least)
     groups = groups.join(labels, "v").select("v", "first_id", "label")
     first = groups.groupBy("label").agg(F.min("first_id").alias("component_id"))
     return rows.select("doc_id", "v").join(groups.join(first, "label").select("v", "component_id"), "v").select("doc_id", "component_id")
