@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -89,6 +90,29 @@ def test_dense_cluster_is_walked_without_all_pairs():
     assert set(label.tolist()) == {0}
 
 
+def test_walks_are_whole_groups_of_bounded_size():
+    group = np.repeat(np.arange(6), [3, 2, 9, 1, 1, 4])
+    assert simhash.walks(group, at_once=5) == [(0, 5), (5, 14), (14, 16), (16, 20)]
+    assert simhash.walks(group, at_once=1) == [(0, 3), (3, 5), (5, 14), (14, 15), (15, 16), (16, 20)]
+    assert simhash.walks(group[:0]) == []
+
+
+def test_memory_of_a_walk_does_not_follow_the_rows_of_a_task():
+    pick = np.random.default_rng(5)
+    fps = pick.integers(0, 1 << 63, 60_000).astype(np.uint64)
+    fps = np.concatenate([fps, fps ^ (np.uint64(1) << pick.integers(0, 62, len(fps)).astype(np.uint64))])
+    group = np.tile(pick.integers(0, 3000, 60_000), 2)
+    order = np.lexsort((fps, group))
+    fps, group, deep = fps[order], group[order], np.full(len(fps), 64)
+    tracemalloc.start()
+    found = simhash.group_links(fps, group, 3, deep)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 256 * len(fps)  # the bits alone were 512 bytes an entry
+    assert (found == simhash.trie_links(fps, group, 3, deep)).all()
+    assert (found != np.arange(len(fps))).sum() == 60_000
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {(r.v, r.label) for r in connected(edges).collect()} == {(i, 0) for i in range(301)}

@@ -27,6 +27,8 @@ BITS = 64
 SPLIT_ABOVE, SPLIT_BITS = 50_000, 8
 #: Node pairs walked at once in a task.
 PAIRS_AT_ONCE = 1 << 16
+#: Fingerprints whose subtries a task walks together, unless a single one has more: a walk holds a count for each bit of each of them.
+WALKED_AT_ONCE = 1 << 15
 
 
 def fingerprint(text: bytes, shingle_words: int) -> int:
@@ -75,7 +77,9 @@ def trie_links(fps: np.ndarray, group: np.ndarray, errors: int, deep: np.ndarray
     label = np.arange(n)
     if n < 2:
         return label
-    ones = [np.concatenate(([0], np.cumsum((fps >> np.uint64(BITS - 1 - d)) & np.uint64(1)).astype(np.int64))) for d in range(BITS)]
+    ones = np.zeros((BITS, n + 1), np.int32)
+    for d in range(BITS):
+        np.cumsum((fps >> np.uint64(BITS - 1 - d)).astype(np.int32) & 1, out=ones[d, 1:])
     # Bits that neighbours share from the top; a new group shares none.
     xor = fps[1:] ^ fps[:-1]
     shared = np.full(n - 1, BITS)
@@ -128,6 +132,25 @@ def trie_links(fps: np.ndarray, group: np.ndarray, errors: int, deep: np.ndarray
     return label
 
 
+def walks(group: np.ndarray, at_once: int = WALKED_AT_ONCE) -> list[tuple[int, int]]:
+    """Ranges of whole runs of equal ``group``, with at most ``at_once`` entries but for a longer run, which has its own."""
+    ends = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, len(group))
+    out, start = [], 0
+    while start < len(group):
+        end = int(ends[max(np.searchsorted(ends, start + at_once, side="right") - 1, np.searchsorted(ends, start, side="right"))])
+        out.append((start, end))
+        start = end
+    return out
+
+
+def group_links(fps: np.ndarray, group: np.ndarray, errors: int, deep: np.ndarray) -> np.ndarray:
+    """``trie_links`` of any number of groups; it holds the bits of a few of them at a time."""
+    label = np.arange(len(fps))
+    for start, end in walks(group):
+        label[start:end] = start + trie_links(fps[start:end], group[start:end], errors, deep[start:end])
+    return label
+
+
 def _united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Labels after the links (i, j): the smallest of those that meet."""
     pairs = np.unique(np.stack([label[i], label[j]]), axis=1)
@@ -195,7 +218,7 @@ def links(fps: DataFrame, *, errors: int = 3, split_above: int = SPLIT_ABOVE) ->
         low, high = pair >> SPLIT_BITS, pair & ((1 << SPLIT_BITS) - 1)
         deep = np.where((pair >= 0) & (low != high), cross_from, BITS)
         keys = order.view(np.uint64) ^ np.uint64(1 << 63)
-        label = trie_links(keys, group, errors, deep)
+        label = group_links(keys, group, errors, deep)
         linked = np.flatnonzero(label != np.arange(len(label)))
         yield {"a": fp[linked], "b": fp[label[linked]]}
 
