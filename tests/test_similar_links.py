@@ -60,5 +60,36 @@ def test_copies_cost_rows_and_not_pairs(spark):
 
 
 def test_queries_have_a_row_per_source(fixtures):
-    assert QUERIES["similar_pairs"](fixtures).columns == ["id", "class_id", "n_links", "title_score", "description_score"]
-    assert QUERIES["similar_pairs"](fixtures).count() == 200
+    assert QUERIES["similar_counts"](fixtures).columns == ["id", "class_id", "n_links", "title_score", "description_score"]
+    assert QUERIES["similar_counts"](fixtures).count() == 200
+
+
+def test_query_returns_the_pairs(fixtures):
+    rows = QUERIES["similar_pairs"](fixtures)
+    assert rows.columns == ["a_id", "b_id", "title_score", "description_score", "score"]
+    got = rows.collect()
+    assert len(got) == len({(r.a_id, r.b_id) for r in got}) == 641
+    assert all(r.a_id < r.b_id and r.score >= 0.78 for r in got)
+
+
+@pytest.mark.parametrize("seed, threshold, small", [(1, 0.78, False), (2, 0.74, True), (3, 0.88, False)])
+def test_pairs_equal_all_pairs_and_repeat_as_rows_do(spark, monkeypatch, seed, threshold, small):
+    if small:  # blocks and chunks of a few rows: every class of more members has many chunks
+        for name, value in {"PAIR_BLOCK": 3, "PAIR_GROUP": 5, "CHUNK": 2, "PAIR_TASK": 50}.items():
+            monkeypatch.setattr(similar_links, name, value)
+    rows = invented(seed)
+    # An id of two rows that differ, which is no pair with itself.
+    rows.append((7, None, "X", "blauer topf", "klein marke 1", dt.datetime(2024, 1, 2), 60, 1))
+    sv = spark.createDataFrame(rows, SOURCES)
+    told = [(i, (*r[:3], r[3] or "", r[4] or "", *r[5:])) for i, r in enumerate(rows)]
+    apart = spark.createDataFrame([(i, *r[1:]) for i, r in told], SOURCES)
+    want = Counter()
+    for r in similarity.similar_pairs(every_pair(spark, apart), apart, threshold=threshold).collect():
+        a, b = rows[r.a_id][0], rows[r.b_id][0]
+        if a is not None and b is not None and a != b:
+            want[min(a, b), max(a, b), round(r.title_score, 9), round(r.description_score, 9), round(r.score, 9)] += 1
+    got = Counter(
+        (r.a_id, r.b_id, round(r.title_score, 9), round(r.description_score, 9), round(r.score, 9))
+        for r in similar_links.linked_pairs(sv, threshold=threshold).collect()
+    )
+    assert got == want and max(want.values()) > 1 and len(want) > 100
